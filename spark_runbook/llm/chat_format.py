@@ -47,7 +47,12 @@ def _vocabulary(layouts: dict) -> list[str]:
 def field_paths(record: Column, layouts: dict = LAYOUTS) -> Column:
     """Sorted paths of the record's fields that some layout knows, to the fields of its lists' first elements."""
     lists = sorted({x["list"][0] for x in layouts.values() if "list" in x})
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{n}[0]")), F.array().cast("array<string>")), lambda k, n=n: F.concat(F.lit(f"{n}[]."), k)) for n in lists]
+
+    def below(n: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(record, f"$.{n}[0]"))
+        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{n}[]."), k))
+
+    nested = [below(n) for n in lists]
     every = F.concat(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")), *nested)
     return F.array_sort(F.array_intersect(every, F.array(*(F.lit(p) for p in _vocabulary(layouts)))))
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, kd_sharding
+from . import chat_format, decontaminate, exact_dedup, kd_sharding, packed_ids
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op8_sharding": kd_sharding.op8_sharding,
+        "op9_packed_ids": packed_ids.op9_packed_ids,
+        "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {
+        "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op6_chat_format": chat_format.OP6_SQL,
+        "op10_decontamination": decontaminate.OP10_SQL,
+    }
