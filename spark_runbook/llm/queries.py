@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, kd_sharding, packed_ids
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_chat_format": chat_format.op6_chat_format,
         "op8_sharding": kd_sharding.op8_sharding,
