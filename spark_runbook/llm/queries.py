@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, toxicity
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_chat_format": chat_format.op6_chat_format,
         "op8_sharding": kd_sharding.op8_sharding,
         "op9_packed_ids": packed_ids.op9_packed_ids,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op5_warc_revisits": warc.OP5_SQL,
         "op6_chat_format": chat_format.OP6_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
     }
