@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, piece_fst, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+        "op2_piece_fst": piece_fst.op2_piece_fst,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_warc_revisits": warc.op5_warc_revisits,
