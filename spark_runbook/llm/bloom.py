@@ -27,6 +27,16 @@ def positions(h: np.ndarray, log2_bits: int) -> tuple[np.ndarray, np.ndarray]:
         return g >> s, (g * np.uint64(0xD6E8FEB86659FD93)) >> s
 
 
+def _steps(at: np.ndarray) -> bytes:
+    """Ascending places as their differences, in two bytes each where these suffice."""
+    d = np.diff(at.astype(np.int64), prepend=0)
+    return b"" if not len(d) else b"2" + d.astype("<u2").tobytes() if d.max() < 1 << 16 else b"4" + d.astype("<u4").tobytes()
+
+
+def _places(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"<u{data[:1].decode()}", -1, 1).astype(np.int64)) if data else np.zeros(0, np.int64)
+
+
 def _local(batches, log2_bits: int):
     seen, again = [], []
     for b in batches:
@@ -51,8 +61,8 @@ def _emit(h: np.ndarray, log2_bits: int):
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(rows, pa.int32()),
-            pa.array([(once[ends[i] : ends[i + 1]] & low).astype("<u4").tobytes() for i in rows], pa.binary()),
-            pa.array([(twice[ends2[i] : ends2[i + 1]] & low).astype("<u4").tobytes() for i in rows], pa.binary()),
+            pa.array([_steps(once[ends[i] : ends[i + 1]] & low) for i in rows], pa.binary()),
+            pa.array([_steps(twice[ends2[i] : ends2[i + 1]] & low) for i in rows], pa.binary()),
         ],
         names=["chunk", "once", "twice"],
     )
@@ -65,24 +75,28 @@ def _merge(batches):
             if c not in chunks:
                 chunks[c] = np.zeros(1 << CHUNK_LOG2, bool), np.zeros(1 << CHUNK_LOG2, bool)
             one, two = chunks[c]
-            at = np.frombuffer(once, "<u4")
+            at = _places(once)
             two[at[one[at]]] = True
             one[at] = True
-            two[np.frombuffer(twice, "<u4")] = True
+            two[_places(twice)] = True
     for c, (_, two) in chunks.items():
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(np.packbits(two).tobytes(), 1)], pa.binary())], names=["chunk", "bits"])
 
 
-def repeated_filter(hashes: DataFrame, log2_bits: int = LOG2_BITS):
-    """Broadcast of the filter's bits that were set more than once. hashes: one long column."""
-    spark, col = hashes.sparkSession, hashes.columns[0]
-    parts = hashes.where(F.col(col).isNotNull()).mapInArrow(lambda it: _local(it, log2_bits), "chunk int, once binary, twice binary")
+def merged_filter(parts: DataFrame, log2_bits: int = LOG2_BITS):
+    """Broadcast of the filter's bits that were set more than once. parts: what _emit makes of each partition."""
     merged = parts.repartition(64, "chunk").mapInArrow(_merge, "chunk int, bits binary")
     whole = np.zeros((1 << log2_bits) // 8, np.uint8)
     size = (1 << CHUNK_LOG2) // 8
     for r in merged.collect():  # the filter's fixed size in all, whatever the input
         whole[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return spark.sparkContext.broadcast(whole)
+    return parts.sparkSession.sparkContext.broadcast(whole)
+
+
+def repeated_filter(hashes: DataFrame, log2_bits: int = LOG2_BITS):
+    """The same for rows of hashes (one long column)."""
+    known = hashes.where(F.col(hashes.columns[0]).isNotNull())
+    return merged_filter(known.mapInArrow(lambda it: _local(it, log2_bits), "chunk int, once binary, twice binary"), log2_bits)
 
 
 def maybe_repeated(h: np.ndarray, bits: np.ndarray, log2_bits: int = LOG2_BITS) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, piece_fst, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, piece_fst, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_chat_format": chat_format.op6_chat_format,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_sharding": kd_sharding.op8_sharding,
         "op9_packed_ids": packed_ids.op9_packed_ids,
         "op10_decontamination": decontaminate.op10_decontamination,

@@ -15,7 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
+_VALUE_ANY_CASE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+_VALUE = _VALUE_ANY_CASE[_LOWER]
 _FACTOR = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
