@@ -33,7 +33,8 @@ BLOCK = 4096
 MAGIC = b"PKIDS\x01"
 FOOTER = struct.Struct("<6sBxIQQ")  # magic, bits, ids a block, ids, documents
 FILE_TEXT_BYTES = 16 << 20
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+ENDS = ".,!?;:|"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -120,7 +121,8 @@ class WordEncoder:
     """A tokenizers file applied to whole texts by way of a bounded cache of words.
 
     Allowed where no pre-token crosses a space, tab or line end, as in the word-level BPE files here: the ids of a text are then the
-    ids of its words. The cache is emptied when full.
+    ids of its words. Unknown words of letters alone are encoded many at a time; where one word ends is told by the pieces that end a
+    word, and if their number isn't that of the words, each word is encoded alone. The cache is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -128,28 +130,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.vocab = max(vocab.values()) + 1
+        self.final = np.zeros(self.vocab, bool)
+        self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+    def _alone(self, words: list[str]) -> dict[str, bytes]:
+        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        plain, ended, rest = [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif (stem := w.rstrip(ENDS)) != w and stem.isalpha():
+                ended.append((w, stem))
+            else:
+                rest.append(w)
+        stems = {s for _, s in ended}.difference(self.known, plain)
+        rest += {w[len(s) :] for w, s in ended}.difference(self.known, rest)
+        plain += stems
+        out = {}
+        runs = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        for part, e in zip(runs, self.tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                out.update(zip(part, [data[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+            else:
+                out.update(self._alone(part))
+        out.update(self._alone(rest))
+        for w, s in ended:
+            out[w] = (out.get(s) or self.known[s]) + (out.get(w[len(s) :]) or self.known[w[len(s) :]])
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        fresh = set().union(*split).difference(self.known)
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known = {"": b""}
+            fresh = set().union(*split).difference(self.known)
+        if fresh:
+            self.known.update(self._learn(fresh))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del self.known[w]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        extra = {}
-        if fresh:
-            short = [w for w in fresh if len(w) <= CACHE_CHARS]
-            extra = self._learn([w for w in fresh if len(w) > CACHE_CHARS])
-            if len(known) + len(short) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                short = [w for w in set(words) if len(w) <= CACHE_CHARS and w]
-            known.update(self._learn(short))
-        if extra:
-            return np.frombuffer(b"".join([extra[w] if w in extra else known[w] for w in words]), "<u4")
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        return np.frombuffer(self.encode_many([text])[0], "<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -172,6 +206,19 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def _parts(texts: list[str], chars: int = 1 << 20):
+    """Runs of texts of about so many letters."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t)
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def write_packed(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """Writes the ids of all documents below ``out`` and returns the manifest: part, n_docs, n_ids."""
     files = files or max(1, -(-(docs.agg(F.sum(utf8_bytes(text_col))).first()[0] or 0) // FILE_TEXT_BYTES))
@@ -188,8 +235,10 @@ def write_packed(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, id
             if writer is None:
                 stream = store.open_output_stream(own)
                 writer = PackedWriter(stream, id_bits(max(tok.vocab, end_id + 1)))
-            end = np.array([end_id], np.uint32)
-            writer.add(b.column(0).to_pylist(), [np.concatenate([tok.encode(t.as_py()), end]) for t in b.column(1)])
+            end, docs_of, at = struct.pack("<I", end_id), b.column(0).to_pylist(), 0
+            for texts in _parts(b.column(1).to_pylist()):
+                writer.add(docs_of[at : at + len(texts)], [np.frombuffer(ids + end, "<u4") for ids in tok.encode_many(texts)])
+                at += len(texts)
         if writer is not None:
             writer.close()
             stream.close()
