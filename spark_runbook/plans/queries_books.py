@@ -11,9 +11,14 @@ from ..operators import books
 from .base import query
 
 ALL = {"fc": "files_created", "fi": "files_injected", "tn": "files_trans_new", "tc": "files_trans_copied", "tk": "files_trans_checked", "tr": "files_trans_repacked", "ti": "files_trans_inserted", "td": "files_deleted"}
-NOW = at("2001-08-05 00:00:00")
 T = "TIMESTAMP '2001-08-05 00:00:00'"
 
+
+
+def now():
+    return at("2001-08-05 00:00:00")
+
+
 INFO = """i0 AS (SELECT c.*, i.nevents, i.filesize, i.comment_str, i.itime AS t_injected, n.itime AS t_new, p.itime AS t_copied, k.itime AS t_checked, r.itime AS t_repacked, x.itime AS t_inserted, d.dtime AS t_deleted
  FROM files_created c LEFT JOIN files_injected i USING (file_key) LEFT JOIN files_trans_new n USING (file_key) LEFT JOIN files_trans_copied p USING (file_key) LEFT JOIN files_trans_checked k USING (file_key)
  LEFT JOIN files_trans_repacked r USING (file_key) LEFT JOIN files_trans_inserted x USING (file_key) LEFT JOIN files_deleted d USING (file_key)),
@@ -73,7 +78,7 @@ _DEL = f"WITH {INFO} SELECT file_key FROM info WHERE t_injected IS NOT NULL AND
 
 def _deletable(t, cap=None):
     fc, fi, tn, tc, tk, tr, ti, td = t
-    return books.deletable_files(fc, {"injected": fi, "checked": tk, "repacked": tr, "deleted": td}, NOW, 86400 * 30, 86400 * 40, cap).select("file_key")
+    return books.deletable_files(fc, {"injected": fi, "checked": tk, "repacked": tr, "deleted": td}, now(), 86400 * 30, 86400 * 40, cap).select("file_key")
 
 
 query("c5_deletable_files", _DEL, **ALL)(lambda *t: _deletable(t))
@@ -164,7 +169,7 @@ def destination(fc):
 
 @query("h18_view_open", f"WITH {INFO}, o AS (SELECT * FROM info WHERE status = -1 AND epoch({T}) - epoch(ctime) < 86400 * 700) SELECT 'files' AS label, CAST(count(*) AS VARCHAR) AS value FROM o UNION SELECT 'oldest', CAST(CAST(epoch(min(ctime)) AS BIGINT) AS VARCHAR) FROM o UNION SELECT 'run', CAST(min_by(runnumber, struct_pack(a := ctime, b := file_key)) AS VARCHAR) FROM o", **ALL)
 def view_open(*t):
-    o = info_of(*t).where((F.col("status") == -1) & (secs(NOW) - secs("ctime") < 86400 * 700))
+    o = info_of(*t).where((F.col("status") == -1) & (secs(now()) - secs("ctime") < 86400 * 700))
     return books.labelled({"files": F.count("*"), "oldest": secs(F.min("ctime")), "run": F.min_by("runnumber", F.struct("ctime", "file_key"))}, o)
 
 
@@ -205,14 +210,14 @@ _RUN_SQL = f"""WITH {INFO}, {_sum_sql('runnumber')}, q AS (SELECT *, {_AGE} AS a
 
 def _run_view(*t):
     s = books.summary(info_of(*t), ["runnumber"])
-    age, n = st.age(NOW, F.col("stop_write_time")), F.coalesce("n_instance", F.col("m_instance") + 1)
+    age, n = st.age(now(), F.col("stop_write_time")), F.coalesce("n_instance", F.col("m_instance") + 1)
     span = lambda a, b: F.greatest(secs(b) - secs(a), F.lit(1))
     return s.select(
         "runnumber", "setuplabel", F.substring("hltkey", 8, 100).alias("hltkey"), n.alias("instances"), "s_nevents", F.round(F.col("s_filesize") / 1073741824, 6).alias("gb"), F.round(F.col("s_filesize") / 1048576 / span("start_write_time", "stop_write_time"), 6).alias("mb_s"),
         F.round(F.col("s_filesize2t0") / 1048576 / span("start_trans_time", "stop_trans_time"), 6).alias("t0_mb_s"), (F.col("s_created") - F.col("s_injected")).alias("open"), "s_injected", "s_new", "s_copied", "s_checked", "s_repacked", "s_deleted",
         st.open_status(F.col("s_created"), F.col("s_injected"), age).alias("open_status"), st.injected_check(F.col("s_new"), F.col("s_injected"), F.col("s_deleted"), n, age).alias("injected_status"),
         st.transferred_check(F.col("s_new"), F.col("s_copied"), n, age).alias("transferred_status"), st.checked_check(F.col("s_checked"), F.col("s_copied"), n, age).alias("checked_status"),
-        st.repacked_check(F.col("s_repacked"), F.col("s_notrepacked"), F.col("s_checked"), F.col("s_deleted"), st.age(NOW, F.col("stop_trans_time"))).alias("repacked_status"), st.setup_status(F.col("setuplabel")).alias("setup_status"),
+        st.repacked_check(F.col("s_repacked"), F.col("s_notrepacked"), F.col("s_checked"), F.col("s_deleted"), st.age(now(), F.col("stop_trans_time"))).alias("repacked_status"), st.setup_status(F.col("setuplabel")).alias("setup_status"),
     )
 
 
@@ -222,7 +227,7 @@ query("h24_run_summary", f"SELECT runnumber, gb, mb_s, open, s_injected, s_copie
 
 @query("h25_run_summary_undeleted", f"WITH {INFO}, {_sum_sql('runnumber')} SELECT runnumber, s_created - s_deleted AS left_files, CAST((epoch({T}) - stop_write_s) // 86400 AS BIGINT) AS age_days FROM sm WHERE s_created > s_deleted AND epoch({T}) - stop_write_s BETWEEN 5 * 3600 + 1 AND 65 * 86400 - 1", **ALL)
 def undeleted(*t):
-    s = summed(["runnumber"], *t).withColumn("a", secs(NOW) - F.col("stop_write_s"))
+    s = summed(["runnumber"], *t).withColumn("a", secs(now()) - F.col("stop_write_s"))
     return s.where((F.col("s_created") > F.col("s_deleted")) & (F.col("a") > 5 * 3600) & (F.col("a") < 65 * 86400)).select("runnumber", (F.col("s_created") - F.col("s_deleted")).alias("left_files"), F.floor(F.col("a") / 86400).alias("age_days"))
 
 
@@ -251,7 +256,7 @@ _INST_SQL = f"""WITH {INFO}, {_sum_sql('runnumber, instance')}, r AS (SELECT DIS
 
 
 def _inst_view(*t):
-    s = books.rank_instances(books.last_n_runs(books.summary(info_of(*t), RI), 25)).withColumn("age", secs(NOW) - secs("stop_write_time"))
+    s = books.rank_instances(books.last_n_runs(books.summary(info_of(*t), RI), 25)).withColumn("age", secs(now()) - secs("stop_write_time"))
     c = F.col
     return s.select("runnumber", "instance", "rank", "hostname", "s_created", "s_injected", st.pair_status(c("s_created"), c("s_injected"), c("age")).alias("closed_status"), st.pair_status(c("s_new"), c("s_copied"), c("age")).alias("copied_status"), st.repacked_pair(c("s_repacked"), c("s_checked"), c("age")).alias("repacked_status"), st.deleted_pair(c("s_deleted"), [c("s_checked"), c("s_repacked"), c("s_created")], c("age")).alias("deleted_status"))
 
@@ -276,19 +281,19 @@ def _flag(name, label, cond_sql, cond, value):
     def f(*t):
         p = Window.partitionBy("runnumber")
         s = books.summary(info_of(*t), RI)
-        s = s.select("*", (secs(NOW) - secs("stop_write_time")).alias("age"), F.max("s_injected").over(p).alias("max_closed"), (F.max(secs("stop_write_time")).over(p) - secs("stop_write_time")).alias("lag"), F.max("s_new").over(p).alias("max_new"), F.max("s_copied").over(p).alias("max_copied"), F.max("s_checked").over(p).alias("max_checked"))
-        return books.flags(s, label, cond, F.col(value))
+        s = s.select("*", (secs(now()) - secs("stop_write_time")).alias("age"), F.max("s_injected").over(p).alias("max_closed"), (F.max(secs("stop_write_time")).over(p) - secs("stop_write_time")).alias("lag"), F.max("s_new").over(p).alias("max_new"), F.max("s_copied").over(p).alias("max_copied"), F.max("s_checked").over(p).alias("max_checked"))
+        return books.flags(s, label, cond(), F.col(value))
 
     query(name, sql, **ALL)(f)
 
 
 _c = F.col
-_flag("h31_flag_notfiles", "!File", "age > 1800 AND s_created - s_injected > 2", (_c("age") > 1800) & (_c("s_created") - _c("s_injected") > 2), "s_created")
-_flag("h32_flag_closed", "!Close", "max_closed >= 25 AND (last_s - stop_write_s > 660 OR (max_closed - s_injected > 0.33 * max_closed AND max_closed > 50))", (_c("max_closed") >= 25) & ((_c("lag") > 660) | ((_c("max_closed") - _c("s_injected") > 0.33 * _c("max_closed")) & (_c("max_closed") > 50))), "s_injected")
-_flag("h33_flag_injected", "!Inj", "(0.7 * s_injected * max_new / max_closed > s_new AND s_injected > 20) OR (max_new > 50 AND s_new = 0)", ((0.7 * _c("s_injected") * _c("max_new") / _c("max_closed") > _c("s_new")) & (_c("s_injected") > 20)) | ((_c("max_new") > 50) & (_c("s_new") == 0)), "s_new")
-_flag("h34_flag_transferred", "!Tran", "(0.7 * s_new * max_copied / max_new > s_copied AND max_copied > 5) OR (max_copied > 50 AND s_copied = 0)", ((0.7 * _c("s_new") * _c("max_copied") / _c("max_new") > _c("s_copied")) & (_c("max_copied") > 5)) | ((_c("max_copied") > 50) & (_c("s_copied") == 0)), "s_copied")
-_flag("h35_flag_checked", "!Chk", "(0.7 * s_new * max_checked / max_new > s_checked AND max_checked > 5) OR (max_checked > 50 AND s_checked = 0)", ((0.7 * _c("s_new") * _c("max_checked") / _c("max_new") > _c("s_checked")) & (_c("max_checked") > 5)) | ((_c("max_checked") > 50) & (_c("s_checked") == 0)), "s_checked")
-_flag("h36_flag_deleted", "!Del", "age > 86400 * 2 AND s_deleted < 0.25 * s_checked AND s_checked > 4", (_c("age") > 86400 * 2) & (_c("s_deleted") < 0.25 * _c("s_checked")) & (_c("s_checked") > 4), "s_deleted")
+_flag("h31_flag_notfiles", "!File", "age > 1800 AND s_created - s_injected > 2", lambda: (_c("age") > 1800) & (_c("s_created") - _c("s_injected") > 2), "s_created")
+_flag("h32_flag_closed", "!Close", "max_closed >= 25 AND (last_s - stop_write_s > 660 OR (max_closed - s_injected > 0.33 * max_closed AND max_closed > 50))", lambda: (_c("max_closed") >= 25) & ((_c("lag") > 660) | ((_c("max_closed") - _c("s_injected") > 0.33 * _c("max_closed")) & (_c("max_closed") > 50))), "s_injected")
+_flag("h33_flag_injected", "!Inj", "(0.7 * s_injected * max_new / max_closed > s_new AND s_injected > 20) OR (max_new > 50 AND s_new = 0)", lambda: ((0.7 * _c("s_injected") * _c("max_new") / _c("max_closed") > _c("s_new")) & (_c("s_injected") > 20)) | ((_c("max_new") > 50) & (_c("s_new") == 0)), "s_new")
+_flag("h34_flag_transferred", "!Tran", "(0.7 * s_new * max_copied / max_new > s_copied AND max_copied > 5) OR (max_copied > 50 AND s_copied = 0)", lambda: ((0.7 * _c("s_new") * _c("max_copied") / _c("max_new") > _c("s_copied")) & (_c("max_copied") > 5)) | ((_c("max_copied") > 50) & (_c("s_copied") == 0)), "s_copied")
+_flag("h35_flag_checked", "!Chk", "(0.7 * s_new * max_checked / max_new > s_checked AND max_checked > 5) OR (max_checked > 50 AND s_checked = 0)", lambda: ((0.7 * _c("s_new") * _c("max_checked") / _c("max_new") > _c("s_checked")) & (_c("max_checked") > 5)) | ((_c("max_checked") > 50) & (_c("s_checked") == 0)), "s_checked")
+_flag("h36_flag_deleted", "!Del", "age > 86400 * 2 AND s_deleted < 0.25 * s_checked AND s_checked > 4", lambda: (_c("age") > 86400 * 2) & (_c("s_deleted") < 0.25 * _c("s_checked")) & (_c("s_checked") > 4), "s_deleted")
 
 
 @query("h37_orphan_counts", f"WITH {INFO} SELECT hostname, count(*) FILTER (status = -1) AS n_created, count(*) FILTER (status = 0) AS n_injected, count(*) FILTER (status = 1) AS n_new, round(coalesce(sum(filesize), 0) / 1048576, 5) AS mb FROM info WHERE status IN (-1, 0, 1) GROUP BY ROLLUP (hostname)", **ALL)
@@ -301,7 +306,7 @@ def orphan_counts(*t):
 def status_report(*t):
     from ..sources.logs import file_list_filter
 
-    return file_list_filter(info_of(*t), NOW, 200, ".0003.").select("file_key", "status")
+    return file_list_filter(info_of(*t), now(), 200, ".0003.").select("file_key", "status")
 
 
 _POLICY = "(VALUES (50, 86400 * 1000), (80, 86400 * 400), (95, 86400 * 100)) p(percent, a)"
@@ -310,7 +315,7 @@ _POLICY = "(VALUES (50, 86400 * 1000), (80, 86400 * 400), (95, 86400 * 100)) p(p
 @query("h39_retention_candidates", f"WITH i AS (SELECT file_key, ctime, file_key % 100 AS pc FROM files_created), j AS (SELECT file_key, ctime, arg_max(p.a, p.percent) AS lim FROM i, {_POLICY} WHERE p.percent <= i.pc GROUP BY ALL) SELECT file_key, CAST(lim AS BIGINT) AS limit_s FROM j WHERE epoch({T}) - epoch(ctime) > lim", fc="files_created")
 def retention(fc):
     pol = fc.sparkSession.sql("SELECT percent, CAST(a AS BIGINT) AS max_age_s FROM VALUES (50, 86400 * 1000), (80, 86400 * 400), (95, 86400 * 100) AS p(percent, a)")
-    return books.retention_candidates(fc.select("file_key", "ctime", (F.col("file_key") % 100).alias("percent")), pol, NOW).select("file_key", "limit_s")
+    return books.retention_candidates(fc.select("file_key", "ctime", (F.col("file_key") % 100).alias("percent")), pol, now()).select("file_key", "limit_s")
 
 
 @query("h40_max_disk_percent", "SELECT hostname AS host, max(file_key % 100) AS disk_full, max(runnumber) AS runnumber FROM files_created GROUP BY 1", fc="files_created")
@@ -320,12 +325,12 @@ def disk_percent(fc):
 
 @query("k1_time_diff", f"SELECT file_key, CAST(epoch({T}) - epoch(ctime) AS BIGINT) AS d FROM files_created", fc="files_created")
 def diff(fc):
-    return fc.select("file_key", time_diff(F.col("ctime"), NOW).alias("d"))
+    return fc.select("file_key", time_diff(F.col("ctime"), now()).alias("d"))
 
 
 @query("k2_tochards", f"WITH s AS (SELECT file_key, CAST(epoch({T}) - epoch(ctime) AS BIGINT) + file_key % 86400 AS s FROM files_created) SELECT file_key, CAST(s // 86400 AS VARCHAR) AS ddd, lpad(CAST(s // 3600 % 24 AS VARCHAR), 2, '0') AS hh, CAST(s // 60 AS VARCHAR) AS mmm, lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS ss FROM s", fc="files_created")
 def tochards(fc):
-    s = secs(NOW) - secs("ctime") + F.col("file_key") % 86400
+    s = secs(now()) - secs("ctime") + F.col("file_key") % 86400
     return fc.select("file_key", *(duration_text(s, m).alias(m.lower()) for m in ("DDD", "HH", "MMM", "SS")))
 
 
@@ -342,20 +347,20 @@ def rate_check(*t):
  ELSE CASE WHEN s_deleted = s_repacked THEN 1 WHEN part < coalesce(1 - greatest(24000 + 25200 - a, 0) / nullif(sp, 0), 0) THEN 3 WHEN part < coalesce(1 - greatest(24000 + 6000 - a, 0) / nullif(sp, 0), 0) THEN 2 ELSE 1 END END AS deleted_status FROM w""", **ALL)
 def deleted_check(*t):
     s = books.summary(info_of(*t), ["runnumber"])
-    return s.select("runnumber", st.deleted_check(_c("s_deleted"), _c("s_checked"), _c("s_repacked"), _c("s_created"), F.when(_c("runnumber") % 2 == 0, 1).otherwise(3), _c("start_write_time"), _c("stop_trans_time"), NOW).alias("deleted_status"))
+    return s.select("runnumber", st.deleted_check(_c("s_deleted"), _c("s_checked"), _c("s_repacked"), _c("s_created"), F.when(_c("runnumber") % 2 == 0, 1).otherwise(3), _c("start_write_time"), _c("stop_trans_time"), now()).alias("deleted_status"))
 
 
 @query("k10_notfiles_check2", f"WITH {INFO}, {_sum_sql('runnumber')}, w AS (SELECT runnumber, s_created - s_injected AS u, n_instance AS n, CASE WHEN n_instance > 1 THEN 0.25 ELSE 1.0 END AS f, {_AGE} AS age FROM sm) SELECT runnumber, CASE WHEN u = 0 THEN 0 WHEN u > 50 * (1 + f * n) THEN 3 WHEN u > 24 * (1 + f * n) THEN 2 WHEN age > 2700 THEN 3 WHEN age > 1800 THEN 2 ELSE 1 END AS notfiles_status FROM w", **ALL)
 def notfiles2(*t):
     s = books.summary(info_of(*t), ["runnumber"])
-    return s.select("runnumber", st.notfiles_check2(_c("s_created") - _c("s_injected"), _c("n_instance"), st.age(NOW, _c("stop_write_time"))).alias("notfiles_status"))
+    return s.select("runnumber", st.notfiles_check2(_c("s_created") - _c("s_injected"), _c("n_instance"), st.age(now(), _c("stop_write_time"))).alias("notfiles_status"))
 
 
 @query("k11_notfiles_check", f"WITH {INFO}, {_sum_sql('runnumber')}, n AS (SELECT runnumber, count(DISTINCT stream) AS st FROM info GROUP BY 1), w AS (SELECT runnumber, s_created - s_injected AS u, st, epoch({T}) - stop_write_s AS a FROM sm JOIN n USING (runnumber)) SELECT runnumber, CASE WHEN (a > 2700 AND u > 0) OR (a < 2700 AND u > 5 * st + 5) THEN 2 WHEN (a > 1800 AND u > 0) OR (a < 1800 AND u > 3 * st + 5) THEN 1 ELSE 0 END AS notfiles_status FROM w", **ALL)
 def notfiles(*t):
     i = info_of(*t)
     s = books.summary(i, ["runnumber"]).join(i.groupBy("runnumber").agg(F.countDistinct("stream").alias("streams")), "runnumber")
-    return s.select("runnumber", st.notfiles_check(_c("s_created") - _c("s_injected"), _c("streams"), secs(NOW) - secs("stop_write_time")).alias("notfiles_status"))
+    return s.select("runnumber", st.notfiles_check(_c("s_created") - _c("s_injected"), _c("streams"), secs(now()) - secs("stop_write_time")).alias("notfiles_status"))
 
 
 @query("k12_instance_check", f"WITH {INFO}, i AS (SELECT runnumber, setuplabel, instance, count(t_injected) AS closed FROM info GROUP BY ALL), r AS (SELECT runnumber, setuplabel, count(*) AS n, max(closed) AS mc FROM i GROUP BY ALL), p AS (SELECT *, lag(n) OVER (PARTITION BY setuplabel ORDER BY runnumber) AS pn FROM r) SELECT runnumber, CASE WHEN n = 0 THEN 2 WHEN mc > 5 AND n <> pn THEN 1 ELSE 0 END AS instance_status FROM p".replace("mc > 5", "mc > 25"), **ALL)

@@ -10,22 +10,30 @@ from ..operators import assembly, dqm, files, selection as sel
 from .base import query
 
 NAMES = list("abcdefghi")
-STATES = F.array(*(f"s_{n}" for n in NAMES))
 #: One stream of each kind of rule: all of a module, a path list, an expression with a sample, a wildcard.
 STREAMS = [
     sel.Stream("A", "hltOutputDQM"), sel.Stream("B", "PhysicsOModule", paths=["a", "c", "e", "g", "i"]), sel.Stream("C", "PhysicsOModule", "(a && !b) || c", fraction=0.5, max_mb=512), sel.Stream("D", "hltOutputA", paths=["*"]),
 ]
 CONSUMERS = [sel.Consumer("c1", "hltOutputA", paths=["a", "b"]), sel.Consumer("c2", "hltOutputA", "!a && (d || e*)", prescale=2), sel.Consumer("c3", "hltOutputB", prescale=5, unique=True), sel.Consumer("c4", "hltOutputB", prescale=5, unique=True)]
-KEY = F.col("event_number") * 7919
 ORDER = ["creation_time", "event_number"]
 
+
+
+def states():
+    return F.array(*(f"s_{n}" for n in NAMES))
+
+
+def key():
+    return F.col("event_number") * 7919
+
+
 _TAGGED = """CASE WHEN output_module_label = 'hltOutputDQM' THEN 'A' END, CASE WHEN output_module_label = 'PhysicsOModule' AND (s_a = 1 OR s_c = 1 OR s_e = 1 OR s_g = 1 OR s_i = 1) THEN 'B' END,
  CASE WHEN output_module_label = 'PhysicsOModule' AND ((s_a = 1 AND NOT s_b = 1) OR s_c = 1) AND (event_number * 7919) % 1000000 < 500000 THEN 'C' END, CASE WHEN output_module_label = 'hltOutputA' THEN 'D' END"""
 ROUTED_SQL = f"routed AS (SELECT * FROM (SELECT *, unnest([{_TAGGED}]) AS stream FROM daq_events WHERE message_code = 'EVENT') WHERE stream IS NOT NULL)"
 
 
 def routed(ev):
-    return sel.route_to_streams(ev.where("message_code = 'EVENT'"), STREAMS, NAMES, STATES, F.col("output_module_label"), KEY)
+    return sel.route_to_streams(ev.where("message_code = 'EVENT'"), STREAMS, NAMES, states(), F.col("output_module_label"), key())
 
 
 @query("a2_classify_message", "SELECT CASE message_code WHEN 'EVENT' THEN 'DATA' WHEN 'ERROR_EVENT' THEN 'ERROR' ELSE 'FAULTY' END AS kind, count(*) AS n FROM daq_events GROUP BY 1", ev="daq_events")
@@ -35,22 +43,22 @@ def classify(ev):
 
 @query("b1_trigger_expr", "SELECT event_number FROM daq_events WHERE ((s_a = 1 AND NOT s_b = 1) OR s_c = 1) AND NOT (s_d = 1 OR s_e = 1)", ev="daq_events")
 def trigger(ev):
-    return ev.where(sel.trigger_expr("((a && !b) || c) && !(d .OR. e)", NAMES, STATES)).select("event_number")
+    return ev.where(sel.trigger_expr("((a && !b) || c) && !(d .OR. e)", NAMES, states())).select("event_number")
 
 
 @query("b2_missing_names", "SELECT event_number FROM daq_events WHERE s_a = 1", ev="daq_events")
 def missing(ev):
-    return ev.where(sel.trigger_expr("a && !missing", NAMES, STATES)).select("event_number")
+    return ev.where(sel.trigger_expr("a && !missing", NAMES, states())).select("event_number")
 
 
 @query("b3_match_triggers", "SELECT event_number FROM daq_events WHERE s_a = 1 OR s_b = 1 OR s_c = 1 OR s_d = 1 OR s_e = 1 OR s_f = 1 OR s_g = 1 OR s_h = 1 OR s_i = 1", ev="daq_events")
 def wildcard(ev):
-    return ev.where(sel.trigger_expr("?", NAMES, STATES)).select("event_number")
+    return ev.where(sel.trigger_expr("?", NAMES, states())).select("event_number")
 
 
 @query("b4_select_events", "SELECT event_number, output_module_label FROM daq_events WHERE s_a = 1 OR s_c = 1 OR NOT s_g = 1", ev="daq_events")
 def selected(ev):
-    return ev.where(sel.select_events(["a", "c", "!g"], NAMES, STATES)).select("event_number", "output_module_label")
+    return ev.where(sel.select_events(["a", "c", "!g"], NAMES, states())).select("event_number", "output_module_label")
 
 
 @query("b5_decode_trigger_bits", "SELECT event_number, s_a, s_e, s_i FROM daq_events", ev="daq_events")
@@ -68,7 +76,7 @@ def module(ev, init):
 
 @query("b7_fraction_to_disk", "SELECT event_number FROM daq_events WHERE (event_number * 7919) % 1000000 < 250000", ev="daq_events")
 def sampled(ev):
-    return ev.where(sel.fraction_to_disk(0.25, KEY)).select("event_number")
+    return ev.where(sel.fraction_to_disk(0.25, key())).select("event_number")
 
 
 @query("b8_prescale", "SELECT output_module_label, event_number FROM (SELECT *, row_number() OVER (PARTITION BY output_module_label ORDER BY creation_time, event_number) AS r FROM daq_events WHERE s_a = 1) WHERE r % 5 = 0", ev="daq_events")
@@ -93,7 +101,7 @@ CONS_SQL = """routed AS (SELECT *, unnest(list_filter([CASE WHEN output_module_l
 
 @query("b10_route_to_consumers", f"WITH {CONS_SQL} SELECT consumer, count(*) AS n, CAST(sum(event_number) AS BIGINT) AS s FROM routed GROUP BY 1", ev="daq_events")
 def consumers(ev):
-    return sel.route_to_consumers(ev, CONSUMERS, NAMES, STATES, F.col("output_module_label")).groupBy("consumer").agg(F.count("*").alias("n"), F.sum("event_number").alias("s"))
+    return sel.route_to_consumers(ev, CONSUMERS, NAMES, states(), F.col("output_module_label")).groupBy("consumer").agg(F.count("*").alias("n"), F.sum("event_number").alias("s"))
 
 
 @query("b11_route_error_events", "SELECT event_number, s AS stream FROM daq_events, (VALUES ('Error'), ('ErrorCopy')) t(s) WHERE message_code = 'ERROR_EVENT'", ev="daq_events")
@@ -167,7 +175,7 @@ def adler(fr):
 
 @query("b14_unwanted_events", f"SELECT event_number FROM daq_events WHERE message_code = 'EVENT' AND len(list_filter([{_TAGGED}], lambda x: x IS NOT NULL)) = 0", ev="daq_events")
 def unwanted(ev):
-    return sel.unwanted(sel.stream_tags(ev.where("message_code = 'EVENT'"), STREAMS, NAMES, STATES, F.col("output_module_label"), KEY)).select("event_number")
+    return sel.unwanted(sel.stream_tags(ev.where("message_code = 'EVENT'"), STREAMS, NAMES, states(), F.col("output_module_label"), key())).select("event_number")
 
 
 @query("b15_assert_run_number", "SELECT event_number, CASE WHEN message_code = 'ERROR_EVENT' THEN 100002 ELSE run_number END AS run_number, run_number <> 100002 AS run_mismatch FROM daq_events", ev="daq_events")
