@@ -33,6 +33,7 @@ from .components import components
 from .shingles import chunks, frequency_levels, in_order, mix, shingle_sets
 
 BROADCAST_KEYS = 500_000
+SHINGLES_A_MATCH = 50
 
 
 def prefix_size(n: int, percent: int, l: int) -> int:  # noqa: E741
@@ -40,9 +41,10 @@ def prefix_size(n: int, percent: int, l: int) -> int:  # noqa: E741
 
 
 def matches_for(levels: np.ndarray, n: int, percent: int) -> int:
-    """l of a set whose ordered shingles have these levels: 1, and one more each time the estimated candidates double."""
-    cost = np.exp2(levels[: prefix_size(n, percent, 1)] / 4.0) - 1
-    return 1 + int(np.log2(1 + cost.sum() / max(1, len(cost))))
+    """l of a set whose ordered shingles have these levels. A candidate costs a comparison of n shingles, and frequent prefix shingles raise more of them: one
+    more match for every ``SHINGLES_A_MATCH``, and one each time the estimated candidates double; never more than a link is sure to share."""
+    often = np.exp2(levels[: prefix_size(n, percent, 1)] / 4.0) - 1
+    return min(-(-percent * n // 100), 1 + n // SHINGLES_A_MATCH + int(np.log2(1 + often.sum() / max(1, len(often)))))
 
 
 def _prefixes(batches, q: int, percent: int, levels):
@@ -70,8 +72,8 @@ def need(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, q: int, levels) -> DataFrame:
-    """nid and all its shingles in order (binary), of the wanted nodes, from their texts."""
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
+    """nid and all its shingles (binary), of the wanted nodes, from their texts."""
     keys = cut(nodes.join(wanted, "nid").select("nid", "doc_id", "th"))
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     k = keys.select("nid", F.col("doc_id").alias("kd"), F.col("th").alias("kt"))
@@ -79,32 +81,30 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, q: int, levels)
     def run(batches):
         for b in batches:
             for first, texts in chunks(b.column(1)):
-                sets = [in_order(s, levels.value)[0].tobytes() for s in shingle_sets(texts, q)]
+                sets = [s.tobytes() for s in shingle_sets(texts, q)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], names=["nid", "s"])
 
-    return docs.join(k, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))).select("nid", "text").mapInArrow(run, "nid long, s binary").dropDuplicates(["nid"])
+    return docs.join(k, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))).select("nid", "text").mapInArrow(run, "nid long, s binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, q: int, percent: int, levels) -> DataFrame:
-    """The pairs (a, b, la, lb) that link."""
-    pairs = cut(pairs)
-    s = cut(_sets(docs, nodes, pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), q, levels))
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, q: int, percent: int) -> DataFrame:
+    """The pairs (a, b, la, lb) that link: those that share enough prefix shingles, then those that share enough of all."""
+    pa_, pb = (nodes.select(F.col("nid").alias(c), F.col("prefix").alias(f"p{c}")) for c in "ab")
+    pairs = cut(pairs.join(pb, "b").join(pa_, "a").where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b", "la", "lb"))
+    s = cut(_sets(docs, nodes, pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), q))
 
     def check(batches):
         for b in batches:
-            la, lb = (b.column(i).to_pylist() for i in (2, 3))
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x[: prefix_size(len(x), percent, la[i])], y[: prefix_size(len(y), percent, lb[i])], assume_unique=True))
-                if shared >= min(la[i], lb[i], len(x), len(y)):
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * n >= percent * (len(x) + len(y) - n):
-                        keep.append(i)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * n >= percent * (len(x) + len(y) - n):
+                    keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     both = pairs.join(s.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b").join(s.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a")
-    return cut(both.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(check, "a long, b long"))
+    return cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,14 +112,10 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     levels = frequency_levels(plain.select("text"), q)
     every = cut(plain.mapInArrow(lambda it: _prefixes(it, q, percent, levels), "doc_id long, th long, s1 long, s2 long, n int, l int, prefix array<long>"))
-    classes = every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    nodes = cut(classes.select("s1", "s2", "n", "r.doc_id", "r.th", F.monotonically_increasing_id().alias("nid")))
-
-    own = every.where("n > 0").select("doc_id", "th", "s1", "s2", "n", "l", "prefix")
-    first = nodes.withColumnRenamed("doc_id", "nd").withColumnRenamed("th", "nt")
-    entries = own.join(first, ["s1", "s2", "n"]).where(F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("th") == F.col("nt"))).dropDuplicates(["nid"])
-    entries = entries.select("nid", "n", "l", F.posexplode("prefix").alias("k", "h"))
-    bits = repeated_filter(every.where("n > 0").dropDuplicates(["s1", "s2", "n"]).select(F.explode("prefix").alias("h")))
+    classes = every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th", "l", "prefix")).alias("r"))
+    nodes = cut(classes.select("s1", "s2", "n", "r.*", F.monotonically_increasing_id().alias("nid")))
+    entries = nodes.select("nid", "n", "l", F.posexplode("prefix").alias("k", "h"))
+    bits = repeated_filter(nodes.select(F.explode("prefix").alias("h")))
 
     @F.pandas_udf("boolean")
     def shared(h):
@@ -135,7 +131,7 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
     fits = lambda na, ka, nb, kb: F.least(F.col(na) - F.col(ka), F.col(nb) - F.col(kb)) >= need(F.col(na), F.col(nb), percent)
     star = entries.join(hubs, "h").where((F.col("nid") != F.col("hub")) & fits("n", "k", "hn", "hk"))
     star = star.select(F.col("hub").alias("a"), F.col("nid").alias("b"), F.col("hl").alias("la"), F.col("l").alias("lb")).distinct()
-    links = _verified(star, plain, nodes, q, percent, levels)
+    links = _verified(star, plain, nodes, q, percent)
     comp = components(links)
 
     rooted = cut(entries.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
@@ -144,10 +140,10 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
     rest = live.where(F.col("root") != F.col("main")).select("h", *(F.col(c).alias(f"{c}2") for c in ("nid", "n", "k", "l", "root")))
     cross = live.join(rest, "h").where((F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("nid") < F.col("nid2"))) & fits("n", "k", "n2", "k2"))
     cross = cross.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"), F.when(F.col("nid") < F.col("nid2"), F.col("l")).otherwise(F.col("l2")).alias("la"), F.when(F.col("nid") < F.col("nid2"), F.col("l2")).otherwise(F.col("l")).alias("lb")).distinct()
-    more = _verified(cross, plain, nodes, q, percent, levels)
+    more = _verified(cross, plain, nodes, q, percent)
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
-    rooted = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rooted = nodes.drop("prefix").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     smallest = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
     named = cut(rooted.join(smallest, "root").select("s1", "s2", "n", F.col("r.doc_id").alias("component_id"), F.col("r.th").alias("rt")))
     linked = every.where("n > 0").select("doc_id", "th", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
