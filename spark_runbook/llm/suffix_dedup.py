@@ -1,16 +1,17 @@
 """Removal of long repeated byte strings by a distributed, common-prefix-aware merge sort of suffixes.
 
-A byte goes if a string of ``length`` bytes around it also starts earlier. Suffixes are compared to that length, so equal neighbours in
-their sorted order are the repeats. Steps:
+A byte goes if a string of ``length`` bytes around it also starts earlier. Every such string has an anchor: the least-hashed gram of ``GRAM`` bytes in it,
+which all its occurrences share at the same offset. So not all suffixes are sorted but those that start at anchors, each followed by what
+stands to its left, read backwards: all strings that an anchor serves can be told equal from what it shares to the right and to the left. Steps:
 
 1. Whole texts that are equal to an earlier one are settled by their hash and leave.
-2. Every string of the length has an anchor: its least-hashed gram of ``GRAM`` bytes, which all its occurrences share. A two-bit Bloom filter of
-   fixed size over the anchors' hashes tells which suffixes can repeat at all; only these are sorted.
-3. A task sorts its suffixes to a run. Of equal ones it keeps the earliest and marks the others at once, so a passage that
-   stands in a third of all documents is sent once a run. The run is cut at sampled splitters and each piece front-coded: for each suffix the length it
-   shares with the one before it, and the rest.
+2. A two-bit Bloom filter of fixed size over the anchors' hashes tells which anchors can repeat at all; only their suffixes are sorted.
+3. A task sorts its suffixes to a run. Of equal ones it keeps the earliest and marks the others at once, so a passage that stands in a third of
+   all documents is sent once a run. The run is cut at sampled splitters and each piece front-coded: for each suffix the length it shares
+   with the one before it, and the rest.
 4. Pieces of a range meet in one task and are merged by a loser tree that keeps for each run's head the prefix it shares with the last
-   suffix put out: heads that share different lengths are ordered by these alone, and others are compared from there on.
+   suffix put out: heads that share different lengths are ordered by these alone, and others are compared from there on. Neighbours that
+   share the gram are compared string by string.
 5. Marks are gathered by document and spans cut out of the texts.
 
 Defined results: null counts as empty; matches don't cross documents; documents of equal id are ordered by their text's hash; rows of
@@ -33,9 +34,10 @@ from .bloom import _emit, maybe_repeated, merged_filter
 from .common import cut, text_or_empty
 from .shingles import _VALUE_ANY_CASE, _powers, chunks, mix
 
-LENGTH, GRAM = 100, 72
+LENGTH, GRAM = 100, 60
 FILTER_BITS = 28
-RUN = 400_000
+RUN = 300_000
+OUTSIDE = 0xFF  # no byte of UTF-8: where a document ends
 BROADCAST_KEYS = 500_000
 _U = np.uint64
 NULL_ID = -(1 << 63)
@@ -95,7 +97,7 @@ class Run:
 
 
 def merge_runs(runs: list[Run]):
-    """Suffixes of all runs in order: (run, whether it equals the one put out before it).
+    """Suffixes of all runs in order: (run, the prefix it shares with the one put out before it).
 
     A loser tree over the runs. known[r] is the prefix that the head of r shares with the last suffix put out. Of two heads the one
     that shares more comes first, and the other shares with it what it shared with the last; only equal sharers are compared, from
@@ -147,7 +149,7 @@ def merge_runs(runs: list[Run]):
 
     w = build(1) if size > 1 else 0
     while known[w] >= 0:
-        yield w, known[w] == length
+        yield w, known[w]
         known[w] = heads[w].next()
         node = (w + size) >> 1
         while node:
@@ -160,117 +162,184 @@ def merge_runs(runs: list[Run]):
             node >>= 1
 
 
-_MARKS = "doc_id long, th long, starts binary"
+_MARKS = "doc_id long, th long, spans binary"
+_NAMES = ["part", "run", "piece", "doc_id", "th", "spans"]
 
 
-def _runs(batches, bits, splitters: np.ndarray, length: int, gram: int):
+def suffixes(texts: list[bytes], bits: np.ndarray, length: int, gram: int):
+    """Of the anchors that may repeat: their suffixes (gram, right side, left side backwards), text, place in it, and the largest and least offset of strings they serve."""
+    data, begin, starts, place, h = anchored(texts, length, gram)
+    p, at = np.unique(place, return_index=True)
+    last = np.append(at[1:], len(place)) - 1
+    again = maybe_repeated(h[at], bits, FILTER_BITS)
+    p, far, near = p[again], (p - starts[at])[again], (p - starts[last])[again]
+    side = length - gram
+    padded = np.concatenate([np.full(side, OUTSIDE, np.uint8), data, np.full(side, OUTSIDE, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, gram + 2 * side)[p]
+    doc = np.searchsorted(begin, p, side="right") - 1
+    out = np.concatenate([around[:, side:], around[:, side - 1 :: -1]], axis=1)
+    j = np.arange(side)
+    out[:, gram : gram + side][j >= (begin[doc + 1] - p - gram)[:, None]] = OUTSIDE
+    out[:, gram + side :][j >= (p - begin[doc])[:, None]] = OUTSIDE
+    return out, doc, p - begin[doc], far, near
+
+
+def _runs(batches, bits, splitters: np.ndarray, length: int, gram: int, parts: int):
     """Sorted, front-coded pieces of runs, and marks of what repeats inside a run."""
     held: list[tuple] = []
     count = 0
     task, number = TaskContext.get().partitionId(), 0
     for b in batches:
-        ids, ths = (b.column(i).to_pylist() for i in (0, 1))
+        ids, ths = ([NULL_ID if v is None else v for v in b.column(i).to_pylist()] for i in (0, 1))
         for first, texts in chunks(b.column(2)):
-            data, begin, starts, _, h = anchored(texts, length, gram)
-            starts = starts[maybe_repeated(h, bits.value, FILTER_BITS)]
-            if not len(starts):
+            strings, doc, place, far, near = suffixes(texts, bits.value, length, gram)
+            if not len(doc):
                 continue
-            doc = np.searchsorted(begin, starts, side="right") - 1
-            for a in range(0, len(starts), RUN):
-                s = starts[a : a + RUN]
-                held.append((np.lib.stride_tricks.sliding_window_view(data, length)[s], doc[a : a + RUN] + first, s - begin[doc[a : a + RUN]], ids, ths))
-                count += len(s)
-                if count >= RUN:
-                    yield from _run(held, splitters, length, f"{task}-{number}")
-                    held, count, number = [], 0, number + 1
+            u, back = np.unique(doc, return_inverse=True)
+            held.append((strings, [(ids[d + first], ths[d + first]) for d in u.tolist()], back, place, far, near))
+            count += len(doc)
+            if count >= RUN:
+                yield from _run(held, splitters, length, f"{task}-{number}", parts)
+                held, count, number = [], 0, number + 1
     if held:
-        yield from _run(held, splitters, length, f"{task}-{number}")
+        yield from _run(held, splitters, length, f"{task}-{number}", parts)
 
 
-def _run(held, splitters, length, name):
-    keys = sorted({(NULL_ID if i[d] is None else i[d], t[d]) for _, doc, _, i, t in held for d in np.unique(doc).tolist()})
+def _run(held, splitters, length, name, parts):
+    keys = sorted({k for x in held for k in x[1]})
     index = {k: n for n, k in enumerate(keys)}
-    strings = np.concatenate([x[0] for x in held])
-    who = []
-    for _, doc, _, i, t in held:
-        u, back = np.unique(doc, return_inverse=True)
-        who.append(np.array([index[NULL_ID if i[d] is None else i[d], t[d]] for d in u.tolist()])[back])
-    who, start = np.concatenate(who), np.concatenate([x[2] for x in held])
-    o = np.lexsort((start, who))
-    flat = np.ascontiguousarray(strings[o]).view(f"S{length}").ravel()
-    o2 = np.argsort(flat, kind="stable")
-    strings, who, start = strings[o][o2], who[o][o2], start[o][o2]
+    who = np.concatenate([np.array([index[k] for k in x[1]])[x[2]] for x in held])
+    strings, place, far, near = (np.concatenate([x[i] for x in held]) for i in (0, 3, 4, 5))
+    held.clear()
+    o = np.lexsort((place, who))
+    o = o[np.argsort(strings[o].view(f"S{strings.shape[1]}").ravel(), kind="stable")]
+    strings, who, place, far, near = strings[o], who[o], place[o], far[o], near[o]
     fresh = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
     lost = ~fresh
-    if len(who) > 1:  # rows of one document twice
-        lost[1:] &= ~((who[1:] == who[:-1]) & (start[1:] == start[:-1]))
-    yield from _marks(keys, who[lost], start[lost])
-    strings, who, start = strings[fresh], who[fresh], start[fresh]
-    cuts = np.searchsorted(np.ascontiguousarray(strings[:, : splitters.dtype.itemsize]).view(splitters.dtype).ravel(), splitters) if len(splitters) else np.zeros(0, int)
+    lost[1:] &= ~((who[1:] == who[:-1]) & (place[1:] == place[:-1]))  # rows of one document twice
+    yield from _marks(keys, who[lost], (place - far)[lost], (place - near)[lost] + length, parts)
+    strings, who, place, far, near = (x[fresh] for x in (strings, who, place, far, near))
+    width = splitters.dtype.itemsize
+    cuts = np.searchsorted(np.ascontiguousarray(strings[:, :width]).view(splitters.dtype).ravel(), splitters) if len(splitters) else np.zeros(0, int)
     ends = [0, *cuts.tolist(), len(strings)]
-    parts = [p for p in range(len(ends) - 1) if ends[p + 1] > ends[p]]
+    found = [p for p in range(len(ends) - 1) if ends[p + 1] > ends[p]]
     blobs = []
-    for p in parts:
+    for p in found:
         a, z = ends[p], ends[p + 1]
         shared, rest = front_code(strings[a:z])
         own, at = np.unique(who[a:z], return_inverse=True)
         table = np.array([keys[x] for x in own.tolist()], "<i8")
-        blobs.append(zlib.compress(b"".join([np.array([z - a, len(own)], "<u4").tobytes(), shared.tobytes(), table.tobytes(), at.astype("<u4").tobytes(), start[a:z].astype("<u4").tobytes(), rest]), 1))
-    n = len(parts)
-    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([name] * n, pa.string()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["part", "run", "piece", "doc_id", "th", "starts"])
+        blobs.append(zlib.compress(b"".join([np.array([z - a, len(own)], "<u4").tobytes(), shared.tobytes(), table.tobytes(), at.astype("<u4").tobytes(), place[a:z].astype("<u4").tobytes(), far[a:z].astype(np.uint8).tobytes(), near[a:z].astype(np.uint8).tobytes(), rest]), 1))
+    n = len(found)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([name] * n, pa.string()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
 
 
-def _marks(keys, who, start):
+def _marks(keys, who, begin, end, parts):
+    """A row for each document: its spans as pairs, dealt by document."""
     if not len(who):
         return
-    o = np.lexsort((start, who))
+    o = np.lexsort((begin, who))
     u, at = np.unique(who[o], return_index=True)
-    s = [x.astype("<u4").tobytes() for x in np.split(start[o], at[1:])]
-    n = len(u)
-    ids, ths = (pa.array([keys[x][i] for x in u.tolist()], pa.int64()) for i in (0, 1))
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), ids, ths, pa.array(s, pa.binary())], names=["part", "run", "piece", "doc_id", "th", "starts"])
+    pairs = np.column_stack([begin[o], end[o]]).astype("<u4")
+    s = [joined(x).tobytes() for x in np.split(pairs, at[1:])]
+    ids, ths = ([keys[x][i] for x in u.tolist()] for i in (0, 1))
+    yield pa.RecordBatch.from_arrays([pa.array([(i ^ t) % parts for i, t in zip(ids, ths, strict=True)], pa.int32()), pa.nulls(len(u), pa.string()), pa.nulls(len(u), pa.binary()), pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(s, pa.binary())], names=_NAMES)
+
 
+def joined(pairs: np.ndarray) -> np.ndarray:
+    """Spans (begin, end), sorted by begin, as maximal runs."""
+    top = np.maximum.accumulate(pairs[:, 1])
+    new = np.concatenate([[True], pairs[1:, 0] > top[:-1]])
+    at = np.flatnonzero(new)
+    return np.column_stack([pairs[at, 0], top[np.append(at[1:], len(pairs)) - 1]])
 
-def _open(piece: bytes, length: int) -> tuple[Run, np.ndarray]:
+
+def _open(piece: bytes, width: int) -> Run:
     data = zlib.decompress(piece)
     n, d = np.frombuffer(data, "<u4", 2).tolist()
     at = 8 + n
-    table = np.frombuffer(data, "<i8", 2 * d, at).reshape(d, 2)
+    table = [tuple(k) for k in np.frombuffer(data, "<i8", 2 * d, at).reshape(d, 2).tolist()]
     at += 16 * d
-    return Run(data[8 : 8 + n], data[at + 8 * n :], np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u4", n, at + 4 * n), length), table
-
-
-def _merge(batches, length: int):
-    parts: dict[int, list] = {}
+    docs = [table[i] for i in np.frombuffer(data, "<u4", n, at).tolist()]
+    place = np.frombuffer(data, "<u4", n, at + 4 * n).tolist()
+    return Run(data[8 : 8 + n], data[at + 10 * n :], docs, list(zip(place, data[at + 8 * n : at + 9 * n], data[at + 9 * n : at + 10 * n], strict=True)), width)
+
+
+def _settle(group: list, gram: int, side: int, out: list) -> None:
+    """Of suffixes that share the gram, [(suffix, document, (place, far, near))]: for each but the earliest of every string the spans it covers."""
+    group.sort(key=lambda g: (g[1], g[2][0]))
+    if len(group) == 2:
+        (a, _, _), (b, doc, (place, far, near)) = group
+        r = gram
+        while r < gram + side and a[r] == b[r] != OUTSIDE:
+            r += 1
+        left = gram + side
+        while left < gram + 2 * side and a[left] == b[left] != OUTSIDE:
+            left += 1
+        hi, lo = min(left - gram - side, far), max(side - (r - gram), near)
+        if hi >= lo and group[0][1:] != group[1][1:]:
+            out.append((doc, place - hi, place - lo + gram + side))
+        return
+    seen: set[bytes] = set()
+    before = None
+    for s, doc, (place, far, near) in group:
+        if (doc, place) == before:
+            continue  # a row of the same document again
+        before = doc, place
+        first = last = None
+        for o in range(near, far + 1):
+            key = s[gram : gram + side - o] + b"\xff" + s[gram + side : gram + side + o]
+            if key in seen:
+                first = o if first is None else first
+                last = o
+            else:
+                seen.add(key)
+                if first is not None:
+                    out.append((doc, place - last, place - first + gram + side))
+                    first = None
+        if first is not None:
+            out.append((doc, place - last, place - first + gram + side))
+
+
+def _merge(batches, length: int, gram: int, parts: int):
+    """Marks go through; pieces of a range are merged and settled."""
+    width, side = gram + 2 * (length - gram), length - gram
+    pieces: dict[int, list] = {}
     for b in batches:
+        sent = b.filter(b.column(2).is_null())
+        if sent.num_rows:
+            yield sent.select(["doc_id", "th", "spans"])
         for p, name, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            parts.setdefault(p, []).append((name, piece))
-    for p in sorted(parts):
-        opened = [_open(piece, length) for _, piece in sorted(parts.pop(p))]
-        keys = sorted({tuple(k) for _, t in opened for k in t.tolist()})
-        index = {k: i for i, k in enumerate(keys)}
-        runs = [r for r, _ in opened]
-        docs = [np.array([index[tuple(k)] for k in t.tolist()])[r.docs].tolist() for r, t in opened]
-        starts = [r.starts.tolist() for r in runs]
-        who, at = [], []
-        best = None
-        for r, equal in merge_runs(runs):
-            i = runs[r].i
-            here = docs[r][i], starts[r][i]
-            if not equal:
-                best = here
-                continue
-            if here < best:
-                here, best = best, here
-            if here != best:
-                who.append(here[0])
-                at.append(here[1])
-        for m in _marks(keys, np.array(who, np.int64), np.array(at, np.int64)):
-            yield m.select(["doc_id", "th", "starts"])
+            if piece is not None:
+                pieces.setdefault(p, []).append((name, piece))
+    for p in sorted(pieces):
+        runs = [_open(piece, width) for _, piece in sorted(pieces.pop(p))]
+        group: list = []
+        out: list = []
+        for r, shared in merge_runs(runs):
+            run = runs[r]
+            if shared < gram and group:
+                if len(group) > 1:
+                    _settle(group, gram, side, out)
+                group = []
+            group.append((run.head, run.docs[run.i], run.starts[run.i]))
+            if len(out) > 500_000:
+                yield from _batch(out, parts)
+                out = []
+        if len(group) > 1:
+            _settle(group, gram, side, out)
+        yield from _batch(out, parts)
+
+
+def _batch(out: list, parts: int):
+    keys = sorted({x[0] for x in out})
+    index = {k: i for i, k in enumerate(keys)}
+    for m in _marks(keys, np.array([index[x[0]] for x in out], np.int64), np.array([x[1] for x in out], np.int64), np.array([x[2] for x in out], np.int64), parts):
+        yield m.select(["doc_id", "th", "spans"])
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """texts: doc_id, th, text, no two of equal text. Returns doc_id, th, starts: where strings start that also start earlier (several rows a document)."""
+    """texts: doc_id, th, text, no two of equal text. Returns doc_id, th, spans: bytes in strings that also start earlier (several rows a document)."""
     spark = texts.sparkSession
     long = texts.where(F.octet_length("text") >= length)
 
@@ -292,27 +361,17 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def sample(batches):
         for b in batches:
             for _, part in chunks(b.column(0)):
-                data, _, starts, _, h = anchored(part, length, gram)
-                starts = starts[maybe_repeated(h, bits.value, FILTER_BITS)][::64]
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array([data[s : s + 16].tobytes() for s in starts.tolist()], pa.binary())], names=["s"])
+                strings = suffixes(part, bits.value, length, gram)[0][::8, :16]
+                if len(strings):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in strings], pa.binary())], names=["s"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     picked = long.where(F.pmod(F.xxhash64("th"), F.lit(32)) == 0).select("text").mapInArrow(sample, "s binary")
     spread = picked.distinct().orderBy(F.xxhash64("s")).limit(100 * parts).collect()  # splitters only: they steer load, not results
     found = np.sort(np.array([bytes(r.s) for r in spread], "S16"))
     splitters = np.unique(found[[len(found) * i // parts for i in range(1, parts)]]) if len(found) >= parts else found
-    schema = f"part int, run string, piece binary, {_MARKS}"
-    runs = cut(long.select("doc_id", "th", "text").mapInArrow(lambda it: _runs(it, bits, splitters, length, gram), schema))
-    merged = runs.where("part is not null").select("part", "run", "piece").repartition(parts, "part").mapInArrow(lambda it: _merge(it, length), _MARKS)
-    return runs.where("part is null").select("doc_id", "th", "starts").unionByName(merged)
-
-
-def spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes covered by strings at these starts: begins and ends."""
-    s = np.unique(starts)
-    new = np.concatenate([[True], s[1:] > s[:-1] + length])
-    return s[new], np.append(s[:-1][new[1:]], s[-1]) + length
+    runs = long.select("doc_id", "th", "text").mapInArrow(lambda it: _runs(it, bits, splitters, length, gram, parts), f"part int, run string, piece binary, {_MARKS}")
+    return runs.repartition(parts, "part").mapInArrow(lambda it: _merge(it, length, gram, parts), _MARKS)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
@@ -325,8 +384,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
     same = (F.col("doc_id") == F.col("cd")) & (F.col("th") == F.col("ct"))
     marks = repeats(plain.join(near, same, "left_anti"), length)
-    per = marks.groupBy("doc_id", "th").agg(F.collect_list("starts").alias("starts")).withColumn("whole", F.lit(False))
-    per = per.unionByName(copies.select(F.col("cd").alias("doc_id"), F.col("ct").alias("th"), F.array().cast("array<binary>").alias("starts"), F.lit(True).alias("whole")))
+    per = marks.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")).withColumn("whole", F.lit(False))
+    per = per.unionByName(copies.select(F.col("cd").alias("doc_id"), F.col("ct").alias("th"), F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole")))
 
     def strip(batches):
         for b in batches:
@@ -337,7 +396,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if whole and len(t) >= length:
                         kept, removed, n = b"", len(t), 1
                     elif s:
-                        begin, end = spans(np.frombuffer(b"".join(s), "<u4"), length)
+                        pairs = np.frombuffer(b"".join(s), "<u4").reshape(-1, 2)
+                        begin, end = joined(pairs[np.argsort(pairs[:, 0], kind="stable")]).T
                         keep = np.ones(len(t) + 1, np.int8)
                         for a, z in zip(begin.tolist(), end.tolist(), strict=True):
                             keep[a:z] = 0
@@ -350,8 +410,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text],
                 )
 
-    joined = plain.join(per, ["doc_id", "th"], "left").select("doc_id", "text", "starts", "whole")
-    out = joined.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    both = plain.join(per, ["doc_id", "th"], "left").select("doc_id", "text", "spans", "whole")
+    out = both.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
