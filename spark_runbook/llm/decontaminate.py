@@ -104,8 +104,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     found = hits(docs.select(*key, words(text).alias("ws")), item_windows(items), broadcast_windows)
     if found is None:
         return docs
-    bad = found.select(F.col("__id").alias("i"), F.col("__h").alias("h")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("i")) & (F.xxhash64(text) == F.col("h")), "left_anti")
+    bad = found.select(F.col("__id").alias("__bad_i"), F.col("__h").alias("__bad_h")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_i")) & (F.xxhash64(text) == F.col("__bad_h")), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
