@@ -99,11 +99,11 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("~"), F.lit("~t")), F.lit("|"), F.lit("~p")), F.lit("<"), F.lit("~l"))
+    return F.replace(F.replace(F.replace(F.replace(role, F.lit("~"), F.lit("~t")), F.lit("|"), F.lit("~p")), F.lit("<"), F.lit("~l")), F.lit("["), F.lit("~b"))
 
 
 def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("~l"), F.lit("<")), F.lit("~p"), F.lit("|")), F.lit("~t"), F.lit("~"))
+    return F.replace(F.replace(F.replace(F.replace(role, F.lit("~b"), F.lit("[")), F.lit("~l"), F.lit("<")), F.lit("~p"), F.lit("|")), F.lit("~t"), F.lit("~"))
 
 
 def format_chat(turns_df: DataFrame, turns_col: str = "turns") -> DataFrame:
@@ -161,7 +161,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e AS (SELECT *, length(replace(replace(replace(role, '~', '~t'), '|', '~p'), '<', '~l')) AS role_chars,
+e AS (SELECT *, length(replace(replace(replace(replace(role, '~', '~t'), '|', '~p'), '<', '~l'), '[', '~b')) AS role_chars,
       length(regexp_replace(regexp_replace(text, '([<\[]\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\\\2', 'g'), '$^', '')) AS text_chars FROM c)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
