@@ -26,6 +26,8 @@ from .common import cut, text_or_empty
 from .shingles import _VALUE, _powers, chunks, mix
 
 SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
+#: Features that chance alone may explain aren't used: half of the likelihood ratio statistic.
+LEAST_GAIN = 8.0
 PREFIX = 5
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -181,7 +183,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     live = [n for n in names if 0 < (sums[n] or 0) < sums["n"]]
     ids = np.zeros(0, np.uint64)
     if live:
-        best = [r["f"] for n in live for r in per.select("f", gain(n).alias("g")).orderBy(F.desc("g"), "f").limit(width // len(live)).collect()]
+        best = [r["f"] for n in live for r in per.select("f", gain(n).alias("g")).where(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "f").limit(width // len(live)).collect()]
         ids = np.unique(np.array(best, np.int64).view(np.uint64))
     chosen = F.array(*(F.lit(int(i)) for i in ids.view(np.int64))) if len(ids) else F.array().cast("array<long>")
     local = made.select("doc_id", *names, F.array_intersect("f", chosen).alias("f"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(folds)).alias("fold")).toPandas()  # the sample
