@@ -392,3 +392,36 @@ def dqm_stats(ob):
 @query("k17_run_of_file", "SELECT file_key, runnumber AS run FROM files_created", fc="files_created")
 def run_of(fc):
     return fc.select("file_key", status.run_of_file(F.col("filename")).alias("run"))
+
+
+def _written(df, write, *args):
+    """What is in the folder that write has filled."""
+    from ..streaming.stateful import shared_folder
+
+    path = shared_folder(df.sparkSession, "sink")
+    write(df, path, *args)
+    return df.sparkSession.read.parquet(path)
+
+
+@query("a3_write_streams", f"WITH {ROUTED_SQL} SELECT stream, CAST(run_number AS BIGINT) AS run_number, CAST(lumi_section AS BIGINT) AS lumi_section, count(*) AS n_events, CAST(sum(data_size) AS BIGINT) AS bytes FROM routed GROUP BY ALL", ev="daq_events")
+def write_streams(ev):
+    from ..sources.logs import write_streams as write
+
+    back = _written(routed(ev).select(*files.GROUP, "event_number", "data_size"), write)
+    return back.groupBy("stream", F.col("run_number").cast("long").alias("run_number"), F.col("lumi_section").cast("long").alias("lumi_section")).agg(F.count("*").alias("n_events"), F.sum("data_size").alias("bytes"))
+
+
+@query("a4_write_error_stream", "SELECT run_number, event_number, CAST(data_size AS VARCHAR) AS payload FROM daq_events WHERE message_code = 'ERROR_EVENT'", ev="daq_events")
+def write_errors(ev):
+    from ..sources.logs import write_errors as write
+
+    back = _written(ev.withColumn("payload", F.encode(F.col("data_size").cast("string"), "UTF-8")), write)
+    return back.select(F.col("run_number").cast("long").alias("run_number"), "event_number", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query("a5_write_faulty_stream", f"WITH {ASSEMBLED} SELECT CASE WHEN event_number % 2 = 0 THEN run_number ELSE 100 END AS run_number, count(*) AS n FROM ev WHERE CASE WHEN complete THEN fault_bits <> 0 ELSE fault_bits <> 128 END GROUP BY 1", fr="fragments")
+def write_faulty(fr):
+    from ..sources.logs import write_faulty as write
+
+    e = assembly.assemble(fr).withColumn("header_ok", F.col("event_number") % 2 == 0).withColumn("lumi_section", F.lit(1))
+    return _written(e, write, 100).groupBy(F.col("run_number").cast("long").alias("run_number")).agg(F.count("*").alias("n"))

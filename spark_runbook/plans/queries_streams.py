@@ -78,3 +78,21 @@ def expiry(spark, sf_dir):
 
 QUERIES["l8_consumer_expiry"] = expiry
 SQL["l8_consumer_expiry"] = with_views("WITH r AS (SELECT filter_unit % 16 AS consumer, event_number, CASE WHEN s_a = 1 THEN 'poll' ELSE 'event' END AS kind, CAST(floor(epoch(creation_time)) AS BIGINT) AS t FROM daq_events), c AS (SELECT *, coalesce(max(CASE WHEN kind = 'poll' THEN t END) OVER (PARTITION BY consumer ORDER BY event_number ROWS UNBOUNDED PRECEDING), min(t) OVER (PARTITION BY consumer)) AS contact FROM r) SELECT consumer, event_number FROM c WHERE t - contact > 3600 AND kind = 'event'")
+
+
+_LATE = "run_number long, lumi_section long, arrival timestamp, update_number long, sender long, bin long, content long"
+
+
+@stream("l5_drop_old_lumis", "lineitem", "SELECT run_number, count(*) AS n FROM (SELECT *, max(lumi_section) OVER (PARTITION BY run_number ORDER BY arrival, update_number, sender, lumi_section, bin, content ROWS UNBOUNDED PRECEDING) AS m FROM dqm_objects) WHERE lumi_section + 4 >= m GROUP BY 1")
+def late(li):
+    up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).select("run_number", "lumi_section", "arrival", "update_number", "sender", "bin", "content")
+    return ss.drain(ss.drop_old_lumis_stream(up, 4, _LATE), "append").groupBy("run_number").agg(F.count("*").alias("n"))
+
+
+@stream("l6_close_on_lumi_end", "events", "SELECT run_number, lumi_section, output_module_label AS stream, count(*) AS n_events, CAST(sum(data_size) AS BIGINT) AS bytes, 'LS ended' AS reason FROM daq_events WHERE lumi_section % 3 = 0 AND output_module_label <> 'none' GROUP BY ALL")
+def punctuated(ev):
+    """Every event of a third section also tells its end, as one of the rows of the same batch."""
+    e = _view(ev, "daq_events", "events").where("output_module_label <> 'none'")
+    kinds = F.when(F.col("lumi_section") % 3 == 0, F.array(F.lit("event"), F.lit("eols"))).otherwise(F.array(F.lit("event")))
+    rows = e.select("run_number", "lumi_section", F.col("output_module_label").alias("stream"), F.explode(kinds).alias("kind"), "data_size")
+    return ss.drain(ss.close_on_lumi_end(rows), "append")

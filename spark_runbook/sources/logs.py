@@ -23,6 +23,20 @@ def write_streams(df: DataFrame, path: str) -> None:
     df.repartition(*cols).write.mode("append").partitionBy(*cols).parquet(path)
 
 
+def write_errors(df: DataFrame, path: str) -> None:
+    """Raw payloads of error events by run, without a header."""
+    df.where("message_code = 'ERROR_EVENT'").select("run_number", "event_number", "payload").write.mode("append").partitionBy("run_number").parquet(path)
+
+
+def file_checksums(spark: SparkSession, path: str, book: DataFrame) -> DataFrame:
+    """Files of a folder against the book: path, adler32, matches. book: name, adler32 (0: not checked)."""
+    from ..operators.assembly import adler32
+
+    f = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("name"), adler32(F.col("content")).alias("adler32"))
+    b = book.select("name", F.col("adler32").alias("__b"))
+    return f.join(b, "name", "left").select("name", "adler32", (F.coalesce(F.col("__b"), F.lit(0)).isin(0) | (F.col("__b") == F.col("adler32"))).alias("matches"))
+
+
 def write_faulty(df: DataFrame, path: str, run: int) -> None:
     """Faulty events in a folder of their own; without header fields they go to the given run and section 0."""
     ok = F.col("header_ok")

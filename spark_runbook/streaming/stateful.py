@@ -141,3 +141,40 @@ def dqm_ready_stream(updates: DataFrame, expected: int) -> DataFrame:
             yield pd.DataFrame({"run_number": [k[0]], "lumi_section": [k[1]], "top_folder": [k[2]], "n": [expected]})
 
     return updates.groupBy("run_number", "lumi_section", "top_folder").applyInPandasWithState(step, "run_number long, lumi_section long, top_folder string, n long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drop_old_lumis_stream(updates: DataFrame, late: int, schema: str) -> DataFrame:
+    """Late updates dropped as they come: those more than ``late`` sections behind their run's largest so far. State is one number a run."""
+    order = ["arrival", "update_number", "sender", "lumi_section", "bin", "content"]
+
+    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order)
+        so_far = rows["lumi_section"].cummax().clip(lower=state.get[0] if state.exists else 0)
+        state.update((int(so_far.iloc[-1]),))
+        yield rows[rows["lumi_section"] + late >= so_far]
+
+    return updates.groupBy("run_number").applyInPandasWithState(step, schema, "top long", "append", GroupStateTimeout.NoTimeout)
+
+
+CLOSED = "run_number long, lumi_section long, stream string, n_events long, bytes long, reason string"
+
+
+def close_on_lumi_end(rows: DataFrame) -> DataFrame:
+    """Open sections of streams, closed by the end-of-section row of their run and section. rows: run_number, lumi_section, stream, kind of event or eols, data_size;
+    an end row is given for every stream. A row behind the end opens the section again."""
+
+    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, size = state.get if state.exists else (0, 0)
+        ended = False
+        for pdf in parts:
+            ev = pdf["kind"] == "event"
+            n, size, ended = n + int(ev.sum()), size + int(pdf.loc[ev, "data_size"].sum()), ended or bool((~ev).any())
+        if ended:
+            if state.exists:
+                state.remove()
+            if n:
+                yield pd.DataFrame({"run_number": [k[0]], "lumi_section": [k[1]], "stream": [k[2]], "n_events": [n], "bytes": [size], "reason": ["LS ended"]})
+        else:
+            state.update((n, size))
+
+    return rows.groupBy("run_number", "lumi_section", "stream").applyInPandasWithState(step, CLOSED, "n long, bytes long", "append", GroupStateTimeout.NoTimeout)

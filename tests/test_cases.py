@@ -65,6 +65,14 @@ def test_adler(spark, chunks):
     assert assembly.adler32_of(df, ["k"], "i", "c").first()["adler32"] == zlib.adler32(b"".join(chunks))
 
 
+def test_file_checksums(spark, tmp_path):
+    for n, d in (("a.dat", b"abc" * 99), ("b.dat", b""), ("c.dat", b"x")):
+        (tmp_path / n).write_bytes(d)
+    book = spark.createDataFrame([("a.dat", zlib.adler32(b"abc" * 99)), ("b.dat", 5), ("c.dat", 0)], "name string, adler32 long")
+    got = {r.name: r.matches for r in logs.file_checksums(spark, str(tmp_path), book).collect()}
+    assert got == {"a.dat": True, "b.dat": False, "c.dat": True}
+
+
 def fragments(spark, rows):
     return spark.createDataFrame([(1, 1, e, 1, 1, 1, i, n, 10, t) for e, i, n, t in rows], "code int, run_number long, event_number long, originator_pid long, originator_guid long, secondary_id long, frame_index int, num_frames int, data_size long, arrival timestamp_ntz")
 
