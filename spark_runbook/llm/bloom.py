@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared, give_back
+
 LOG2_BITS = 27
 CHUNK_LOG2 = 18
 
@@ -37,6 +39,7 @@ def _places(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, f"<u{data[:1].decode()}", -1, 1).astype(np.int64)) if data else np.zeros(0, np.int64)
 
 
+@give_back
 def _local(batches, log2_bits: int):
     seen, again = [], []
     for b in batches:
@@ -68,6 +71,7 @@ def _emit(h: np.ndarray, log2_bits: int):
     )
 
 
+@give_back
 def _merge(batches):
     chunks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
@@ -83,17 +87,17 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(np.packbits(two).tobytes(), 1)], pa.binary())], names=["chunk", "bits"])
 
 
-def merged_filter(parts: DataFrame, log2_bits: int = LOG2_BITS):
-    """Broadcast of the filter's bits that were set more than once. parts: what _emit makes of each partition."""
+def merged_filter(parts: DataFrame, log2_bits: int = LOG2_BITS) -> Shared:
+    """The filter's bits that were set more than once. parts: what _emit makes of each partition."""
     merged = parts.repartition(64, "chunk").mapInArrow(_merge, "chunk int, bits binary")
     whole = np.zeros((1 << log2_bits) // 8, np.uint8)
     size = (1 << CHUNK_LOG2) // 8
     for r in merged.collect():  # the filter's fixed size in all, whatever the input
         whole[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return parts.sparkSession.sparkContext.broadcast(whole)
+    return Shared(parts.sparkSession, whole)
 
 
-def repeated_filter(hashes: DataFrame, log2_bits: int = LOG2_BITS):
+def repeated_filter(hashes: DataFrame, log2_bits: int = LOG2_BITS) -> Shared:
     """The same for rows of hashes (one long column)."""
     known = hashes.where(F.col(hashes.columns[0]).isNotNull())
     return merged_filter(known.mapInArrow(lambda it: _local(it, log2_bits), "chunk int, once binary, twice binary"), log2_bits)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import functools
 import tempfile
+import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +55,40 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+class Shared:
+    """A numpy array for all tasks, broadcast compressed (a filter of few bits is small on disk and wire) and opened once a worker."""
+
+    _open: dict[str, np.ndarray] = {}
+
+    def __init__(self, spark: SparkSession, array: np.ndarray):
+        self.key, self.kind = uuid.uuid4().hex, array.dtype.str
+        self.data = spark.sparkContext.broadcast(zlib.compress(array.tobytes(), 1))
+
+    @property
+    def value(self) -> np.ndarray:
+        known = Shared._open
+        if self.key not in known:
+            while len(known) > 1:
+                known.pop(next(iter(known)))
+            known[self.key] = np.frombuffer(zlib.decompress(self.data.value), self.kind)
+        return known[self.key]
+
+
+def give_back(f):
+    """A function over batches whose worker returns freed memory to the system when the task ends: workers live on, and what one stage
+    has freed would otherwise count against the next."""
+
+    @functools.wraps(f)
+    def run(batches, *args):
+        try:
+            yield from f(batches, *args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library; nothing depends on it
+
+    return run

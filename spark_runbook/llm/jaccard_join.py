@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import LOG2_BITS, maybe_repeated, repeated_filter
-from .common import cut, text_or_empty
+from .common import cut, give_back, text_or_empty
 from .components import components
 from .shingles import chunks, frequency_levels, in_order, mix, shingle_sets
 
@@ -47,6 +47,7 @@ def matches_for(levels: np.ndarray, n: int, percent: int) -> int:
     return min(-(-percent * n // 100), 1 + n // SHINGLES_A_MATCH + int(np.log2(1 + often.sum() / max(1, len(often)))))
 
 
+@give_back
 def _prefixes(batches, q: int, percent: int, levels):
     for b in batches:
         for first, texts in chunks(b.column(2)):
@@ -78,6 +79,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, q: int) -> DataF
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     k = keys.select("nid", F.col("doc_id").alias("kd"), F.col("th").alias("kt"))
 
+    @give_back
     def run(batches):
         for b in batches:
             for first, texts in chunks(b.column(1)):
@@ -93,6 +95,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, q: int, perce
     pairs = cut(pairs.join(pb, "b").join(pa_, "a").where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b", "la", "lb"))
     s = cut(_sets(docs, nodes, pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), q))
 
+    @give_back
     def check(batches):
         for b in batches:
             keep = []

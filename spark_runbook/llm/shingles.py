@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared, give_back
+
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,10 +93,11 @@ def chunks(column: pa.Array):
 LOG2_COUNTERS, PART = 22, 1 << 16
 
 
-def frequency_levels(texts: DataFrame, q: int):
-    """Broadcast of a level for each counter of a sketch of all shingles of all texts: 0 for what noise may explain, more with the
+def frequency_levels(texts: DataFrame, q: int) -> Shared:
+    """A level for each counter of a sketch of all shingles of all texts: 0 for what noise may explain, more with the
     logarithm of the count. Counters have a fixed number (4 MB as sent); the levels only order shingles, so no result rests on them."""
 
+    @give_back
     def count(batches):
         total = np.zeros(1 << LOG2_COUNTERS, np.int32)
         some = False
@@ -122,7 +125,7 @@ def frequency_levels(texts: DataFrame, q: int):
         total[r.c * PART : (r.c + 1) * PART] = np.frombuffer(zlib.decompress(r.n), np.int64)
     mean = total.mean()
     over = np.maximum(0, total - mean - 3 * np.sqrt(mean))
-    return texts.sparkSession.sparkContext.broadcast(np.minimum(255, 4 * np.log2(1 + over)).astype(np.uint8))
+    return Shared(texts.sparkSession, np.minimum(255, 4 * np.log2(1 + over)).astype(np.uint8))
 
 
 def in_order(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
