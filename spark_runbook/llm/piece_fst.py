@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 from .shingles import chunks
 
 MARK = "▁"
 INF = float("inf")
-CACHE = 900_000
+CACHE = 200_000
 WORD_CHARS = 60
 ENDS = ".,!?;:|"
 
@@ -102,12 +103,16 @@ class PieceTransducer:
         """Whether piece b may stand right behind piece a."""
         key = a * self.size + b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             x, y = self.pieces[a], self.pieces[b]
             known = self.pairs[key] = self._merge(x + y) == [x, y]
         return known
 
+    def fallback(self, letter: str) -> tuple[int, ...]:
+        """Ids of the bytes of a letter that is no piece."""
+        return tuple(self.byte_ids.get(b, self.unk) for b in letter.encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unk,)
+
     def compose(self, letters: str) -> list[list[tuple[int, float, tuple[int, ...], int]]]:
         """The lattice: for each place its arcs (next place, cost, ids written, piece or -1)."""
         arcs = []
@@ -119,8 +124,7 @@ class PieceTransducer:
                 node = node.get(letters[z]) if z < len(letters) else None
                 z += 1
             if first not in self.ids:
-                ids = tuple(self.byte_ids.get(b, self.unk) for b in first.encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unk,)
-                here.append((at + 1, 1e6, ids, -1))
+                here.append((at + 1, 1e6, self.fallback(first), -1))
             arcs.append(here)
         return arcs
 
@@ -151,11 +155,52 @@ class PieceTransducer:
             out.append(ids)
         return [i for ids in reversed(out) for i in ids]
 
+    def only_path(self, letters: str) -> list[int]:
+        """The path of a merge model, the lattice composed as far as it is searched. All other paths cost infinitely much, so the first that
+        reaches the end is the shortest: depth first, long pieces first, states that lead nowhere marked."""
+        n, size, pairs = len(letters), self.size, self.pairs
+        arcs: list[list | None] = [None] * n
+        dead: set[tuple[int, int]] = set()
+        trail: list[tuple] = []
+
+        def of(at: int):
+            if (here := arcs[at]) is None:
+                here, node, z = [], self.tree.get(letters[at]), at + 1
+                while node is not None:
+                    if "" in node:
+                        here.append((z, node[""], None))
+                    node = node.get(letters[z]) if z < n else None
+                    z += 1
+                here.reverse()
+                if letters[at] not in self.ids:
+                    here.append((at + 1, -1, self.fallback(letters[at])))
+                arcs[at] = here
+            return iter(here)
+
+        at, last, it = 0, -1, of(0)
+        while True:
+            for z, piece, ids in it:
+                if last >= 0 and piece >= 0:
+                    ok = pairs.get(last * size + piece)
+                    if not (self.follows(last, piece) if ok is None else ok):
+                        continue
+                if (z, piece) in dead:
+                    continue
+                trail.append((at, last, it, piece if ids is None else ids))
+                if z == n:
+                    return [i for *_, x in trail for i in (x if isinstance(x, tuple) else (x,))]
+                at, last, it = z, piece, of(z)
+                break
+            else:
+                dead.add((at, last))
+                at, last, it, _ = trail.pop()
+
     def _unit(self, letters: str) -> bytes:
         if self.kinds_apart and letters[-1] in ENDS and (stem := letters.rstrip(ENDS)) and (stem[-1].isalpha()):
             kept = self._known(stem[1:], self.inner, MARK) if stem[0] == MARK and len(stem) > 1 else self._known(stem, self.bare, "")
             return kept + self._known(letters[len(stem) :], self.bare, "")
-        return np.array(self.shortest_path(self.compose(letters)), "<u4").tobytes()
+        ids = self.only_path(letters) if self.merges else self.shortest_path(self.compose(letters))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _line(self, line: str, prefix: str) -> bytes:
         if MARK in line or "  " in line or line.startswith(" ") or line.endswith(" "):
@@ -219,6 +264,7 @@ def transducer(path: str) -> PieceTransducer:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row a row of docs: its id, ids (if asked for), n_ids, ids_crc32, decoded_crc32 and whether decoding gives the text back."""
 
+    @give_back
     def run(batches):
         t = transducer(model_path)
         for b in batches:
