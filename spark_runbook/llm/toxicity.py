@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, give_back, text_or_empty
 from .shingles import _VALUE, _powers, chunks, mix
 
-SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
+SAMPLE, FEATURES, FOLDS = 10_000, 2048, 4
 #: Features that chance alone may explain aren't used: half of the likelihood ratio statistic.
 LEAST_GAIN = 8.0
 PREFIX = 5
@@ -161,6 +161,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         known = known.where(order < int((1 << 30) * (sample / total) * 0.98))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")  # at most about `sample` labels
 
+    @give_back
     def featurise(batches):
         for b in batches:
             for first, texts in chunks(b.column(1)):
@@ -189,6 +190,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     local = made.select("doc_id", *names, F.array_intersect("f", chosen).alias("f"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(folds)).alias("fold")).toPandas()  # the sample
     cols = np.concatenate([np.searchsorted(ids, np.array(f, np.int64).view(np.uint64)) for f in local["f"]]).astype(np.int64) if len(local) else np.zeros(0, np.int64)
     x = Sparse(np.repeat(np.arange(len(local)), [len(f) for f in local["f"]]), cols, len(local), len(ids), np.ones((len(local), 1)))
+    local = local.drop(columns="f")
     fold, weights, cuts = local["fold"].to_numpy(), [], []
     for n in names:
         y = local[n].to_numpy(np.float64)
@@ -207,6 +209,7 @@ def score_documents(docs: DataFrame, chain: Chain, keep: list[str] | None = None
     keep = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
+    @give_back
     def run(batches):
         c = shared.value
         for b in batches:
