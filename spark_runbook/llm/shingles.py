@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Shared, give_back
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,9 +103,8 @@ def frequency_levels(texts: DataFrame, q: int) -> Shared:
         some = False
         for b in batches:
             for _, part in chunks(b.column(0)):
-                for s in [np.concatenate(shingle_sets(part, q))]:
-                    total += np.bincount((s >> _U(64 - LOG2_COUNTERS)).astype(np.int64), minlength=len(total)).astype(np.int32)
-                    some = True
+                np.add.at(total, (np.concatenate(shingle_sets(part, q)) >> _U(64 - LOG2_COUNTERS)).astype(np.int64), 1)
+                some = True
         for c in range(len(total) // PART if some else 0):
             x = total[c * PART : (c + 1) * PART]
             small = x.max() < 256
