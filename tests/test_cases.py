@@ -112,6 +112,26 @@ def test_idle_times(spark):
     assert got == {4: 1.0, 3: 10.0, 2: 10.0, 1: 10.0}
 
 
+def test_idle_times_query(spark, sf):
+    """The registered query over the whole table, against a loop from the newest tick back."""
+    from collections import defaultdict
+
+    ticks = defaultdict(lambda: defaultdict(float))
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "value").collect():
+        ticks[r.user_id % 8][(100000 + r.ts.day) * 100 + 1 + r.ts.hour] += math.floor(r.value * 1000 + 0.5) / 1000
+    want = {}
+    for broker, idle in ticks.items():
+        group = []
+        for t in sorted(idle, reverse=True):
+            group.append(t)
+            if sum(idle[x] for x in group) <= 400.0 * len(group) or t == min(idle):
+                want |= {(broker, x): sum(idle[y] for y in group) / len(group) for x in group}
+                group = []
+    got = {(r.broker_id, r.tick): r.idle for r in registry.queries()["g20_smooth_idle_times"](spark, sf).collect()}
+    assert {t % 100 for _, t in got} == set(range(1, 25))
+    assert got == pytest.approx(want)
+
+
 def test_file_roll(spark):
     sizes = [50, 60, 200, 10, 20, 80, 5, 100]
     df = spark.createDataFrame([("s", 1, 1, i, v) for i, v in enumerate(sizes)], "stream string, run_number long, lumi_section long, o int, data_size long")
