@@ -12,7 +12,9 @@ stands to its left, read backwards: all strings that an anchor serves can be tol
 4. Pieces of a range meet in one task and are merged by a loser tree that keeps for each run's head the prefix it shares with the last
    suffix put out: heads that share different lengths are ordered by these alone, and others are compared from there on. Neighbours that
    share the gram are compared string by string.
-5. Marks are gathered by document and spans cut out of the texts.
+5. A gram that stands in many different surroundings (a common line, the edge of a common passage) isn't merged in one task: such grams are found in a
+   sample of documents, and their strings are sent as hashes of 16 bytes, dealt by hash over all tasks. Which grams these are steers load, not results.
+6. Marks are gathered by document and spans cut out of the texts.
 
 Defined results: null counts as empty; matches don't cross documents; documents of equal id are ordered by their text's hash; rows of
 equal id and text count as one document and get equal results; null ids come first; an empty table gives an empty result; other
@@ -39,6 +41,11 @@ FILTER_BITS = 28
 RUN = 300_000
 OUTSIDE = 0xFF  # no byte of UTF-8: where a document ends
 BROADCAST_KEYS = 500_000
+#: A gram with so many different suffixes in one of SAMPLED documents is settled by string; at most BROADCAST_KEYS grams, the most frequent ones.
+HOT, SAMPLED = 64, 32
+#: Larger groups are settled offset by offset, to hold the strings of one at a time.
+LARGE = 1_000
+_STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("start", "<u4")])
 _U = np.uint64
 NULL_ID = -(1 << 63)
 
@@ -167,7 +174,7 @@ _NAMES = ["part", "run", "piece", "doc_id", "th", "spans"]
 
 
 def suffixes(texts: list[bytes], bits: np.ndarray, length: int, gram: int):
-    """Of the anchors that may repeat: their suffixes (gram, right side, left side backwards), text, place in it, and the largest and least offset of strings they serve."""
+    """Of the anchors that may repeat: their suffixes (gram, right side, left side backwards), text, place in it, the largest and least offset of strings they serve, and the gram's hash."""
     data, begin, starts, place, h = anchored(texts, length, gram)
     p, at = np.unique(place, return_index=True)
     last = np.append(at[1:], len(place)) - 1
@@ -181,10 +188,10 @@ def suffixes(texts: list[bytes], bits: np.ndarray, length: int, gram: int):
     j = np.arange(side)
     out[:, gram : gram + side][j >= (begin[doc + 1] - p - gram)[:, None]] = OUTSIDE
     out[:, gram + side :][j >= (p - begin[doc])[:, None]] = OUTSIDE
-    return out, doc, p - begin[doc], far, near
+    return out, doc, p - begin[doc], far, near, h[at][again]
 
 
-def _runs(batches, bits, splitters: np.ndarray, length: int, gram: int, parts: int):
+def _runs(batches, bits, hot, splitters: np.ndarray, length: int, gram: int, parts: int):
     """Sorted, front-coded pieces of runs, and marks of what repeats inside a run."""
     held: list[tuple] = []
     count = 0
@@ -192,33 +199,38 @@ def _runs(batches, bits, splitters: np.ndarray, length: int, gram: int, parts: i
     for b in batches:
         ids, ths = ([NULL_ID if v is None else v for v in b.column(i).to_pylist()] for i in (0, 1))
         for first, texts in chunks(b.column(2)):
-            strings, doc, place, far, near = suffixes(texts, bits.value, length, gram)
+            strings, doc, place, far, near, h = suffixes(texts, bits.value, length, gram)
             if not len(doc):
                 continue
             u, back = np.unique(doc, return_inverse=True)
-            held.append((strings, [(ids[d + first], ths[d + first]) for d in u.tolist()], back, place, far, near))
+            held.append((strings, [(ids[d + first], ths[d + first]) for d in u.tolist()], back, place, far, near, np.isin(h, hot.value)))
             count += len(doc)
             if count >= RUN:
-                yield from _run(held, splitters, length, f"{task}-{number}", parts)
+                yield from _run(held, splitters, length, gram, f"{task}-{number}", parts)
                 held, count, number = [], 0, number + 1
     if held:
-        yield from _run(held, splitters, length, f"{task}-{number}", parts)
+        yield from _run(held, splitters, length, gram, f"{task}-{number}", parts)
 
 
-def _run(held, splitters, length, name, parts):
+def _run(held, splitters, length, gram, name, parts):
     keys = sorted({k for x in held for k in x[1]})
     index = {k: n for n, k in enumerate(keys)}
     who = np.concatenate([np.array([index[k] for k in x[1]])[x[2]] for x in held])
-    strings, place, far, near = (np.concatenate([x[i] for x in held]) for i in (0, 3, 4, 5))
+    strings, place, far, near, hot = (np.concatenate([x[i] for x in held]) for i in (0, 3, 4, 5, 6))
     held.clear()
     o = np.lexsort((place, who))
     o = o[np.argsort(strings[o].view(f"S{strings.shape[1]}").ravel(), kind="stable")]
-    strings, who, place, far, near = strings[o], who[o], place[o], far[o], near[o]
+    strings, who, place, far, near, hot = strings[o], who[o], place[o], far[o], near[o], hot[o]
     fresh = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
     lost = ~fresh
     lost[1:] &= ~((who[1:] == who[:-1]) & (place[1:] == place[:-1]))  # rows of one document twice
     yield from _marks(keys, who[lost], (place - far)[lost], (place - near)[lost] + length, parts)
+    common, fresh = fresh & hot, fresh & ~hot
+    if common.any():
+        yield from _strings(keys, *(x[common] for x in (strings, who, place, far, near)), length, gram, parts)
     strings, who, place, far, near = (x[fresh] for x in (strings, who, place, far, near))
+    if not len(strings):
+        return
     width = splitters.dtype.itemsize
     cuts = np.searchsorted(np.ascontiguousarray(strings[:, :width]).view(splitters.dtype).ravel(), splitters) if len(splitters) else np.zeros(0, int)
     ends = [0, *cuts.tolist(), len(strings)]
@@ -234,6 +246,45 @@ def _run(held, splitters, length, name, parts):
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([name] * n, pa.string()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
 
 
+def _strings(keys, strings, who, place, far, near, length: int, gram: int, parts: int):
+    """Of a run's suffixes of common grams: hashes of their strings, dealt by hash, and marks of what repeats inside the run. Strings at different offsets of the anchor differ."""
+    ids = np.array(keys, "<i8")
+    held, count = [], 0
+    for o in range(length - gram + 1):
+        at = np.flatnonzero((near <= o) & (o <= far))
+        if len(at):
+            text = np.concatenate([strings[at, : length - o], strings[at, length : length + o], np.full((len(at), 1), o, np.uint8)], axis=1).tobytes()
+            key = np.frombuffer(b"".join(hashlib.blake2b(text[i : i + length + 1], digest_size=16).digest() for i in range(0, len(text), length + 1)), "<u8").reshape(-1, 2)
+            start = place[at] - o
+            order = np.lexsort((start, who[at], key[:, 1], key[:, 0]))
+            key, w, start = key[order], who[at][order], start[order]
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
+            lost = ~fresh
+            lost[1:] &= ~((w[1:] == w[:-1]) & (start[1:] == start[:-1]))  # rows of one document twice
+            yield from _marks(keys, w[lost], start[lost], start[lost] + length, parts)
+            rows = np.empty(int(fresh.sum()), _STRING)
+            rows["a"], rows["b"], rows["doc"], rows["th"], rows["start"] = *key[fresh].T, *ids[w[fresh]].T, start[fresh]
+            held.append(rows)
+            count += len(rows)
+        if held and (count >= RUN or o == length - gram):
+            rows = np.concatenate(held)
+            part = (rows["a"] % _U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            found, first = np.unique(part[order], return_index=True)
+            blobs, n = [x.tobytes() for x in np.split(rows[order], first[1:])], len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.nulls(n, pa.string()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
+            held, count = [], 0
+
+
+def _settle_strings(rows: np.ndarray, length: int, parts: int):
+    """Marks of all but the earliest of equal strings."""
+    rows = rows[np.lexsort([rows[c] for c in ("start", "th", "doc", "b", "a")])]
+    same = lambda *c: np.logical_and.reduce([rows[x][1:] == rows[x][:-1] for x in c])
+    lost = rows[1:][same("a", "b") & ~same("doc", "th", "start")]
+    for i in range(0, len(lost), RUN):
+        yield from _batch([((d, t), b, b + length) for _, _, d, t, b in lost[i : i + RUN].tolist()], parts)
+
+
 def _marks(keys, who, begin, end, parts):
     """A row for each document: its spans as pairs, dealt by document."""
     if not len(who):
@@ -280,6 +331,9 @@ def _settle(group: list, gram: int, side: int, out: list) -> None:
         if hi >= lo and group[0][1:] != group[1][1:]:
             out.append((doc, place - hi, place - lo + gram + side))
         return
+    if len(group) > LARGE:
+        _settle_large(group, gram, side, out)
+        return
     seen: set[bytes] = set()
     before = None
     for s, doc, (place, far, near) in group:
@@ -301,17 +355,39 @@ def _settle(group: list, gram: int, side: int, out: list) -> None:
             out.append((doc, place - last, place - first + gram + side))
 
 
+def _settle_large(group: list, gram: int, side: int, out: list) -> None:
+    """As _settle, for a sorted group of any size."""
+    lost = np.zeros((len(group), side + 2), np.int8)
+    for o in range(side + 1):
+        seen: dict[bytes, tuple] = {}
+        for i, (s, doc, (place, far, near)) in enumerate(group):
+            if near <= o <= far and seen.setdefault(s[gram : gram + side - o] + s[gram + side : gram + side + o], (doc, place)) != (doc, place):
+                lost[i, o] = 1
+    step = np.diff(lost, axis=1, prepend=0)
+    for (i, first), (_, end) in zip(np.argwhere(step == 1).tolist(), np.argwhere(step == -1).tolist(), strict=True):
+        _, doc, (place, _, _) = group[i]
+        out.append((doc, place - end + 1, place - first + gram + side))
+
+
 def _merge(batches, length: int, gram: int, parts: int):
-    """Marks go through; pieces of a range are merged and settled."""
+    """Marks go through; pieces of a range are merged and settled, and so are strings of common grams."""
     width, side = gram + 2 * (length - gram), length - gram
     pieces: dict[int, list] = {}
+    common: list[np.ndarray] = []
     for b in batches:
         sent = b.filter(b.column(2).is_null())
         if sent.num_rows:
             yield sent.select(["doc_id", "th", "spans"])
         for p, name, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if piece is not None:
+            if piece is not None and name is None:
+                common.append(np.frombuffer(piece, _STRING))
+            elif piece is not None:
                 pieces.setdefault(p, []).append((name, piece))
+    if common:
+        rows = np.concatenate(common)
+        common.clear()
+        yield from _settle_strings(rows, length, parts)
+        del rows
     for p in sorted(pieces):
         runs = [_open(piece, width) for _, piece in sorted(pieces.pop(p))]
         group: list = []
@@ -338,8 +414,8 @@ def _batch(out: list, parts: int):
         yield m.select(["doc_id", "th", "spans"])
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """texts: doc_id, th, text, no two of equal text. Returns doc_id, th, spans: bytes in strings that also start earlier (several rows a document)."""
+def dealt_runs(texts: DataFrame, parts: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """texts: doc_id, th, text, no two of equal text. Returns the pieces of all runs, strings of common grams and marks, by the part that settles them."""
     spark = texts.sparkSession
     long = texts.where(F.octet_length("text") >= length)
 
@@ -365,13 +441,32 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 if len(strings):
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in strings], pa.binary())], names=["s"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = long.where(F.pmod(F.xxhash64("th"), F.lit(32)) == 0).select("text").mapInArrow(sample, "s binary")
+    def surroundings(batches):
+        for b in batches:
+            for _, part in chunks(b.column(0)):
+                strings, *_, h = suffixes(part, bits.value, length, gram)
+                if len(h):
+                    w = np.zeros(len(h), np.uint64)
+                    with np.errstate(over="ignore"):
+                        for column in strings.T:
+                            w = w * _U(0x9E3779B97F4A7C15) + _VALUE_ANY_CASE[column]
+                    found = np.unique(np.column_stack([h, w]).view(np.int64), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["h", "w"])
+
+    few = long.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLED)) == 0).select("text")
+    often = few.mapInArrow(surroundings, "h long, w long").distinct().groupBy("h").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "h").limit(BROADCAST_KEYS).select("h")
+    hot = spark.sparkContext.broadcast(often.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    picked = few.mapInArrow(sample, "s binary")
     spread = picked.distinct().orderBy(F.xxhash64("s")).limit(100 * parts).collect()  # splitters only: they steer load, not results
     found = np.sort(np.array([bytes(r.s) for r in spread], "S16"))
     splitters = np.unique(found[[len(found) * i // parts for i in range(1, parts)]]) if len(found) >= parts else found
-    runs = long.select("doc_id", "th", "text").mapInArrow(lambda it: _runs(it, bits, splitters, length, gram, parts), f"part int, run string, piece binary, {_MARKS}")
-    return runs.repartition(parts, "part").mapInArrow(lambda it: _merge(it, length, gram, parts), _MARKS)
+    return long.select("doc_id", "th", "text").mapInArrow(lambda it: _runs(it, bits, hot, splitters, length, gram, parts), f"part int, run string, piece binary, {_MARKS}")
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """texts: doc_id, th, text, no two of equal text. Returns doc_id, th, spans: bytes in strings that also start earlier (several rows a document)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt_runs(texts, parts, length, gram).repartition(parts, "part").mapInArrow(lambda it: _merge(it, length, gram, parts), _MARKS)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:

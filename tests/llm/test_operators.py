@@ -340,6 +340,36 @@ def test_suffix_cases(spark):
     assert suffix_dedup.strip_repeats(docs_of(spark, ODD)).count() == len(ODD)
 
 
+def test_common_line(spark):
+    """A line of 70 bytes and a passage of 120 in all documents: results as by brute force, and no group of suffixes to merge in one task that grows with the documents."""
+    rnd = np.random.default_rng(11)
+    rand = lambda n: "".join(chr(97 + x) for x in rnd.integers(0, 26, n))
+    line, passage = rand(70), rand(120)
+    t = [(i, rand(45) + line + rand(45) if i % 2 else rand(20) + passage + rand(20)) for i in range(12_000)]
+    t += [(i, rand(9) + t[i - 12_000][1][5:150] + rand(i % 7)) for i in range(12_000, 12_200)]
+    df = docs_of(spark, t).repartition(4)
+    assert _strip(df) == brute_repeats(t)
+    runs = defaultdict(list)
+    for r in suffix_dedup.dealt_runs(df.select("doc_id", F.xxhash64("text").alias("th"), "text"), 4).collect():
+        if r.run is not None:
+            runs[r.part].append(suffix_dedup._open(bytes(r.piece), 140))
+    grams = Counter(x[r].head[:60] for x in runs.values() for r, _ in suffix_dedup.merge_runs(x))
+    assert max(grams.values(), default=0) < 4_000
+
+
+def test_large_group():
+    rnd = np.random.default_rng(12)
+    group = [(b"g" * 60 + rnd.integers(97, 99, 80, np.uint8).tobytes() if i % 3 else b"g" * 60 + b"ab" * 40, (int(rnd.integers(0, 40)), 0), (int(rnd.integers(0, 90)), 40 - i % 9, i % 11)) for i in range(400)]
+    group = [(s[:70] + b"x" * 30 + s[100:108] + b"y" * 32, d, p) for s, d, p in group]
+    group = list({(d, p[0]): (s, d, p) for s, d, p in group}.values())
+    covered = []
+    for settle in (suffix_dedup._settle, lambda g, *x: suffix_dedup._settle_large(sorted(g, key=lambda y: (y[1], y[2][0])), *x)):
+        out = []
+        settle(list(group), 60, 40, out)
+        covered.append(sorted(out))
+    assert covered[0] == covered[1] != []
+
+
 def test_loser_tree():
     rnd = np.random.default_rng(3)
     runs, every = [], []
