@@ -19,10 +19,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 1) -> DataFrame:
-    """A table's Parquet as a stream."""
+    """A table's Parquet, a file or a folder of part files, as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
-    return src.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return src.parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may match a file or a folder; a plain path must be a folder
 
 
 def drain(stream: DataFrame, mode: str, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -201,6 +201,15 @@ def test_buffer(spark, tmp_path, policy):
     assert got == want
 
 
+def test_read_table_layouts(spark, tmp_path):
+    df = spark.range(50).withColumn("v", F.col("id") * 2)
+    df.repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    df.toPandas().to_parquet(tmp_path / "single.parquet")
+    for name in ("parts", "single"):
+        got = stateful.drain(stateful.read_table(spark, str(tmp_path), name), "append").collect()
+        assert sorted((r.id, r.v) for r in got) == [(i, 2 * i) for i in range(50)]
+
+
 def test_registry():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(registry.queries()) > 150
