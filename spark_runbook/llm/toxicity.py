@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, text_or_empty
 from .shingles import _VALUE, _powers, chunks, mix
 
-SAMPLE, FEATURES, FOLDS = 10_000, 2048, 4
+SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
 #: Features that chance alone may explain aren't used: half of the likelihood ratio statistic.
 LEAST_GAIN = 8.0
 PREFIX = 5
@@ -186,10 +186,21 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     if live:
         best = [r["f"] for n in live for r in per.select("f", gain(n).alias("g")).where(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "f").limit(width // len(live)).collect()]
         ids = np.unique(np.array(best, np.int64).view(np.uint64))
-    chosen = F.array(*(F.lit(int(i)) for i in ids.view(np.int64))) if len(ids) else F.array().cast("array<long>")
-    local = made.select("doc_id", *names, F.array_intersect("f", chosen).alias("f"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(folds)).alias("fold")).toPandas()  # the sample
-    cols = np.concatenate([np.searchsorted(ids, np.array(f, np.int64).view(np.uint64)) for f in local["f"]]).astype(np.int64) if len(local) else np.zeros(0, np.int64)
-    x = Sparse(np.repeat(np.arange(len(local)), [len(f) for f in local["f"]]), cols, len(local), len(ids), np.ones((len(local), 1)))
+    fold_of = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(folds)).cast("int").alias("fold")
+
+    def number(batches):
+        for b in batches:
+            out = []
+            for f in b.column(0):
+                f = f.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(ids, f)
+                out.append(at[ids[np.minimum(at, len(ids) - 1)] == f].astype("<i4").tobytes() if len(ids) else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *b.columns[1:]], names=["f", *names, "fold"])
+
+    # the sample, as column numbers of the chosen features
+    local = made.select("f", *names, fold_of).mapInArrow(number, ", ".join(["f binary", *(f"`{n}` int" for n in names), "fold int"])).toPandas()
+    cols = np.frombuffer(b"".join(local["f"]), "<i4").astype(np.int64)
+    x = Sparse(np.repeat(np.arange(len(local)), [len(f) // 4 for f in local["f"]]), cols, len(local), len(ids), np.ones((len(local), 1)))
     local = local.drop(columns="f")
     fold, weights, cuts = local["fold"].to_numpy(), [], []
     for n in names:

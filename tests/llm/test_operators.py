@@ -161,6 +161,15 @@ def test_pieces_odd(spark):
 # 3
 
 
+def test_toxicity_sample(spark):
+    """Of 12,000 labels none is left out: words that stand in three toxic documents only are all found."""
+    rare = [f"z{i:02}q" for i in range(40)]
+    t = [(i, f"{rare[i % 40]} some words" if i < 120 else f"some words of text {i % 7}") for i in range(12_000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 120)) for i in range(12_000)], "doc_id long, quality int, toxic int")
+    chain = toxicity.document_chain(docs_of(spark, t), labels)
+    assert {int(toxicity.features([w.encode()])[0][0]) for w in rare} <= {int(x) for x in chain.ids}
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
