@@ -286,4 +286,4 @@ def op2_piece_fst(spark: SparkSession, sf_dir: str, model_path: str | None = Non
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_documents(docs, model_path or public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_documents(docs, model_path or public_tokenizers.path("piece_bpe_32k.model"))

@@ -158,6 +158,14 @@ def test_pieces_odd(spark):
     assert piece_fst.encode_documents(docs_of(spark, []), PIECES).count() == 0
 
 
+def test_piece_query(spark, sf, texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r.doc_id: r.ids for r in queries.queries()["op2_piece_fst"](spark, sf).collect()}
+    assert got == {i: lib.encode(t or "") for i, t in texts.items()}
+
+
 # 3
 
 
