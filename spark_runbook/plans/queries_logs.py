@@ -77,8 +77,7 @@ def insert(fc):
 @query("a13_storage_page_status", "SELECT hostname, CAST(count(*) FILTER (file_key % 50 = 0) + 100 * count(*) FILTER (file_key % 50 = 1) + 1000 * count(*) FILTER (file_key % 50 = 2) AS BIGINT) AS score FROM files_created GROUP BY 1", fc="files_created")
 def pages(fc):
     part = F.when(F.col("file_key") % 50 == 0, "<td>Disk 3 has failed</td>").when(F.col("file_key") % 50 == 1, "<td>Controller 1 has failed</td>").when(F.col("file_key") % 50 == 2, "<td>Fan has failed</td>").otherwise("<td>ok</td>")
-    page = fc.groupBy("hostname").agg(F.array_join(F.collect_list(part), "").alias("html"))
-    return page.select("hostname", logs.storage_page_status(F.col("html")).cast("long").alias("score"))
+    return fc.groupBy("hostname").agg(F.sum(logs.storage_page_status(part)).alias("score"))
 
 
 @query("a14_reject_incomplete", "SELECT file_key FROM files_created LEFT JOIN files_injected USING (file_key) WHERE nevents IS NULL", fc="files_created", fi="files_injected")

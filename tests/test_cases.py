@@ -210,6 +210,12 @@ def test_read_table_layouts(spark, tmp_path):
         assert sorted((r.id, r.v) for r in got) == [(i, 2 * i) for i in range(50)]
 
 
+def test_pages_not_gathered(spark, sf):
+    """Pages are scored a file and summed, not joined to one text a host."""
+    plan = registry.queries()["a13_storage_page_status"](spark, sf)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_registry():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(registry.queries()) > 150
