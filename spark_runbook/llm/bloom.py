@@ -18,6 +18,8 @@ from .common import Shared, give_back
 
 LOG2_BITS = 27
 CHUNK_LOG2 = 18
+#: So many hashes of a task are sorted at a time.
+FLUSH = 500_000
 
 
 def positions(h: np.ndarray, log2_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +43,11 @@ def _places(data: bytes) -> np.ndarray:
 
 @give_back
 def _local(batches, log2_bits: int):
-    seen, again = [], []
+    seen = []
     for b in batches:
         h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         seen.append(h)
-        if sum(map(len, seen)) > 2_000_000:
+        if sum(map(len, seen)) > FLUSH:
             yield from _emit(np.concatenate(seen), log2_bits)
             seen = []
     if seen:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs in one process (tests)."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
-        where = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -57,6 +61,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def renamed(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df with its columns named by place, the new names of ``cols``, and what gives a result its old columns back: so that no column an
+    operator adds can meet one of the input's."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    at = {c.lower(): n for c, n in zip(df.columns, new, strict=True)}
+    return df.toDF(*new), [at[c.lower()] for c in cols], lambda out: out.select(*(F.col(n).alias(c) for n, c in zip(new, df.columns, strict=True)))
+
+
+SALTS, HEAVY = 64, 500
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined to groups (a row a key, with its number of rows) by key. Keys with more than a ``HEAVY``-th of all rows, so at most ``HEAVY``
+    of them, are dealt over ``SALTS`` tasks: their rows by ``spread``, their row of groups once for each."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    heavy = [r[0] for r in groups.where(F.col(count) > max(200, total // HEAVY)).select(key).collect()]  # at most HEAVY keys
+    if not heavy:
+        return rows.join(groups, key, how)
+    split = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    left = rows.withColumn("__salt", F.when(split, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    right = groups.withColumn("__salt", F.explode(F.when(split, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 class Shared:
     """A numpy array for all tasks, broadcast compressed (a filter of few bits is small on disk and wire) and opened once a worker."""
 

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty
+from .common import ascii_lower, renamed, text_or_empty
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -98,14 +98,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs without the documents in which a window occurs; same columns."""
-    text = text_or_empty(text_col)
-    key = [F.col(id_col).alias("__id"), F.xxhash64(text).alias("__h")]
-    found = hits(docs.select(*key, words(text).alias("ws")), item_windows(items), broadcast_windows)
+    """docs without the documents in which a window occurs; same columns, whatever their names."""
+    plain, (i, t), restore = renamed(docs, id_col, text_col)
+    text = text_or_empty(t)
+    key = [F.col(i).alias("__id"), F.xxhash64(text).alias("__h")]
+    found = hits(plain.select(*key, words(text).alias("ws")), item_windows(items), broadcast_windows)
     if found is None:
         return docs
     bad = found.select(F.col("__id").alias("__bad_i"), F.col("__h").alias("__bad_h")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_i")) & (F.xxhash64(text) == F.col("__bad_h")), "left_anti")
+    return restore(plain.join(bad, F.col(i).eqNullSafe(F.col("__bad_i")) & (F.xxhash64(text) == F.col("__bad_h")), "left_anti"))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BREAK = np.zeros(256, bool)
-_BREAK[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
 _VALUE_ANY_CASE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _VALUE = _VALUE_ANY_CASE[_LOWER]
 _FACTOR = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
@@ -31,8 +32,8 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64; n is at most a window and its margins, so what is kept has a fixed size."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, CHUNK_BYTES * 2)
         out = []
@@ -45,18 +46,57 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def hashed_runs(data: np.ndarray, solid: np.ndarray, values: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of bytes that ``solid`` (a table) marks: its polynomial hash, where it starts, and its length. Works in windows of
+    a fixed size; a run that crosses windows is put together from its parts."""
+    hashes, starts, lengths = [], [], []
+    open_h, open_at, open_n = 0, 0, 0
+    for a in range(0, len(data), CHUNK_BYTES * 2):
+        d = data[a : a + CHUNK_BYTES * 2]
+        edge = np.flatnonzero(np.diff(solid[d], prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        p, inverse = powers(len(d))
+        with np.errstate(over="ignore"):
+            run = np.cumsum(values[d] * p)
+            h = (run[end - 1] - run[start] + values[d[start]] * p[start]) * inverse[start]
+        n = end - start
+        if open_n:
+            if len(start) and start[0] == 0:  # the open run goes on
+                open_h = (open_h + pow(_BASE, open_n, 1 << 64) * int(h[0])) & 0xFFFFFFFFFFFFFFFF
+                open_n += int(n[0])
+                h, start, n = h[1:], start[1:], n[1:]
+                if open_n + open_at == a + len(d) and a + len(d) < len(data):
+                    continue
+            hashes.append(np.array([open_h], np.uint64))
+            starts.append(np.array([open_at]))
+            lengths.append(np.array([open_n]))
+            open_n = 0
+        if len(start) and start[-1] + n[-1] == len(d) and a + len(d) < len(data):
+            open_h, open_at, open_n = int(h[-1]), a + int(start[-1]), int(n[-1])
+            h, start, n = h[:-1], start[:-1], n[:-1]
+        hashes.append(h)
+        starts.append(start + a)
+        lengths.append(n)
+    if open_n:
+        hashes.append(np.array([open_h], np.uint64))
+        starts.append(np.array([open_at]))
+        lengths.append(np.array([open_n]))
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(lengths)
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a line end behind each, and where each starts (len(texts) + 1)."""
+    return np.frombuffer(b"\n".join([*texts, b""]), np.uint8), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts (A-Z as a-z), and where each text's words start (len(texts) + 1)."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    solid = ~_BREAK[data]
-    edge = np.flatnonzero(np.diff(solid, prepend=False))
-    start, end = edge[::2], edge[1::2]
-    p, inverse = _powers(len(data))
+    data, first = joined(texts)
+    word, start, n = hashed_runs(data, _SOLID)
     with np.errstate(over="ignore"):
-        run = np.cumsum(_VALUE[data] * p)
-        word = (run[end - 1] - run[start] + _VALUE[data[start]] * p[start]) * inverse[start]
-        word += (end - start).astype(np.uint64) * _U(_BASE)
-    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        word += n.astype(np.uint64) * _U(_BASE)
     return mix(word), np.searchsorted(start, first)
 
 
@@ -77,17 +117,13 @@ def shingle_sets(texts: list[bytes], q: int) -> list[np.ndarray]:
 
 
 def chunks(column: pa.Array):
-    """(first row, texts as bytes) of at most about CHUNK_BYTES, or of one text."""
-    batch, size, first = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
-        b = (t or "").encode()
-        if batch and size + len(b) > CHUNK_BYTES:
-            yield first, batch
-            batch, size, first = [], 0, i
-        batch.append(b)
-        size += len(b)
-    if batch:
-        yield first, batch
+    """(first row, texts as bytes) of at most about CHUNK_BYTES, or of one text. Cut by the column's own offsets, so no more than that is copied at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, done = 0, 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
+        yield first, [t or b"" for t in column.slice(first, last - first).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+        first, done = last, int(ends[last - 1])
 
 
 LOG2_COUNTERS, PART = 22, 1 << 16

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, text_or_empty
-from .shingles import _VALUE, _powers, chunks, mix
+from .common import cut, give_back, renamed, text_or_empty
+from .shingles import _VALUE, chunks, hashed_runs, joined, mix, powers
 
 SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
 #: Features that chance alone may explain aren't used: half of the likelihood ratio statistic.
@@ -35,17 +35,14 @@ _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the distinct hashes of its words and word beginnings."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    edge = np.flatnonzero(np.diff(_WORD[data], prepend=False))
-    start, end = edge[::2], edge[1::2]
-    p, inverse = _powers(len(data) + 1)
+    data, first = joined(texts)
+    word, start, n = hashed_runs(data, _WORD)
+    s = start[n > PREFIX]
+    begin = np.zeros(len(s), np.uint64)
     with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * p[: len(data)])])
-        word = mix((run[end] - run[start]) * inverse[start], 3)
-        long = end - start > PREFIX
-        s = start[long]
-        begin = mix((run[s + PREFIX] - run[s]) * inverse[s], 4)
-    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        for k, p in enumerate(powers(PREFIX)[0]):
+            begin += _VALUE[data[s + k]] * p
+    word, begin = mix(word, 3), mix(begin, 4)
     a, b = np.searchsorted(start, first), np.searchsorted(s, first)
     return [np.unique(np.concatenate([word[a[i] : a[i + 1]], begin[b[i] : b[i + 1]]])) for i in range(len(texts))]
 
@@ -245,9 +242,9 @@ def document_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic; same columns."""
-    chain = document_chain(docs, labels)
-    return score_documents(docs, chain, keep=docs.columns).where(~F.col("is_toxic")).select(*docs.columns)
+    """docs without those predicted toxic; same columns, whatever their names."""
+    plain, (i, t), restore = renamed(docs, "doc_id", "text")
+    return restore(score_documents(plain, document_chain(docs, labels), keep=plain.columns, id_col=i, text_col=t).where(~F.col("is_toxic")))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
