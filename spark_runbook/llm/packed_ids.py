@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import cut, shared_dir, text_or_empty, utf8_bytes
+from .common import cut, give_back, shared_dir, text_or_empty, utf8_bytes
 
 BLOCK = 4096
 MAGIC = b"PKIDS\x01"
@@ -120,9 +120,10 @@ class PackedWriter:
 class WordEncoder:
     """A tokenizers file applied to whole texts by way of a bounded cache of words.
 
-    Allowed where no pre-token crosses a space, tab or line end, as in the word-level BPE files here: the ids of a text are then the
+    Allowed where no pre-token crosses a space, tab or line end (checked on pairs of words of all kinds): the ids of a text are then the
     ids of its words. Unknown words of letters alone are encoded many at a time; where one word ends is told by the pieces that end a
-    word, and if their number isn't that of the words, each word is encoded alone. The cache is emptied when full.
+    word, and if their number isn't that of the words, each word is encoded alone. Closing punctuation is cut off only where the word is of
+    letters alone after normalising too (lower-casing can make marks that join what follows). The cache is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -135,6 +136,14 @@ class WordEncoder:
         self.final = np.zeros(self.vocab, bool)
         self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        probes = ["a", "Ab", "7", "'s", "it's", ".", "...", "é", "\u0301", "\u0345", "中", "😀", "İ", "<", "|>", "_", "-1"]
+        pairs = [(a, b, s) for a in probes for b in probes for s in " \n\t\r"]
+        if any(self.tok.encode(a + s + b, add_special_tokens=False).ids != [*self.tok.encode(a, add_special_tokens=False).ids, *self.tok.encode(b, add_special_tokens=False).ids] for a, b, s in pairs):
+            raise ValueError("words of this file can't be encoded apart")
+
+    def _letters(self, w: str) -> bool:
+        """Whether w is of letters alone, as it is and normalised."""
+        return w.isalpha() and (w.isascii() or self.tok.normalizer is None or self.tok.normalizer.normalize_str(w).isalpha())
 
     def _alone(self, words: list[str]) -> dict[str, bytes]:
         return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
@@ -142,9 +151,9 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         plain, ended, rest = [], [], []
         for w in words:
-            if w.isalpha():
+            if self._letters(w):
                 plain.append(w)
-            elif (stem := w.rstrip(ENDS)) != w and stem.isalpha():
+            elif (stem := w.rstrip(ENDS)) != w and self._letters(stem):
                 ended.append((w, stem))
             else:
                 rest.append(w)
@@ -246,7 +255,7 @@ def write_packed(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, id
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.n], pa.int64())], names=["part", "n_docs", "n_ids"])
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    return cut(ordered.mapInArrow(write, "part int, n_docs long, n_ids long"))
+    return cut(ordered.mapInArrow(give_back(write), "part int, n_docs long, n_ids long"))
 
 
 def read_packed(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
@@ -275,7 +284,7 @@ def read_packed(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(out).select("path", "content")
-    docs = files.mapInArrow(read, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(give_back(read), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     base = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return docs.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
