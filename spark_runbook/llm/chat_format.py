@@ -1,12 +1,13 @@
 """Chat records of many layouts to one template, in DataFrame operations only.
 
-A record is a JSON text. Its fingerprint is a hash of the nested field paths in it that any layout uses; the fingerprint selects a
+A record is a JSON text. Its fingerprint is a hash of the nested field paths in it that any layout uses, over all elements of its lists; the fingerprint selects a
 declarative mapping (``LAYOUTS``) that gives canonical turns (role, text). Turns are written as ``<|turn:ROLE|>TEXT<|end|>\n``. Inside texts a
 backslash is put into anything that reads like a control string of this or a common other template, and taken out again when read.
 The loss mask is a run-length list over the formatted text; it covers assistant texts.
 
 Defined results: null texts and roles are empty; turns go by turn, then role, then text; repeated rows are turns of their own; a
-record of no known layout keeps null turns and isn't dropped; extra fields don't change a fingerprint; an empty table gives an
+record of no known layout keeps null turns and isn't dropped, and so does one whose list mixes layouts (its elements haven't all the same known fields);
+texts of any length are kept whole; extra fields don't change a fingerprint; an empty table gives an
 empty result. A conversation is one output row by contract, so its turns meet in one row.
 """
 
@@ -17,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 TURNS = "array<struct<role:string,text:string>>"
 
 #: Declarative mappings. list: (field, role field, text field); flat: (role, field) in turn order; roles: names to canonical ones.
@@ -44,21 +47,37 @@ def _vocabulary(layouts: dict) -> list[str]:
     return sorted({p for x in layouts.values() for p in layout_paths(x)})
 
 
-def field_paths(record: Column, layouts: dict = LAYOUTS) -> Column:
-    """Sorted paths of the record's fields that some layout knows, to the fields of its lists' first elements."""
+#: The JSON reader's own limits are set aside: a turn may be of any length.
+JSON = {"maxStringLen": str(2**31 - 1), "maxNestingDepth": "100000", "maxNumLen": "1000000"}
+
+
+def _top(record: Column) -> Column:
+    """The record's fields; what isn't a string as its JSON text."""
+    return F.from_json(record, "map<string,string>", JSON)
+
+
+def _elements(value: Column) -> Column:
+    """A JSON list of records as their fields."""
+    return F.from_json(value, "array<map<string,string>>", JSON)
+
+
+def field_paths(top: Column, layouts: dict = LAYOUTS) -> Column:
+    """Sorted paths of a record's fields (``_top``) that some layout knows, to the fields of its lists' elements; "[]*" behind a list whose elements differ."""
+    empty = F.array().cast("array<string>")
+    vocabulary = _vocabulary(layouts)
     lists = sorted({x["list"][0] for x in layouts.values() if "list" in x})
 
     def below(n: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{n}[0]"))
-        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{n}[]."), k))
+        known = F.array(*(F.lit(p.split("[].")[1]) for p in vocabulary if p.startswith(f"{n}[].")))
+        kinds = F.array_distinct(F.transform(F.coalesce(_elements(F.element_at(top, n)), F.array().cast("array<map<string,string>>")), lambda e: F.array_sort(F.array_intersect(F.coalesce(F.map_keys(e), empty), known))))
+        return F.when(F.size(kinds) > 1, F.array(F.lit(f"{n}[]*"))).otherwise(F.transform(F.coalesce(F.get(kinds, F.lit(0)), empty), lambda k: F.concat(F.lit(f"{n}[]."), k)))
 
-    nested = [below(n) for n in lists]
-    every = F.concat(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")), *nested)
-    return F.array_sort(F.array_intersect(every, F.array(*(F.lit(p) for p in _vocabulary(layouts)))))
+    own = F.array_intersect(F.coalesce(F.map_keys(top), empty), F.array(*(F.lit(p) for p in vocabulary if "[]" not in p)))
+    return F.array_sort(F.concat(own, *(below(n) for n in lists)))
 
 
 def fingerprint(record: Column, layouts: dict = LAYOUTS) -> Column:
-    return F.xxhash64(F.array_join(field_paths(record, layouts), "\n"))
+    return F.xxhash64(F.array_join(field_paths(_top(record), layouts), "\n"))
 
 
 def _expected(layout: dict) -> Column:
@@ -69,21 +88,21 @@ def _role(c: Column, names: dict) -> Column:
     return reduce(lambda acc, kv: F.when(c == kv[0], F.lit(kv[1])).otherwise(acc), names.items(), c)
 
 
-def _mapped(record: Column, layout: dict) -> Column:
+def _mapped(top: Column, layout: dict) -> Column:
     empty = F.lit("")
     if "list" in layout:
         field, role, text = layout["list"]
-        rows = F.from_json(record, f"`{field}` array<struct<`{role}`:string,`{text}`:string>>")[field]
-        return F.transform(rows, lambda x: F.struct(F.coalesce(_role(x[role], layout.get("roles", {})), empty).alias("role"), F.coalesce(x[text], empty).alias("text"))).cast(TURNS)
-    row = F.from_json(record, ", ".join(f"`{f}` string" for _, f in layout["flat"]))
-    return F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(row[f], empty).alias("text")) for r, f in layout["flat"])).cast(TURNS)
+        value = lambda x, k: F.coalesce(F.element_at(x, k), empty)
+        return F.transform(_elements(F.element_at(top, field)), lambda x: F.struct(_role(value(x, role), layout.get("roles", {})).alias("role"), value(x, text).alias("text"))).cast(TURNS)
+    return F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(F.element_at(top, f), empty).alias("text")) for r, f in layout["flat"])).cast(TURNS)
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: dict = LAYOUTS) -> DataFrame:
     """records with fingerprint, layout and turns; layout and turns are null where no mapping has that fingerprint."""
-    keyed = records.withColumn("fingerprint", fingerprint(F.col(record_col), layouts))
+    top = free_name(records, "__top")
+    keyed = records.withColumn(top, _top(F.col(record_col))).withColumn("fingerprint", F.xxhash64(F.array_join(field_paths(F.col(top), layouts), "\n")))
     pick = lambda values: reduce(lambda acc, nv: F.when(F.col("fingerprint") == _expected(layouts[nv[0]]), nv[1]).otherwise(acc), values, F.lit(None))
-    return keyed.withColumn("layout", pick([(n, F.lit(n)) for n in layouts])).withColumn("turns", pick([(n, _mapped(F.col(record_col), x)) for n, x in layouts.items()]))
+    return keyed.withColumn("layout", pick([(n, F.lit(n)) for n in layouts])).withColumn("turns", pick([(n, _mapped(F.col(top), x)) for n, x in layouts.items()])).drop(top)
 
 
 _CONTROL = r"(?=\||/?s>|/?INST\]|/?SYS>>)"
