@@ -288,7 +288,8 @@ def test_chat_layouts(spark):
     recs = [
         ('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b","id":3}],"meta":1}', "messages", [("user", "a"), ("assistant", "b")]), ('{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":null}]}', "share", [("user", "a"), ("assistant", "")]),
         ('{"prompt":"p","response":"r"}', "prompt_response", [("user", "p"), ("assistant", "r")]), ('{"instruction":"i","input":"x","output":"o"}', "instruction_input", [("system", "i"), ("user", "x"), ("assistant", "o")]), ('{"question":"q","answer":"a","n":[1]}', "question", [("user", "q"), ("assistant", "a")]),
-        ('{"other":1}', None, None), ("broken", None, None), (None, None, None), ("", None, None),
+        ('{"messages":[{"role":"user","content":"a"},{"from":"human","value":"b"}]}', None, None), ('{"messages":[{"role":"user","content":"a"},{"role":"assistant"}]}', None, None), ('{"messages":[{"role":"user","content":"a"},7]}', None, None), ('{"messages":[]}', None, None), ('{"messages":{"role":"a"}}', None, None),
+        ('{"prompt":{"a":[1,2]},"response":null}', "prompt_response", [("user", '{"a":[1,2]}'), ("assistant", "")]), ('{"other":1}', None, None), ("broken", None, None), (None, None, None), ("", None, None),
     ]
     out = chat_format.canonical_turns(spark.createDataFrame([(i, r[0]) for i, r in enumerate(recs)], "i int, record string")).orderBy("i").collect()
     assert [r.layout for r in out] == [r[1] for r in recs]
@@ -317,6 +318,16 @@ def test_chat_odd(spark, tmp_path):
     same_rows(chat_format.op6_chat_format(spark, str(tmp_path)), con, chat_format.OP6_SQL)
 
 
+def test_chat_long(spark, tmp_path):
+    """A turn longer than the JSON reader's usual limit of 20,000,000 characters, in both kinds of layout."""
+    long = "x</s>" * 4_200_000
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", long), (2, 0, "tool", "b"), (2, 1, "assistant", long)]
+    pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet'")
+    same_rows(chat_format.op6_chat_format(spark, str(tmp_path)), con, chat_format.OP6_SQL)
+
+
 # 7
 
 
@@ -374,17 +385,47 @@ def test_common_line(spark):
     assert max(grams.values(), default=0) < 4_000
 
 
-def test_large_group():
+def test_settle():
+    """Marks of a group read off shared prefixes are those of comparing every string with every earlier one."""
     rnd = np.random.default_rng(12)
-    group = [(b"g" * 60 + rnd.integers(97, 99, 80, np.uint8).tobytes() if i % 3 else b"g" * 60 + b"ab" * 40, (int(rnd.integers(0, 40)), 0), (int(rnd.integers(0, 90)), 40 - i % 9, i % 11)) for i in range(400)]
-    group = [(s[:70] + b"x" * 30 + s[100:108] + b"y" * 32, d, p) for s, d, p in group]
-    group = list({(d, p[0]): (s, d, p) for s, d, p in group}.values())
-    covered = []
-    for settle in (suffix_dedup._settle, lambda g, *x: suffix_dedup._settle_large(sorted(g, key=lambda y: (y[1], y[2][0])), *x)):
-        out = []
-        settle(list(group), 60, 40, out)
-        covered.append(sorted(out))
-    assert covered[0] == covered[1] != []
+    for size in (2, 3, 400):
+        for _ in range(30 if size < 9 else 2):
+            group = [(b"g" * 60 + rnd.integers(97, 99, 80, np.uint8).tobytes() if i % 3 else b"g" * 60 + b"ab" * 40, (int(rnd.integers(0, 40)), 0), (int(rnd.integers(0, 90)), 40 - i % 9, i % 11)) for i in range(size)]
+            group = [(s[:70] + b"x" * 30 + s[100:108] + b"y" * 32, d, p) for s, d, p in group]
+            group = sorted({(d, p[0]): (s, d, p) for s, d, p in group}.values())
+            want, seen = set(), {}
+            for s, d, (place, far, near) in sorted(group, key=lambda g: (g[1], g[2][0])):
+                for o in range(near, far + 1):
+                    if seen.setdefault((o, s[60 : 100 - o], s[100 : 100 + o]), (d, place)) != (d, place):
+                        want |= {(d, x) for x in range(place - o, place - o + 100)}
+            lcp = [0] + [next((i for i, (x, y) in enumerate(zip(a[0], b[0], strict=True)) if x != y), 140) for a, b in zip(group, group[1:], strict=False)]
+            out = []
+            suffix_dedup._settle([(*g, n) for g, n in zip(group, lcp, strict=True)], 60, 40, out)
+            if size == 2 and any(g[2][1] - g[2][2] != h[2][1] - h[2][2] for g in group for h in group):
+                continue  # equal strings have equal anchors, so both would serve them
+            assert {(d, x) for d, a, z in out for x in range(a, z)} == want
+
+
+def test_long_text(spark):
+    """One text of several windows, with repeats inside, across window edges and of another document."""
+    rnd = np.random.default_rng(21)
+    block = "".join(chr(97 + x) for x in rnd.integers(0, 26, 400_000))
+    size = shingles.CHUNK_BYTES
+    long = (block + "z" * 3000) * 6
+    t = [(1, block[5000:9000]), (2, long), (3, long[size - 500 : size + 700] + "tail"), (4, block[::-1][:300])]
+    seen, out = {}, {}
+    for i, x in t:
+        b = x.encode()
+        h = pd.Series([b[s : s + 100] for s in range(len(b) - 99)])
+        old = (h.isin(list(seen)) | h.duplicated()).to_numpy()
+        seen |= dict.fromkeys(h)
+        cov = np.zeros(len(b) + 1, int)
+        at = np.flatnonzero(old)
+        np.add.at(cov, at, 1)
+        np.add.at(cov, np.minimum(at + 100, len(b)), -1)
+        cov = np.cumsum(cov)[:-1] > 0
+        out[i] = len(b), int(cov.sum()), int((np.diff(cov.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~cov].tobytes()).hexdigest()
+    assert _strip(docs_of(spark, t)) == out
 
 
 def test_loser_tree():
@@ -484,6 +525,21 @@ def test_packed_odd(spark, tmp_path):
     assert packed_ids.read_packed(spark, f"file://{tmp_path}/none", none).count() == 0
 
 
+def test_packed_unicode():
+    """Words with any letter, before any closing mark: as the library has it, for all letters that case or normalising changes and a sample of the others."""
+    import random
+    import unicodedata
+
+    rnd = random.Random(6)
+    every = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in every if c.lower() != c or unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)]
+    enc = packed_ids.WordEncoder(BPE)
+    words = ["SERVİSİ,", "İ.", "DIŞİŞLERİ:"] + [f"{a}{c}{b}{e}" for c in odd + rnd.sample(every, 4000) for a, b, e in rnd.sample([("", "", ","), ("A", "", "."), ("b", "E", ""), ("", "s", "!?"), ("ΣΑ", "", ";"), ("x", "", ":|")], 2)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)]
+    for t, ids in zip(texts, enc.encode_many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == _ids(t)[:-1].tolist(), t
+
+
 # 10
 
 
