@@ -29,9 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns it with its lineage cut; a lost executor costs nothing but reruns."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as a table in the session's checkpoint folder and reads it again: its lineage is cut, a lost executor costs nothing but reruns, and
+    plans see its true size (a checkpoint keeps the estimates of the plan before it, which multiply from join to join)."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -72,16 +76,20 @@ def renamed(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable[[
 SALTS, HEAVY = 64, 500
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: Column, how: str = "inner") -> DataFrame:
-    """rows joined to groups (a row a key, with its number of rows) by key. Keys with more than a ``HEAVY``-th of all rows, so at most ``HEAVY``
-    of them, are dealt over ``SALTS`` tasks: their rows by ``spread``, their row of groups once for each."""
+def heavy_keys(groups: DataFrame, key: str, count: str) -> list:
+    """Keys with more than a ``HEAVY``-th of all rows; so there are at most ``HEAVY``. groups: a row a key, with its number of rows."""
     total = groups.agg(F.sum(count)).first()[0] or 0
-    heavy = [r[0] for r in groups.where(F.col(count) > max(200, total // HEAVY)).select(key).collect()]  # at most HEAVY keys
+    return [r[0] for r in groups.where(F.col(count) > max(200, total // HEAVY)).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, heavy: list, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined to groups (a row a key) by key. The keys in ``heavy`` are dealt over ``SALTS`` tasks: their rows by ``spread``, their row of groups once for each."""
     if not heavy:
         return rows.join(groups, key, how)
     split = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    left = rows.withColumn("__salt", F.when(split, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    right = groups.withColumn("__salt", F.explode(F.when(split, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    none, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
+    left = rows.withColumn("__salt", F.when(split, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(none))
+    right = groups.withColumn("__salt", F.explode(F.when(split, F.sequence(none, last)).otherwise(F.array(none))))
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 

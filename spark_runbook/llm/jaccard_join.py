@@ -9,11 +9,14 @@ Documents of the same set are one node. Prefix shingles that no other node has a
 
 1. In every list of nodes with a shingle, the others are compared with one node, the one with the most company: a number of pairs
    linear in the prefixes. Linked nodes are joined to components.
-2. What lists still mix components: pairs between components, under the positional bound (what is left behind the shared shingle must reach
-   the overlap that the threshold asks for). Pairs within a component need no comparison.
+2. Lists that still mix components: in lists of up to ``SMALL`` nodes pairs between components are verified, under the positional bound (what is
+   left behind the shared shingle must reach the overlap that the threshold asks for).
+3. Longer ones go by differences (``_by_differences``): what two sets have in common is known from their differences to the list's hub, which are
+   short, so these are joined by prefixes again, in lists that get shorter in each round. Texts of one template that lie just under the
+   threshold are thus told apart without comparing each with each.
 
-Every pair that could link is thus verified or already connected; no pairs of a whole group are made. Verification counts the shared
-prefix shingles first, then the shared shingles.
+Every pair that could link is thus verified or already connected; in no list are all pairs made unless it has ``SMALL`` nodes at most. Verification counts
+the shared prefix shingles first, then the shared shingles.
 
 Defined results: words are runs of what isn't white space, A-Z as a-z; fewer words than a shingle has are one shingle; null, empty and wordless texts have no
 shingles and link with nothing; rows of equal texts are in one component; null ids count as largest; an empty table gives an
@@ -28,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import LOG2_BITS, maybe_repeated, repeated_filter
-from .common import cut, give_back, text_or_empty
+from .common import cut, give_back, heavy_keys, renamed, spread_join, text_or_empty
 from .components import components
 from .shingles import chunks, frequency_levels, in_order, mix, shingle_sets
 
 BROADCAST_KEYS = 500_000
 SHINGLES_A_MATCH = 50
+SMALL = 16
 
 
 def prefix_size(n: int, percent: int, l: int) -> int:  # noqa: E741
@@ -89,6 +93,19 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, q: int) -> DataF
     return docs.join(k, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))).select("nid", "text").mapInArrow(run, "nid long, s binary")
 
 
+def _arrays(sets: DataFrame) -> DataFrame:
+    """nid and all its shingles as an array, of what ``_sets`` gives."""
+
+    @give_back
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(v.as_buffer(), np.int64) for v in part.column(1)], pa.list_(pa.int64()))], names=["nid", "d"])
+
+    return cut(sets.mapInArrow(run, "nid long, d array<long>"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, q: int, percent: int) -> DataFrame:
     """The pairs (a, b, la, lb) that link: those that share enough prefix shingles, then those that share enough of all."""
     pa_, pb = (nodes.select(F.col("nid").alias(c), F.col("prefix").alias(f"p{c}")) for c in "ab")
@@ -106,12 +123,88 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, q: int, perce
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    both = pairs.join(s.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b").join(s.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a")
+    heavy = heavy_keys(pairs.groupBy("a").count(), "a", "count")
+    both = spread_join(pairs.join(s.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b"), s.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a", heavy, F.col("b"))
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: doc_id, th (hash of the text), n_shingles, component_id (smallest id reachable), keep (one row's id and text of each component)."""
+def allowed(nx: Column, ny: Column, percent: int) -> Column:
+    """Shingles that may be in one of two linked sets alone."""
+    return nx + ny - 2 * need(nx, ny, percent)
+
+
+def _apart(x: str, y: str) -> Column:
+    """What is in one of two arrays alone."""
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
+
+
+def _rebased(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members (g, nid, base, hub) with the differences to their group's hub, from those to an older base that known has (base, nid, n, root, d)."""
+    of = lambda who, to: known.select("base", F.col("nid").alias(who), F.col("n").alias(to[0]), F.col("root").alias(to[1]), F.col("d").alias(to[2]))
+    sizes = cut(members.groupBy("g", "base", "hub").count())
+    hubs = sizes.join(of("hub", ("hn", "hroot", "hd")), ["base", "hub"]).select("g", "hn", "hroot", "hd")
+    own = members.join(of("nid", ("n", "root", "d")), ["base", "nid"]).select("g", "nid", "hub", "n", "root", "d")
+    out = spread_join(own, hubs, "g", heavy_keys(sizes, "g", "count"), F.col("nid"))
+    return cut(out.select("g", "nid", "hub", "n", "hn", "root", "hroot", _apart("d", "hd").alias("d")))
+
+
+def _by_differences(groups: DataFrame, sets: DataFrame, percent: int, counts: list | None = None) -> DataFrame | None:
+    """Links (a, b) among the nodes of each group. groups: hub, nid, root (the component so far); sets: nid, d (all shingles), for hubs as well.
+
+    With D(x) what is in x or in the hub alone, D(x) and D(y) differ just where x and y do. If x isn't linked with the hub, D(x) and D(y)
+    of a linked pair share a shingle, and (|D(x)| + |D(y)| - allowed) / 2 at least: the prefix filter again, on short sets, ordered by how
+    rare a shingle is in the group. Lists are kept apart by the sizes of both sides, as the share asked for depends on these. Short lists
+    are verified pair by pair; long ones get a hub of their own and go to the next round, without this one's hub, so that rounds end.
+    """
+    found = None
+    known = sets.select(F.lit("").alias("base"), "nid", F.size("d").cast("long").alias("n"), "d")
+    known = known.join(groups.select("nid", "root").distinct(), "nid")
+    members = groups.select(F.col("hub").cast("string").alias("g"), "nid", F.lit("").alias("base"), "hub")
+    while True:
+        state = _rebased(members, known)
+        state = state.withColumn("linked", F.size("d") <= allowed(F.col("n"), F.col("hn"), percent))
+        new = state.where(F.col("linked") & (F.col("nid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+        found = new if found is None else found.unionByName(new)
+        step = F.greatest(F.lit(1), F.floor(F.col("hn") * ((100 - percent) / (4.0 * percent)))).cast("int")
+        at = state.where(F.col("nid") != F.col("hub")).select("g", "nid", "n", F.when(F.col("linked"), F.col("hroot")).otherwise(F.col("root")).alias("root"), F.col("hub").alias("was"), "d", step.alias("w"), F.size("d").alias("e"), F.floor(F.col("n") * ((100 - percent) / percent) + 1e-9).cast("int").alias("most"))
+        state = cut(at.withColumn("c", F.floor(F.col("e") / F.col("w")).cast("int")))
+        if counts is not None:
+            counts.append(("differences", state.count()))
+        token = state.select("g", "nid", F.explode("d").alias("t")).withColumn("gt", F.concat_ws(" ", "g", "t"))
+        rare = cut(token.groupBy("gt").agg(F.count("*").alias("f")).where("f > 1"))  # a shingle of one node finds none
+        shared = spread_join(token, rare, "gt", heavy_keys(rare, "gt", "f"), F.col("nid"))
+        order = shared.groupBy("g", "nid").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))  # a node's own shingles
+        kinds = state.groupBy("g").agg(F.collect_set("c").alias("kinds"))
+        # shingles that one node alone has come first in the order and take up the prefix
+        ask = lambda k: F.greatest(F.lit(1), F.ceil((F.col("e") + k * F.col("w") - F.col("most")) / F.lit(2.0))).cast("int")
+        near = F.filter("kinds", lambda k: (k * F.col("w") <= F.col("e") + F.col("most")) & ((k + 1) * F.col("w") > F.col("e") - F.col("most")))
+        by = state.drop("d").join(order, ["g", "nid"]).join(kinds, "g").withColumn("k", F.explode(near))
+        by = by.withColumn("p", F.size("o") - ask(F.col("k")) + 1).where("p > 0").withColumn("t", F.explode(F.slice("o", F.lit(1), F.col("p"))))
+        entry = cut(by.select(F.concat_ws(" ", "g", F.least("c", "k"), F.greatest("c", "k"), F.col("t")["t"]).alias("key"), "g", "nid", "root", "c", "k"))
+        two_kinds = (F.min("c") < F.max("c")) | (F.min("c") == F.min("k"))
+        lists = cut(entry.groupBy("key").agg(F.count("*").alias("m"), (F.min("root") < F.max("root")).alias("mixed"), two_kinds.alias("whole")).where("m > 1 AND mixed AND whole"))
+        heavy = heavy_keys(lists, "key", "m")
+        entry = cut(spread_join(entry, lists.select("key", "m"), "key", heavy, F.col("nid")))
+        few = entry.where(F.col("m") <= SMALL)
+        other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("nid", "root", "c")))
+        pairs = few.join(other, "key").where((F.col("nid") < F.col("nid2")) & (F.col("root") != F.col("root2")) & ((F.col("k") == F.col("c2")) | (F.col("k") == F.col("c"))))
+        pairs = cut(pairs.select("g", F.col("nid").alias("a"), F.col("nid2").alias("b")).distinct())
+        if counts is not None:
+            counts.append(("pairs", pairs.count()))
+        side = lambda x: state.select("g", F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"))
+        both = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
+        found = cut(found.unionByName(both.where(F.size(_apart("da", "db")) <= allowed(F.col("na"), F.col("nb"), percent)).select("a", "b")))
+        many = entry.where(F.col("m") > SMALL)
+        if many.isEmpty():
+            return found
+        score = many.groupBy("g", "nid").agg(F.count("*").alias("s"))
+        best = cut(many.join(score, ["g", "nid"]).groupBy("key").agg(F.max(F.struct("s", F.negative("nid").alias("less"))).alias("b")).select("key", F.negative("b.less").alias("hub")))
+        members = spread_join(many.select("key", "g", "nid"), best, "key", heavy, F.col("nid")).select(F.concat_ws("/", "g", "hub").alias("g"), "nid", F.col("g").alias("base"), "hub").distinct()
+        known = state.select(F.col("g").alias("base"), "nid", "n", "root", "d")
+
+
+def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc_id", text_col: str = "text", counts: list | None = None) -> DataFrame:
+    """One row a row of docs: doc_id, th (hash of the text), n_shingles, component_id (smallest id reachable), keep (one row's id and text of each component). counts, if given, gets how much was compared in each step."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     levels = frequency_levels(plain.select("text"), q)
     every = cut(plain.mapInArrow(lambda it: _prefixes(it, q, percent, levels), "doc_id long, th long, s1 long, s2 long, n int, l int, prefix array<long>"))
@@ -128,37 +221,48 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
 
     entries = cut(entries.where(shared("h")))
     sizes = cut(entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-    entries = cut(entries.join(sizes, "h"))
+    often = heavy_keys(sizes, "h", "m")
+    entries = cut(spread_join(entries, sizes, "h", often, F.col("nid")))
     score = entries.groupBy("nid").agg(F.sum("m").alias("score"))
     hubs = cut(entries.join(score, "nid").groupBy("h").agg(F.max(F.struct("score", F.negative("nid").alias("less"), "nid", "n", "k", "l")).alias("hub")).select("h", "hub.*").select("h", F.col("nid").alias("hub"), F.col("n").alias("hn"), F.col("k").alias("hk"), F.col("l").alias("hl")))
     fits = lambda na, ka, nb, kb: F.least(F.col(na) - F.col(ka), F.col(nb) - F.col(kb)) >= need(F.col(na), F.col(nb), percent)
-    star = entries.join(hubs, "h").where((F.col("nid") != F.col("hub")) & fits("n", "k", "hn", "hk"))
-    star = star.select(F.col("hub").alias("a"), F.col("nid").alias("b"), F.col("hl").alias("la"), F.col("l").alias("lb")).distinct()
+    star = spread_join(entries, hubs, "h", often, F.col("nid")).where((F.col("nid") != F.col("hub")) & fits("n", "k", "hn", "hk"))
+    star = cut(star.select(F.col("hub").alias("a"), F.col("nid").alias("b"), F.col("hl").alias("la"), F.col("l").alias("lb")).distinct())
     links = _verified(star, plain, nodes, q, percent)
     comp = components(links)
+    if counts is not None:
+        counts.append(("hubs", star.count()))
 
     rooted = cut(entries.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-    mixed = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("top.root").alias("main"))
-    live = cut(rooted.join(mixed, "h"))
-    rest = live.where(F.col("root") != F.col("main")).select("h", *(F.col(c).alias(f"{c}2") for c in ("nid", "n", "k", "l", "root")))
-    cross = live.join(rest, "h").where((F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("nid") < F.col("nid2"))) & fits("n", "k", "n2", "k2"))
-    cross = cross.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"), F.when(F.col("nid") < F.col("nid2"), F.col("l")).otherwise(F.col("l2")).alias("la"), F.when(F.col("nid") < F.col("nid2"), F.col("l2")).otherwise(F.col("l")).alias("lb")).distinct()
-    more = _verified(cross, plain, nodes, q, percent)
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("largest")).where("least < largest").select("h")
+    live = cut(spread_join(rooted, mixed, "h", often, F.col("nid")))
+    few = live.where(F.col("m") <= SMALL)
+    other = few.select("h", *(F.col(c).alias(f"{c}2") for c in ("nid", "n", "k", "l", "root")))
+    pairs = few.join(other, "h").where((F.col("root") != F.col("root2")) & (F.col("nid") < F.col("nid2")) & fits("n", "k", "n2", "k2"))
+    pairs = cut(pairs.select(F.col("nid").alias("a"), F.col("nid2").alias("b"), F.col("l").alias("la"), F.col("l2").alias("lb")).distinct())
+    if counts is not None:
+        counts.append(("pairs", pairs.count()))
+    more = _verified(pairs, plain, nodes, q, percent)
+    many = live.where(F.col("m") > SMALL)
+    if not many.isEmpty():
+        groups = cut(spread_join(many.select("h", "nid", "root"), hubs.select("h", "hub"), "h", often, F.col("nid")).select("hub", "nid", "root").distinct())
+        more = more.unionByName(_by_differences(groups, _arrays(_sets(plain, nodes, groups.select("nid").distinct(), q)), percent, counts))
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
-    rooted = nodes.drop("prefix").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    smallest = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
-    named = cut(rooted.join(smallest, "root").select("s1", "s2", "n", F.col("r.doc_id").alias("component_id"), F.col("r.th").alias("rt")))
+    rooted = cut(nodes.drop("prefix").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    smallest = cut(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"), F.count("*").alias("m")))
+    named = cut(spread_join(rooted.select("root", "s1", "s2", "n"), smallest, "root", heavy_keys(smallest, "root", "m"), F.col("s1")).select("s1", "s2", "n", F.col("r.doc_id").alias("component_id"), F.col("r.th").alias("rt")))
     linked = every.where("n > 0").select("doc_id", "th", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
     linked = linked.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("rt"))).alias("keep"))
     return linked.unionByName(every.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep")))
 
 
 def drop_near(docs: DataFrame, q: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component; same columns. Rows of equal id and text stay or go together."""
-    gone = cut(jaccard_components(docs, q, percent, id_col, text_col).where(~F.col("keep")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
+    """docs with one document of each component; same columns, whatever their names. Rows of equal id and text stay or go together."""
+    plain, (i, t), restore = renamed(docs, id_col, text_col)
+    gone = cut(jaccard_components(plain, q, percent, i, t).where(~F.col("keep")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__t")), "left_anti")
+    return restore(plain.join(gone, F.col(i).eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty(t)) == F.col("__t")), "left_anti"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -10,15 +10,15 @@ stands to its left, read backwards: all strings that an anchor serves can be tol
    all documents is sent once a run. The run is cut at sampled splitters and each piece front-coded: for each suffix the length it shares
    with the one before it, and the rest.
 4. Pieces of a range meet in one task and are merged by a loser tree that keeps for each run's head the prefix it shares with the last
-   suffix put out: heads that share different lengths are ordered by these alone, and others are compared from there on. Neighbours that
-   share the gram are compared string by string.
+   suffix put out: heads that share different lengths are ordered by these alone, and others are compared from there on. Which strings are equal
+   is read off the same shared prefixes of sorted neighbours (``_settle``).
 5. A gram that stands in many different surroundings (a common line, the edge of a common passage) isn't merged in one task: such grams are found in a
    sample of documents, and their strings are sent as hashes of 16 bytes, dealt by hash over all tasks. Which grams these are steers load, not results.
 6. Marks are gathered by document and spans cut out of the texts.
 
 Defined results: null counts as empty; matches don't cross documents; documents of equal id are ordered by their text's hash; rows of
 equal id and text count as one document and get equal results; null ids come first; an empty table gives an empty result; other
-columns aren't read.
+columns aren't read; a long text is worked on in windows of a fixed size.
 """
 
 from __future__ import annotations
@@ -32,33 +32,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .bloom import _emit, maybe_repeated, merged_filter
-from .common import cut, text_or_empty
-from .shingles import _VALUE_ANY_CASE, _powers, chunks, mix
+from .bloom import FLUSH, _emit, maybe_repeated, merged_filter
+from .common import cut, give_back, heavy_keys, spread_join, text_or_empty
+from .shingles import _VALUE_ANY_CASE, CHUNK_BYTES, chunks, mix, powers
 
 LENGTH, GRAM = 100, 60
 FILTER_BITS = 28
-RUN = 300_000
+RUN = 200_000
 OUTSIDE = 0xFF  # no byte of UTF-8: where a document ends
 BROADCAST_KEYS = 500_000
 #: A gram with so many different suffixes in one of SAMPLED documents is settled by string; at most BROADCAST_KEYS grams, the most frequent ones.
 HOT, SAMPLED = 64, 32
-#: Larger groups are settled offset by offset, to hold the strings of one at a time.
-LARGE = 1_000
+#: Text that a part of the merge serves.
+PART_BYTES = 16 << 20
 _STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("start", "<u4")])
 _U = np.uint64
 NULL_ID = -(1 << 63)
 
 
-def anchored(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the joined texts: its bytes, where each text starts, all starts of strings of the length that lie in one text, and the place and hash of each one's anchor."""
+def anchored(texts: list[bytes], length: int, gram: int, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the joined texts: its bytes, where each text starts, all starts of strings of the length that lie in one text (of a single text those
+    from lo to hi), and the place and hash of each one's anchor."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     first = np.concatenate([[0], np.cumsum(sizes)])
     n = len(data) - gram + 1
     if n < length - gram + 1:
         return data, first, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p, inverse = _powers(len(data) + 1)
+    p, inverse = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE_ANY_CASE[data] * p[: len(data)])])
         h = mix((run[gram:] - run[:-gram]) * inverse[:n], 5)
@@ -70,11 +71,22 @@ def anchored(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
         step *= 2
     if step < w:
         low = np.minimum(low[: len(low) - (w - step)], low[w - step :])
-    starts = np.concatenate([np.arange(a, max(a, z - length + 1)) for a, z in zip(first, first[1:], strict=False)]) if len(texts) > 1 else np.arange(len(low))
+    starts = np.concatenate([np.arange(a, max(a, z - length + 1)) for a, z in zip(first, first[1:], strict=False)]) if len(texts) > 1 else np.arange(len(low))[lo:hi]
     place = (low[starts] & _U(0xFFFFFFFF)).astype(np.int64)
     return data, first, starts, place, h[place]
 
 
+def windows(texts: list[bytes], length: int, gram: int):
+    """(texts, lo, hi, offset) to be worked on at a time: all of them, or of one long text a window of string starts with its margins."""
+    side = length - gram
+    if len(texts) > 1 or len(texts[0]) <= 2 * CHUNK_BYTES - 2 * length:
+        yield texts, 0, None, 0
+        return
+    for a in range(0, len(texts[0]) - length + 1, CHUNK_BYTES):
+        begin = max(0, a - side)
+        yield [texts[0][begin : a + CHUNK_BYTES - 1 + length + side]], a - begin, a - begin + CHUNK_BYTES, begin
+
+
 def front_code(strings: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Sorted distinct strings (n, length): shared prefix lengths with the one before, and the rests, joined."""
     same = strings[1:] == strings[:-1]
@@ -174,21 +186,26 @@ _NAMES = ["part", "run", "piece", "doc_id", "th", "spans"]
 
 
 def suffixes(texts: list[bytes], bits: np.ndarray, length: int, gram: int):
-    """Of the anchors that may repeat: their suffixes (gram, right side, left side backwards), text, place in it, the largest and least offset of strings they serve, and the gram's hash."""
-    data, begin, starts, place, h = anchored(texts, length, gram)
-    p, at = np.unique(place, return_index=True)
-    last = np.append(at[1:], len(place)) - 1
-    again = maybe_repeated(h[at], bits, FILTER_BITS)
-    p, far, near = p[again], (p - starts[at])[again], (p - starts[last])[again]
-    side = length - gram
-    padded = np.concatenate([np.full(side, OUTSIDE, np.uint8), data, np.full(side, OUTSIDE, np.uint8)])
-    around = np.lib.stride_tricks.sliding_window_view(padded, gram + 2 * side)[p]
-    doc = np.searchsorted(begin, p, side="right") - 1
-    out = np.concatenate([around[:, side:], around[:, side - 1 :: -1]], axis=1)
-    j = np.arange(side)
-    out[:, gram : gram + side][j >= (begin[doc + 1] - p - gram)[:, None]] = OUTSIDE
-    out[:, gram + side :][j >= (p - begin[doc])[:, None]] = OUTSIDE
-    return out, doc, p - begin[doc], far, near, h[at][again]
+    """Of the anchors that may repeat: their suffixes (gram, right side, left side backwards), text, place in it, the largest and least offset of
+    strings they serve, and the gram's hash; for each window. An anchor on the edge of two windows comes in both, with the offsets of each."""
+    for part, lo, hi, offset in windows(texts, length, gram):
+        data, begin, starts, place, h = anchored(part, length, gram, lo, hi)
+        p, at = np.unique(place, return_index=True)
+        last = np.append(at[1:], len(place)) - 1
+        again = maybe_repeated(h[at], bits, FILTER_BITS)
+        if not again.any():
+            continue
+        p, far, near = p[again], (p - starts[at])[again], (p - starts[last])[again]
+        side = length - gram
+        padded = np.concatenate([np.full(side, OUTSIDE, np.uint8), data, np.full(side, OUTSIDE, np.uint8)])
+        around = np.lib.stride_tricks.sliding_window_view(padded, gram + 2 * side)
+        doc = np.searchsorted(begin, p, side="right") - 1
+        out = np.empty((len(p), gram + 2 * side), np.uint8)
+        out[:, : gram + side], out[:, gram + side :] = around[p, side:], around[p, side - 1 :: -1]
+        j = np.arange(side)
+        out[:, gram : gram + side][j >= (begin[doc + 1] - p - gram)[:, None]] = OUTSIDE
+        out[:, gram + side :][j >= (p - begin[doc])[:, None]] = OUTSIDE
+        yield out, doc, p - begin[doc] + offset, far, near, h[at][again]
 
 
 def _runs(batches, bits, hot, splitters: np.ndarray, length: int, gram: int, parts: int):
@@ -199,15 +216,13 @@ def _runs(batches, bits, hot, splitters: np.ndarray, length: int, gram: int, par
     for b in batches:
         ids, ths = ([NULL_ID if v is None else v for v in b.column(i).to_pylist()] for i in (0, 1))
         for first, texts in chunks(b.column(2)):
-            strings, doc, place, far, near, h = suffixes(texts, bits.value, length, gram)
-            if not len(doc):
-                continue
-            u, back = np.unique(doc, return_inverse=True)
-            held.append((strings, [(ids[d + first], ths[d + first]) for d in u.tolist()], back, place, far, near, np.isin(h, hot.value)))
-            count += len(doc)
-            if count >= RUN:
-                yield from _run(held, splitters, length, gram, f"{task}-{number}", parts)
-                held, count, number = [], 0, number + 1
+            for strings, doc, place, far, near, h in suffixes(texts, bits.value, length, gram):
+                u, back = np.unique(doc, return_inverse=True)
+                held.append((strings, [(ids[d + first], ths[d + first]) for d in u.tolist()], back, place, far, near, np.isin(h, hot.value)))
+                count += len(doc)
+                if count >= RUN:
+                    yield from _run(held, splitters, length, gram, f"{task}-{number}", parts)
+                    held, count, number = [], 0, number + 1
     if held:
         yield from _run(held, splitters, length, gram, f"{task}-{number}", parts)
 
@@ -219,11 +234,15 @@ def _run(held, splitters, length, gram, name, parts):
     strings, place, far, near, hot = (np.concatenate([x[i] for x in held]) for i in (0, 3, 4, 5, 6))
     held.clear()
     o = np.lexsort((place, who))
-    o = o[np.argsort(strings[o].view(f"S{strings.shape[1]}").ravel(), kind="stable")]
+    o = o[np.argsort(strings.view(f"S{strings.shape[1]}").ravel()[o], kind="stable")]
     strings, who, place, far, near, hot = strings[o], who[o], place[o], far[o], near[o], hot[o]
     fresh = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
+    # one anchor of one document, from two windows or two equal rows: one suffix with all its offsets
+    one = fresh | np.concatenate([[True], (who[1:] != who[:-1]) | (place[1:] != place[:-1])])
+    at = np.flatnonzero(one)
+    far, near = np.maximum.reduceat(far, at), np.minimum.reduceat(near, at)
+    strings, who, place, hot, fresh = strings[at], who[at], place[at], hot[at], fresh[at]
     lost = ~fresh
-    lost[1:] &= ~((who[1:] == who[:-1]) & (place[1:] == place[:-1]))  # rows of one document twice
     yield from _marks(keys, who[lost], (place - far)[lost], (place - near)[lost] + length, parts)
     common, fresh = fresh & hot, fresh & ~hot
     if common.any():
@@ -235,15 +254,13 @@ def _run(held, splitters, length, gram, name, parts):
     cuts = np.searchsorted(np.ascontiguousarray(strings[:, :width]).view(splitters.dtype).ravel(), splitters) if len(splitters) else np.zeros(0, int)
     ends = [0, *cuts.tolist(), len(strings)]
     found = [p for p in range(len(ends) - 1) if ends[p + 1] > ends[p]]
-    blobs = []
     for p in found:
         a, z = ends[p], ends[p + 1]
         shared, rest = front_code(strings[a:z])
         own, at = np.unique(who[a:z], return_inverse=True)
         table = np.array([keys[x] for x in own.tolist()], "<i8")
-        blobs.append(zlib.compress(b"".join([np.array([z - a, len(own)], "<u4").tobytes(), shared.tobytes(), table.tobytes(), at.astype("<u4").tobytes(), place[a:z].astype("<u4").tobytes(), far[a:z].astype(np.uint8).tobytes(), near[a:z].astype(np.uint8).tobytes(), rest]), 1))
-    n = len(found)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([name] * n, pa.string()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
+        blob = zlib.compress(b"".join([np.array([z - a, len(own)], "<u4").tobytes(), shared.tobytes(), table.tobytes(), at.astype("<u4").tobytes(), place[a:z].astype("<u4").tobytes(), far[a:z].astype(np.uint8).tobytes(), near[a:z].astype(np.uint8).tobytes(), rest]), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name], pa.string()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=_NAMES)
 
 
 def _strings(keys, strings, who, place, far, near, length: int, gram: int, parts: int):
@@ -317,55 +334,39 @@ def _open(piece: bytes, width: int) -> Run:
 
 
 def _settle(group: list, gram: int, side: int, out: list) -> None:
-    """Of suffixes that share the gram, [(suffix, document, (place, far, near))]: for each but the earliest of every string the spans it covers."""
-    group.sort(key=lambda g: (g[1], g[2][0]))
+    """Of sorted suffixes that share the gram, [(suffix, document, (place, far, near), the prefix it shares with the one before)]: for each but the
+    earliest of every string the spans it covers.
+
+    The string at offset o before the anchor goes on for ``side - o`` bytes behind the gram. Suffixes share these exactly if no neighbour between
+    them shares less, so the shared prefixes cut the sorted group into classes; in a class, the o bytes to the left tell strings apart."""
     if len(group) == 2:
-        (a, _, _), (b, doc, (place, far, near)) = group
-        r = gram
-        while r < gram + side and a[r] == b[r] != OUTSIDE:
-            r += 1
-        left = gram + side
-        while left < gram + 2 * side and a[left] == b[left] != OUTSIDE:
+        (a, d, (p, _, _), _), (b, e, (q, _, _), shared) = group
+        if (d, p) == (e, q):
+            return
+        if (e, q) < (d, p):
+            far, near, doc, place = *group[0][2][1:], d, p
+        else:
+            far, near, doc, place = *group[1][2][1:], e, q
+        right, left = min(shared - gram, side), max(shared, gram + side)
+        while left < gram + 2 * side and a[left] == b[left]:
             left += 1
-        hi, lo = min(left - gram - side, far), max(side - (r - gram), near)
-        if hi >= lo and group[0][1:] != group[1][1:]:
+        hi, lo = min(left - gram - side, far), max(side - right, near)
+        if hi >= lo:
             out.append((doc, place - hi, place - lo + gram + side))
         return
-    if len(group) > LARGE:
-        _settle_large(group, gram, side, out)
-        return
-    seen: set[bytes] = set()
-    before = None
-    for s, doc, (place, far, near) in group:
-        if (doc, place) == before:
-            continue  # a row of the same document again
-        before = doc, place
-        first = last = None
-        for o in range(near, far + 1):
-            key = s[gram : gram + side - o] + b"\xff" + s[gram + side : gram + side + o]
-            if key in seen:
-                first = o if first is None else first
-                last = o
-            else:
-                seen.add(key)
-                if first is not None:
-                    out.append((doc, place - last, place - first + gram + side))
-                    first = None
-        if first is not None:
-            out.append((doc, place - last, place - first + gram + side))
-
-
-def _settle_large(group: list, gram: int, side: int, out: list) -> None:
-    """As _settle, for a sorted group of any size."""
+    shared = np.array([x[3] for x in group])
+    early = sorted(range(len(group)), key=lambda i: (group[i][1], group[i][2][0]))
     lost = np.zeros((len(group), side + 2), np.int8)
-    for o in range(side + 1):
-        seen: dict[bytes, tuple] = {}
-        for i, (s, doc, (place, far, near)) in enumerate(group):
-            if near <= o <= far and seen.setdefault(s[gram : gram + side - o] + s[gram + side : gram + side + o], (doc, place)) != (doc, place):
+    classes = (shared < (gram + side - np.arange(side + 1))[:, None]).cumsum(1)
+    for o in range(min(x[2][2] for x in group), max(x[2][1] for x in group) + 1):
+        into, seen = classes[o].tolist(), {}
+        for i in early:
+            s, doc, (place, far, near), _ = group[i]
+            if near <= o <= far and seen.setdefault((into[i], s[gram + side : gram + side + o]), (doc, place)) != (doc, place):
                 lost[i, o] = 1
     step = np.diff(lost, axis=1, prepend=0)
     for (i, first), (_, end) in zip(np.argwhere(step == 1).tolist(), np.argwhere(step == -1).tolist(), strict=True):
-        _, doc, (place, _, _) = group[i]
+        _, doc, (place, _, _), _ = group[i]
         out.append((doc, place - end + 1, place - first + gram + side))
 
 
@@ -398,7 +399,7 @@ def _merge(batches, length: int, gram: int, parts: int):
                 if len(group) > 1:
                     _settle(group, gram, side, out)
                 group = []
-            group.append((run.head, run.docs[run.i], run.starts[run.i]))
+            group.append((run.head, run.docs[run.i], run.starts[run.i], shared))
             if len(out) > 500_000:
                 yield from _batch(out, parts)
                 out = []
@@ -422,11 +423,12 @@ def dealt_runs(texts: DataFrame, parts: int, length: int = LENGTH, gram: int = G
     def anchors(batches):
         seen, n = [], 0
         for b in batches:
-            for _, part in chunks(b.column(0)):
-                place, h = anchored(part, length, gram)[3:]
-                seen.append(h[np.unique(place, return_index=True)[1]])
-                n += len(seen[-1])
-                if n > 1_500_000:
+            for _, texts_of in chunks(b.column(0)):
+                for part, lo, hi, _ in windows(texts_of, length, gram):
+                    place, h = anchored(part, length, gram, lo, hi)[3:]
+                    seen.append(h[np.unique(place, return_index=True)[1]])
+                    n += len(seen[-1])
+                if n > FLUSH:
                     yield from _emit(np.concatenate(seen), FILTER_BITS)
                     seen, n = [], 0
         if n:
@@ -437,15 +439,14 @@ def dealt_runs(texts: DataFrame, parts: int, length: int = LENGTH, gram: int = G
     def sample(batches):
         for b in batches:
             for _, part in chunks(b.column(0)):
-                strings = suffixes(part, bits.value, length, gram)[0][::8, :16]
-                if len(strings):
+                for strings, *_ in suffixes(part, bits.value, length, gram):
+                    strings = np.ascontiguousarray(strings[::8, :gram])
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in strings], pa.binary())], names=["s"])
 
     def surroundings(batches):
         for b in batches:
             for _, part in chunks(b.column(0)):
-                strings, *_, h = suffixes(part, bits.value, length, gram)
-                if len(h):
+                for strings, *_, h in suffixes(part, bits.value, length, gram):
                     w = np.zeros(len(h), np.uint64)
                     with np.errstate(over="ignore"):
                         for column in strings.T:
@@ -458,15 +459,16 @@ def dealt_runs(texts: DataFrame, parts: int, length: int = LENGTH, gram: int = G
     hot = spark.sparkContext.broadcast(often.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     picked = few.mapInArrow(sample, "s binary")
     spread = picked.distinct().orderBy(F.xxhash64("s")).limit(100 * parts).collect()  # splitters only: they steer load, not results
-    found = np.sort(np.array([bytes(r.s) for r in spread], "S16"))
+    found = np.sort(np.array([bytes(r.s) for r in spread], f"S{gram}"))
     splitters = np.unique(found[[len(found) * i // parts for i in range(1, parts)]]) if len(found) >= parts else found
-    return long.select("doc_id", "th", "text").mapInArrow(lambda it: _runs(it, bits, hot, splitters, length, gram, parts), f"part int, run string, piece binary, {_MARKS}")
+    return long.select("doc_id", "th", "text").mapInArrow(give_back(lambda it: _runs(it, bits, hot, splitters, length, gram, parts)), f"part int, run string, piece binary, {_MARKS}")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """texts: doc_id, th, text, no two of equal text. Returns doc_id, th, spans: bytes in strings that also start earlier (several rows a document)."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt_runs(texts, parts, length, gram).repartition(parts, "part").mapInArrow(lambda it: _merge(it, length, gram, parts), _MARKS)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    return dealt_runs(texts, parts, length, gram).repartitionById(parts, F.col("part")).mapInArrow(give_back(lambda it: _merge(it, length, gram, parts)), _MARKS)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
@@ -474,8 +476,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = text_or_empty(text_col)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = plain.select("doc_id", "th", F.sha2("text", 256).alias("sha"))
-    owner = keys.groupBy("sha").agg(F.min("doc_id").alias("own"), F.count("*").alias("m")).where("m > 1")
-    copies = cut(keys.join(owner, "sha").where("doc_id > own").select(F.col("doc_id").alias("cd"), F.col("th").alias("ct")).distinct())
+    owner = cut(keys.groupBy("sha").agg(F.min("doc_id").alias("own"), F.count("*").alias("m")).where("m > 1"))
+    copies = cut(spread_join(keys, owner, "sha", heavy_keys(owner, "sha", "m"), F.col("doc_id")).where("doc_id > own").select(F.col("doc_id").alias("cd"), F.col("th").alias("ct")).distinct())
     near = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
     same = (F.col("doc_id") == F.col("cd")) & (F.col("th") == F.col("ct"))
     marks = repeats(plain.join(near, same, "left_anti"), length)
@@ -506,7 +508,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
 
     both = plain.join(per, ["doc_id", "th"], "left").select("doc_id", "text", "spans", "whole")
-    out = both.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    out = both.mapInArrow(give_back(strip), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
