@@ -9,13 +9,13 @@ Documents of the same set are one node. Prefix shingles that no other node has a
 
 1. In every list of nodes with a shingle, the others are compared with one node, the one with the most company: a number of pairs
    linear in the prefixes. Linked nodes are joined to components.
-2. Lists that still mix components: in lists of up to ``SMALL`` nodes pairs between components are verified, under the positional bound (what is
-   left behind the shared shingle must reach the overlap that the threshold asks for).
-3. Longer ones go by differences (``_by_differences``): what two sets have in common is known from their differences to the list's hub, which are
+2. Lists that still mix components: where up to ``SMALL`` nodes are outside the list's main component, these are verified against the nodes of other
+   components, under the positional bound (what is left behind the shared shingle must reach the overlap that the threshold asks for).
+3. Others go by differences (``_by_differences``): what two sets have in common is known from their differences to the list's hub, which are
    short, so these are joined by prefixes again, in lists that get shorter in each round. Texts of one template that lie just under the
    threshold are thus told apart without comparing each with each.
 
-Every pair that could link is thus verified or already connected; in no list are all pairs made unless it has ``SMALL`` nodes at most. Verification counts
+Every pair that could link is thus verified or already connected; no node is compared with more than ``SMALL`` others of a list. Verification counts
 the shared prefix shingles first, then the shared shingles.
 
 Defined results: words are runs of what isn't white space, A-Z as a-z; fewer words than a shingle has are one shingle; null, empty and wordless texts have no
@@ -37,7 +37,7 @@ from .shingles import chunks, frequency_levels, in_order, mix, shingle_sets
 
 BROADCAST_KEYS = 500_000
 SHINGLES_A_MATCH = 50
-SMALL = 16
+SMALL = 32
 
 
 def prefix_size(n: int, percent: int, l: int) -> int:  # noqa: E741
@@ -138,6 +138,19 @@ def _apart(x: str, y: str) -> Column:
     return F.concat(F.array_except(x, y), F.array_except(y, x))
 
 
+def _mixed(entries: DataFrame, key: str) -> DataFrame:
+    """Lists of several components: key, m (nodes), main (the component with most of them), rest (nodes outside it)."""
+    per = entries.groupBy(key, "root").agg(F.count("*").alias("x")).groupBy(key).agg(F.sum("x").alias("m"), F.max(F.struct("x", "root")).alias("top"))
+    return cut(per.select(key, "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.x")).alias("rest")).where("rest > 0"))
+
+
+def _across(entries: DataFrame, key: str, heavy: list, cols: list[str]) -> DataFrame:
+    """Pairs of nodes of different components, one of them outside the main one, in lists with at most SMALL of these. cols: of the second, with a 2 behind."""
+    few = entries.where(F.col("rest") <= SMALL)
+    other = few.where(F.col("root") != F.col("main")).select(key, *(F.col(c).alias(f"{c}2") for c in cols))
+    return spread_join(few, other, key, heavy, F.col("nid")).where((F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("nid") < F.col("nid2"))))
+
+
 def _rebased(members: DataFrame, known: DataFrame) -> DataFrame:
     """members (g, nid, base, hub) with the differences to their group's hub, from those to an older base that known has (base, nid, n, root, d)."""
     of = lambda who, to: known.select("base", F.col("nid").alias(who), F.col("n").alias(to[0]), F.col("root").alias(to[1]), F.col("d").alias(to[2]))
@@ -153,8 +166,8 @@ def _by_differences(groups: DataFrame, sets: DataFrame, percent: int, counts: li
 
     With D(x) what is in x or in the hub alone, D(x) and D(y) differ just where x and y do. If x isn't linked with the hub, D(x) and D(y)
     of a linked pair share a shingle, and (|D(x)| + |D(y)| - allowed) / 2 at least: the prefix filter again, on short sets, ordered by how
-    rare a shingle is in the group. Lists are kept apart by the sizes of both sides, as the share asked for depends on these. Short lists
-    are verified pair by pair; long ones get a hub of their own and go to the next round, without this one's hub, so that rounds end.
+    rare a shingle is in the group. Lists are kept apart by the sizes of both sides, as the share asked for depends on these. Lists with few nodes outside their main component
+    are verified as above; others get a hub of their own and go to the next round, without this one's hub, so that rounds end.
     """
     found = None
     known = sets.select(F.lit("").alias("base"), "nid", F.size("d").cast("long").alias("n"), "d")
@@ -181,20 +194,19 @@ def _by_differences(groups: DataFrame, sets: DataFrame, percent: int, counts: li
         by = state.drop("d").join(order, ["g", "nid"]).join(kinds, "g").withColumn("k", F.explode(near))
         by = by.withColumn("p", F.size("o") - ask(F.col("k")) + 1).where("p > 0").withColumn("t", F.explode(F.slice("o", F.lit(1), F.col("p"))))
         entry = cut(by.select(F.concat_ws(" ", "g", F.least("c", "k"), F.greatest("c", "k"), F.col("t")["t"]).alias("key"), "g", "nid", "root", "c", "k"))
-        two_kinds = (F.min("c") < F.max("c")) | (F.min("c") == F.min("k"))
-        lists = cut(entry.groupBy("key").agg(F.count("*").alias("m"), (F.min("root") < F.max("root")).alias("mixed"), two_kinds.alias("whole")).where("m > 1 AND mixed AND whole"))
+        # lists that hold several components, and both of their kinds
+        whole = entry.groupBy("key").agg(((F.min("c") < F.max("c")) | (F.min("c") == F.min("k"))).alias("whole")).where("whole").select("key")
+        lists = cut(_mixed(entry, "key").join(whole, "key"))
         heavy = heavy_keys(lists, "key", "m")
-        entry = cut(spread_join(entry, lists.select("key", "m"), "key", heavy, F.col("nid")))
-        few = entry.where(F.col("m") <= SMALL)
-        other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("nid", "root", "c")))
-        pairs = few.join(other, "key").where((F.col("nid") < F.col("nid2")) & (F.col("root") != F.col("root2")) & ((F.col("k") == F.col("c2")) | (F.col("k") == F.col("c"))))
-        pairs = cut(pairs.select("g", F.col("nid").alias("a"), F.col("nid2").alias("b")).distinct())
+        entry = cut(spread_join(entry, lists, "key", heavy, F.col("nid")))
+        pairs = _across(entry, "key", heavy, ["nid", "root", "c"]).where((F.col("k") == F.col("c2")) | (F.col("k") == F.col("c")))
+        pairs = cut(pairs.select("g", F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")).distinct())
         if counts is not None:
             counts.append(("pairs", pairs.count()))
         side = lambda x: state.select("g", F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"))
         both = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
         found = cut(found.unionByName(both.where(F.size(_apart("da", "db")) <= allowed(F.col("na"), F.col("nb"), percent)).select("a", "b")))
-        many = entry.where(F.col("m") > SMALL)
+        many = entry.where(F.col("rest") > SMALL)
         if many.isEmpty():
             return found
         score = many.groupBy("g", "nid").agg(F.count("*").alias("s"))
@@ -234,16 +246,15 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
         counts.append(("hubs", star.count()))
 
     rooted = cut(entries.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("largest")).where("least < largest").select("h")
-    live = cut(spread_join(rooted, mixed, "h", often, F.col("nid")))
-    few = live.where(F.col("m") <= SMALL)
-    other = few.select("h", *(F.col(c).alias(f"{c}2") for c in ("nid", "n", "k", "l", "root")))
-    pairs = few.join(other, "h").where((F.col("root") != F.col("root2")) & (F.col("nid") < F.col("nid2")) & fits("n", "k", "n2", "k2"))
-    pairs = cut(pairs.select(F.col("nid").alias("a"), F.col("nid2").alias("b"), F.col("l").alias("la"), F.col("l2").alias("lb")).distinct())
+    live = cut(spread_join(rooted.drop("m"), _mixed(rooted, "h"), "h", often, F.col("nid")))
+    pairs = _across(live, "h", often, ["nid", "n", "k", "l", "root"]).where(fits("n", "k", "n2", "k2"))
+    first = F.col("nid") < F.col("nid2")
+    pairs = pairs.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"), F.when(first, F.col("l")).otherwise(F.col("l2")).alias("la"), F.when(first, F.col("l2")).otherwise(F.col("l")).alias("lb"))
+    pairs = cut(pairs.distinct())
     if counts is not None:
         counts.append(("pairs", pairs.count()))
     more = _verified(pairs, plain, nodes, q, percent)
-    many = live.where(F.col("m") > SMALL)
+    many = live.where(F.col("rest") > SMALL)
     if not many.isEmpty():
         groups = cut(spread_join(many.select("h", "nid", "root"), hubs.select("h", "hub"), "h", often, F.col("nid")).select("hub", "nid", "root").distinct())
         more = more.unionByName(_by_differences(groups, _arrays(_sets(plain, nodes, groups.select("nid").distinct(), q)), percent, counts))
