@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import LOG2_BITS, maybe_repeated, repeated_filter
-from .common import cut, give_back, heavy_keys, renamed, spread_join, text_or_empty
+from .common import cut, give_back, heavy_keys, renamed, small_batches, spread_join, text_or_empty
 from .components import components
 from .shingles import chunks, frequency_levels, in_order, mix, shingle_sets
 
@@ -217,6 +217,7 @@ def _by_differences(groups: DataFrame, sets: DataFrame, percent: int, counts: li
 
 def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc_id", text_col: str = "text", counts: list | None = None) -> DataFrame:
     """One row a row of docs: doc_id, th (hash of the text), n_shingles, component_id (smallest id reachable), keep (one row's id and text of each component). counts, if given, gets how much was compared in each step."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     levels = frequency_levels(plain.select("text"), q)
     every = cut(plain.mapInArrow(lambda it: _prefixes(it, q, percent, levels), "doc_id long, th long, s1 long, s2 long, n int, l int, prefix array<long>"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import cut, give_back, shared_dir, text_or_empty, utf8_bytes
+from .common import cut, give_back, shared_dir, small_batches, text_or_empty, utf8_bytes
 
 BLOCK = 4096
 MAGIC = b"PKIDS\x01"
@@ -230,6 +230,7 @@ def _parts(texts: list[str], chars: int = 1 << 20):
 
 def write_packed(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """Writes the ids of all documents below ``out`` and returns the manifest: part, n_docs, n_ids."""
+    small_batches(docs.sparkSession)
     files = files or max(1, -(-(docs.agg(F.sum(utf8_bytes(text_col))).first()[0] or 0) // FILE_TEXT_BYTES))
 
     def write(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, text_or_empty
+from .common import give_back, small_batches, text_or_empty
 from .shingles import chunks
 
 MARK = "▁"
@@ -278,6 +278,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 cols = [pa.array(c[0], pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *cols, pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4])], names=[id_col, *["ids"] * with_ids, "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return src.mapInArrow(run, f"`{id_col}` {src.dtypes[0][1]}, {'ids array<int>, ' if with_ids else ''}n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .bloom import FLUSH, _emit, maybe_repeated, merged_filter
-from .common import cut, give_back, heavy_keys, spread_join, text_or_empty
+from .common import cut, give_back, heavy_keys, small_batches, spread_join, text_or_empty
 from .shingles import _VALUE_ANY_CASE, CHUNK_BYTES, chunks, mix, powers
 
 LENGTH, GRAM = 100, 60
@@ -473,6 +473,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
     """One row a row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if asked for."""
+    small_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = plain.select("doc_id", "th", F.sha2("text", 256).alias("sha"))

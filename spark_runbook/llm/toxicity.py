@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, renamed, text_or_empty
+from .common import cut, give_back, renamed, small_batches, text_or_empty
 from .shingles import _VALUE, chunks, hashed_runs, joined, mix, powers
 
 SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
@@ -150,6 +150,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, width: int = FEATURES, folds: int = FOLDS) -> Chain:
     """categories: name to a 0/1 column of labels, in the chain's order."""
+    small_batches(docs.sparkSession)
     names = list(categories)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c.cast("int")).alias(n) for n, c in categories.items()))
     total = known.count()
@@ -214,6 +215,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 
 def score_documents(docs: DataFrame, chain: Chain, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, with p_<category> and is_<category>."""
+    small_batches(docs.sparkSession)
     keep = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Header fields that a 304 may update in the stored response.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -117,6 +117,7 @@ def parse_records(files: DataFrame, content_col: str) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record_id", "type", "url", "date", "status", "headers", "digest", "payload"])
 
+    small_batches(files.sparkSession)
     out = files.select(F.col(content_col)).mapInArrow(run, RECORD.replace("date timestamp", "date string"))
     return out.withColumn("date", F.to_timestamp("date"))
 
