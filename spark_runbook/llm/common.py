@@ -44,7 +44,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Limits what Spark sends to Python at a time to ``BATCH_BYTES`` (or one row), where the session allows more: buffers on both sides follow the bytes of a batch."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, "-1b"))
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
     if not now or int(now[1]) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 

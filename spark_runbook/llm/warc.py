@@ -9,8 +9,12 @@ The as-of join sorts keys by range of (URL, time), so a URL with a third of all
 those before it is one row for each range and URL.
 
 Defined results: URLs that are null or don't parse have no canonical form, and their revisits stay unresolved ("no_url");
-a revisit without an earlier response is "no_response", with other validators "validator_mismatch"; equal times count as not earlier;
-of responses with equal URL and time the largest id counts; repeated rows are kept; empty tables give empty results.
+a revisit without an earlier response is "no_response", with other validators "validator_mismatch"; equal times count as not earlier; a response
+without a date is earlier than none, and a revisit without one finds none; of responses with equal URL and time the largest id counts, and of
+several with one id the latest, then that with the largest digest and payload; repeated rows are kept; empty tables give empty results.
+A record whose length is missing, wrong or beyond the end is a row with ``problem`` set, and reading goes on at the next head. Repeated header
+fields are joined by ", ", cookies by a line end. Payloads are bytes. Files are inflated a member's chunk at a time and a record is
+held whole; Spark's reader takes files of up to 2 GB.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, give_back, heavy_keys, small_batches, spread_join
 
 #: Header fields that a 304 may update in the stored response.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
-RECORD = "record_id string, type string, url string, date timestamp, status int, headers map<string,string>, digest string, payload string"
+RECORD = "record_id string, type string, url string, date timestamp, status int, headers map<string,string>, digest string, payload binary"
 
 
 def canonical_url(url: Column) -> Column:
@@ -50,7 +54,7 @@ def to_warc(records: DataFrame) -> DataFrame:
         F.lit("HTTP/1.1 "), F.col("status").cast("string"), F.lit(" "), reason, F.lit("\r\n"),
         F.array_join(F.transform(names, lambda k: F.concat(k, F.lit(": "), F.coalesce(F.element_at("headers", k), F.lit("")), F.lit("\r\n"))), ""), F.lit("\r\n"),
     )
-    body = F.encode(F.concat(head, F.coalesce("payload", F.lit(""))), "UTF-8")
+    body = F.concat(F.encode(head, "UTF-8"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
     field = lambda name, c: F.when(c.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), c, F.lit("\r\n")))
     warc = F.concat(
         F.lit("WARC/1.1\r\n"), field("WARC-Type", F.col("type")), field("WARC-Record-ID", F.concat(F.lit("<urn:x:"), F.col("record_id"), F.lit(">"))), field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
@@ -61,65 +65,102 @@ def to_warc(records: DataFrame) -> DataFrame:
 
 
 def _fields(block: bytes) -> dict[str, str]:
-    out = {}
+    out: dict[str, str] = {}
     for line in block.split(b"\r\n"):
         name, sep, value = line.partition(b":")
         if sep:
-            out[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+            k, v = name.strip().lower().decode("utf-8", "replace"), value.strip().decode("utf-8", "replace")
+            out[k] = v if k not in out else out[k] + ("\n" if k == "set-cookie" else ", ") + v
     return out
 
 
-def _inflate(data: bytes) -> bytes:
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out) + data
-
-
-def records_in(data: bytes):
-    """Records of one WARC file or part of it, as tuples in the order of RECORD. Cut-off records at the end are left out."""
-    data, at = _inflate(data), 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        f = _fields(data[at:end])
-        size = f.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
+def _inflated(data):
+    """The bytes of a file in chunks; gzip members are inflated as they are read, and what follows the last is passed on."""
+    data = memoryview(data)
+    while bytes(data[:2]) == b"\x1f\x8b":
+        d, at = zlib.decompressobj(31), 0
+        try:
+            while not d.eof and at < len(data):
+                part, at = data[at : at + CHUNK], min(len(data), at + CHUNK)
+                yield d.decompress(part, CHUNK)
+                while d.unconsumed_tail:
+                    yield d.decompress(d.unconsumed_tail, CHUNK)
+            yield d.flush()
+        except zlib.error:
             return
-        block, at = data[end + 4 : end + 4 + int(size)], end + 4 + int(size)
+        data = data[at - len(d.unused_data) :] if d.eof else data[len(data) :]
+    for at in range(0, len(data), CHUNK):
+        yield bytes(data[at : at + CHUNK])
+
+
+CHUNK = 1 << 20
+HEAD = b"WARC/1."
+
+
+def records_in(data):
+    """Records of one WARC file or part of it, as tuples in the order of RECORD and the problem, if any."""
+    chunks, buffer, done = _inflated(data), bytearray(), False
+
+    def more() -> bool:
+        nonlocal done
+        if not done and (c := next(chunks, None)) is not None:
+            buffer.extend(c)
+            return True
+        done = True
+        return False
+
+    def find(what: bytes, start: int) -> int:
+        while (at := buffer.find(what, start)) < 0:
+            start = max(start, len(buffer) - len(what) + 1)
+            if not more():
+                return -1
+        return at
+
+    while (at := find(HEAD, 0)) >= 0:
+        del buffer[:at]
+        end = find(b"\r\n\r\n", 0)
+        f = _fields(bytes(buffer[: end if end >= 0 else len(buffer)]))
+        size = int(f["content-length"]) if re.fullmatch(r"[0-9]{1,15}", f.get("content-length", "")) else -1
+        stop = end + 4 + size
+        while end >= 0 and size >= 0 and len(buffer) < stop and more():
+            pass
+        problem = "no end of head" if end < 0 else "no length" if size < 0 else "cut off" if len(buffer) < stop else None
+        common = (f.get("warc-record-id", "").removeprefix("<urn:x:").strip("<>") or None, f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-date"))
+        digest = (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None
+        if problem:
+            yield (*common, None, [], digest, None, problem)
+            del buffer[: len(HEAD)]
+            continue
+        block = bytes(buffer[end + 4 : stop])
+        del buffer[:stop]
         head, _, payload = block.partition(b"\r\n\r\n")
         m = re.match(rb"HTTP/\S+ (\d{3})", head)
-        yield (
-            f.get("warc-record-id", "").removeprefix("<urn:x:").strip("<>") or None, f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-date"), int(m[1]) if m else None,
-            list(_fields(head.partition(b"\r\n")[2]).items()), (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None, (payload if m else block).decode("utf-8", "replace"),
-        )
+        yield (*common, int(m[1]) if m else None, list(_fields(head.partition(b"\r\n")[2]).items()) if m else [], digest, payload if m else block, None)
 
 
 def parse_records(files: DataFrame, content_col: str) -> DataFrame:
-    """Columns of RECORD from the bytes of WARC files or records."""
+    """Columns of RECORD, and problem, from the bytes of WARC files or records."""
 
     def run(batches):
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for v in b.column(0):
-                for r in records_in(v.as_py() or b""):
+                for r in records_in(v.as_buffer() if v.is_valid else b""):
                     rows.append(r)
-                    if len(rows) >= 500:
+                    size += len(r[7] or b"")
+                    if len(rows) >= 500 or size > 4 * CHUNK:
                         yield batch(rows)
-                        rows = []
+                        rows, size = [], 0
             if rows:
                 yield batch(rows)
 
     def batch(rows):
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record_id", "type", "url", "date", "status", "headers", "digest", "payload"])
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record_id", "type", "url", "date", "status", "headers", "digest", "payload", "problem"])
 
     small_batches(files.sparkSession)
-    out = files.select(F.col(content_col)).mapInArrow(run, RECORD.replace("date timestamp", "date string"))
-    return out.withColumn("date", F.to_timestamp("date"))
+    out = files.select(F.col(content_col)).mapInArrow(give_back(run), RECORD.replace("date timestamp", "date string") + ", problem string")
+    return out.withColumn("date", F.try_to_timestamp("date"))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -146,12 +187,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row a revisit: record_id, canonical_url, response_id, outcome, headers (merged), digest, payload."""
     keyed = records.withColumn("canonical_url", canonical_url(F.col("url")))
     full = (F.col("type") == "response") & (F.col("status") == 200)
-    look = keyed.where(F.col("canonical_url").isNotNull() & (full | (F.col("type") == "revisit"))).select("record_id", "canonical_url", "date", "type", "status")
+    look = keyed.where(F.col("canonical_url").isNotNull() & F.col("date").isNotNull() & (full | (F.col("type") == "revisit"))).select("record_id", "canonical_url", "date", "type", "status")
     found = as_of(look, "canonical_url", "date", full, "record_id").where(F.col("type") == "revisit").select(F.col("record_id").alias("rid"), F.col("date").alias("rdate"), "found").distinct()
     revisit = keyed.where(F.col("type") == "revisit").select("record_id", "canonical_url", "date", "headers", "digest")
     revisit = revisit.join(found, (F.col("record_id") == F.col("rid")) & F.col("date").eqNullSafe(F.col("rdate")), "left")
-    stored = keyed.where(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("digest").alias("sd"), "payload").dropDuplicates(["response_id"])
-    both = revisit.join(stored, F.col("found") == F.col("response_id"), "left")
+    content = F.struct("headers", "digest", "payload")
+    stored = keyed.where(full).groupBy(F.col("record_id").alias("found")).agg(F.max_by(content, F.struct("date", "digest", "payload")).alias("c"))
+    stored = stored.select("found", F.col("found").alias("response_id"), F.col("c.headers").alias("stored"), F.col("c.digest").alias("sd"), F.col("c.payload").alias("payload"))
+    revisit = cut(revisit)
+    often = heavy_keys(revisit.where("found is not null").groupBy("found").count(), "found", "count")
+    both = spread_join(revisit, stored, "found", often, F.col("record_id"), "left")
     tag = lambda m: F.regexp_replace(F.element_at(m, "etag"), "^W/", "")
     since = lambda m: F.element_at(m, "last-modified")
     agrees = F.when(tag("headers").isNotNull() & tag("stored").isNotNull(), tag("headers") == tag("stored")).when(since("headers").isNotNull() & since("stored").isNotNull(), since("headers") == since("stored")).otherwise(F.coalesce(F.col("digest") == F.col("sd"), F.lit(False)))
@@ -174,11 +219,11 @@ def captures(pages: DataFrame) -> DataFrame:
     http = lambda **kv: F.create_map(*(x for k, v in kv.items() for x in (F.lit(k.replace("_", "-")), v)))
     first = pages.select(
         F.concat(F.lit("r"), page.cast("string")).alias("record_id"), F.lit("response").alias("type"), "url", at(page % 86400).alias("date"), F.lit(200).alias("status"),
-        http(etag=tag, content_type=F.lit("text/html"), cache_control=F.lit("max-age=60"), content_length=F.octet_length(html).cast("string"), server=F.lit("a")).alias("headers"), F.sha2(html, 256).alias("digest"), html.alias("payload"),
+        http(etag=tag, content_type=F.lit("text/html"), cache_control=F.lit("max-age=60"), content_length=F.octet_length(html).cast("string"), server=F.lit("a")).alias("headers"), F.sha2(html, 256).alias("digest"), html.cast("binary").alias("payload"),
     )
     again = pages.select(
         F.concat(F.lit("v"), page.cast("string")).alias("record_id"), F.lit("revisit").alias("type"), "url", at(page % 86400 + 43200 * (page % 3)).alias("date"), F.lit(304).alias("status"),
-        http(etag=F.when(page % 7 == 0, F.lit('"changed"')).otherwise(tag), cache_control=F.lit("max-age=600"), content_length=F.lit("0"), set_cookie=F.lit("s=1")).alias("headers"), F.sha2(html, 256).alias("digest"), F.lit("").alias("payload"),
+        http(etag=F.when(page % 7 == 0, F.lit('"changed"')).otherwise(tag), cache_control=F.lit("max-age=600"), content_length=F.lit("0"), set_cookie=F.lit("s=1")).alias("headers"), F.sha2(html, 256).alias("digest"), F.lit(b"").alias("payload"),
     )
     return first.unionByName(again)
 

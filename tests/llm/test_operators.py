@@ -271,9 +271,26 @@ def test_warc_files(spark, tmp_path, sf):
     (tmp_path / "a.warc").write_bytes(b"".join(blobs[:15]))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(b) for b in blobs[15:]))
     got = warc.read_warc(spark, str(tmp_path))
-    key = lambda df: sorted((r.record_id, r.type, r.url, str(r.date), r.status, tuple(sorted(r.headers.items())), r.digest, r.payload) for r in df.collect())
+    key = lambda df: sorted((r.record_id, r.type, r.url, str(r.date), r.status, tuple(sorted(r.headers.items())), r.digest, bytes(r.payload)) for r in df.collect())
     assert key(got) == key(rec)
-    assert list(warc.records_in(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")) == []
+    assert got.where("problem is not null").count() == 0
+
+
+def test_warc_records():
+    """Bad records are rows and the next ones are read; repeated fields are joined; bytes stay bytes; members of any size."""
+    import gzip
+
+    def rec(i, body, n=None):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: {len(body) if n is None else n}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nVary: a\r\nVary: b\r\nSet-Cookie: x=1, y\r\nSet-Cookie: z=2\r\n\r\n"
+    big = bytes(range(256)) * 20_000
+    data = rec("a", http + b"\xff\x00") + rec("b", b"lost", "four") + rec("c", http + big) + rec("d", b"plain") + rec("e", b"short", 999)
+    for packed in (data, gzip.compress(data), gzip.compress(data[:100]) + gzip.compress(data[100:])):
+        got = [(r[0], r[4], r[7], r[8]) for r in warc.records_in(packed)]
+        assert got == [("a", 200, b"\xff\x00", None), ("b", None, None, "no length"), ("c", 200, big, None), ("d", None, b"plain", None), ("e", None, None, "cut off")]
+    assert dict(next(warc.records_in(data))[5]) == {"vary": "a, b", "set-cookie": "x=1, y\nz=2"}
+    assert list(warc.records_in(b"")) == []
 
 
 def test_warc_odd(spark):
@@ -282,18 +299,19 @@ def test_warc_odd(spark):
     t = [d.datetime(2024, 1, 1, h) for h in range(10)]
     h = lambda e: {"etag": e, "x": "1", "cache-control": e}
     rows = [
-        ("r1", "response", "http://www.A.com:80/p/?utm_x=1#f", t[0], 200, h("a"), "d1", "one"), ("r2", "response", "https://a.com/p", t[4], 200, h("b"), "d2", "two"), ("r0", "response", "https://a.com/p", t[4], 404, h("z"), "d9", "no"),
-        ("v0", "revisit", "https://a.com/p", t[0], 304, h("a"), None, ""), ("v1", "revisit", "https://a.com/p", t[4], 304, h("a"), None, ""), ("v2", "revisit", "https://m.a.com/p/", t[5], 304, h("W/b"), None, ""),
-        ("v3", "revisit", "https://a.com/p", t[6], 304, h("q"), None, ""), ("v4", "revisit", None, t[6], 304, h("q"), None, ""), ("v5", "revisit", "not a url", t[6], 304, {}, None, ""), ("v6", "revisit", "https://a.com/p", t[7], 304, {}, "d2", ""), ("v6", "revisit", "https://a.com/p", t[7], 304, {}, "d2", ""),
+        ("r1", "response", "http://www.A.com:80/p/?utm_x=1#f", t[0], 200, h("a"), "d1", b"one"), ("r2", "response", "https://a.com/p", t[4], 200, h("b"), "d2", b"two"), ("r0", "response", "https://a.com/p", t[4], 404, h("z"), "d9", b"no"),
+        ("v0", "revisit", "https://a.com/p", t[0], 304, h("a"), None, b""), ("v1", "revisit", "https://a.com/p", t[4], 304, h("a"), None, b""), ("v2", "revisit", "https://m.a.com/p/", t[5], 304, h("W/b"), None, b""),
+        ("v3", "revisit", "https://a.com/p", t[6], 304, h("q"), None, b""), ("v4", "revisit", None, t[6], 304, h("q"), None, b""), ("v5", "revisit", "not a url", t[6], 304, {}, None, b""), ("v6", "revisit", "https://a.com/p", t[7], 304, {}, "d2", b""), ("v6", "revisit", "https://a.com/p", t[7], 304, {}, "d2", b""),
+        ("r3", "response", "https://a.com/p", None, 200, h("c"), "d3", b"x"), ("v7", "revisit", "https://a.com/p", None, 304, h("c"), None, b""), ("r2", "response", "https://a.com/p", t[4], 200, h("b"), "d1", b"older"),
     ]
     df = spark.createDataFrame(rows, warc.RECORD).withColumn("stored", F.lit(1)).withColumn("found", F.lit(2))
     out = warc.resolve_revisits(df).collect()
     by = {r.record_id: (r.outcome, r.response_id) for r in out}
-    assert by == {"v0": ("no_response", None), "v1": ("resolved", "r1"), "v2": ("resolved", "r2"), "v3": ("validator_mismatch", None), "v4": ("no_url", None), "v5": ("no_url", None), "v6": ("resolved", "r2")}
-    assert len(out) == 8
+    assert by == {"v0": ("no_response", None), "v1": ("resolved", "r1"), "v2": ("resolved", "r2"), "v3": ("validator_mismatch", None), "v4": ("no_url", None), "v5": ("no_url", None), "v6": ("resolved", "r2"), "v7": ("no_response", None)}
+    assert len(out) == 9
     v2 = next(r for r in out if r.record_id == "v2")
     assert v2.headers == {"etag": "W/b", "cache-control": "W/b", "x": "1"}
-    assert v2.payload == "two"
+    assert bytes(v2.payload) == b"two"
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
