@@ -73,6 +73,31 @@ def adler32_of(chunks: DataFrame, key: list[str], order: str, data: str) -> Data
     return g.select(*key, folded.alias("f")).select(*key, (F.col("f.b") * 65536 + F.col("f.a")).alias("adler32"))
 
 
+#: Fields of a packed event header, big-endian: name and bytes. Behind them stand the trigger bits, two a path, and the data.
+HEADER = [("code", 1), ("version", 1), ("size", 4), ("run_number", 4), ("event_number", 8), ("lumi_section", 4), ("output_module_id", 4), ("n_paths", 2)]
+HEADER_BYTES = sum(n for _, n in HEADER)
+
+
+def pack_header(fields: dict[str, Column], bits: Column) -> Column:
+    """The bytes of a header and its trigger bits."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(fields[name].cast("long")), 2 * n, "0") for name, n in HEADER), F.hex(bits)))
+
+
+def parse_event_header(payload: Column) -> Column:
+    """Struct of a packed header's fields, states (of its paths) and header_ok: long enough, and as long as it says. Fields behind the end are null."""
+    from .selection import decode_trigger_bits
+
+    at, out = 1, []
+    for name, n in HEADER:
+        out.append(F.when(F.octet_length(payload) >= at + n - 1, F.conv(F.hex(F.substring(payload, at, n)), 16, 10).cast("long")).alias(name))
+        at += n
+    paths = F.conv(F.hex(F.substring(payload, HEADER_BYTES - 1, 2)), 16, 10).cast("int")
+    whole = F.octet_length(payload) >= HEADER_BYTES + F.ceil(paths / 4.0)
+    size = F.conv(F.hex(F.substring(payload, 3, 4)), 16, 10).cast("long")
+    states = F.when(whole, decode_trigger_bits(F.substring(payload, HEADER_BYTES + 1, 1 << 20), paths))
+    return F.struct(*out, states.alias("states"), F.coalesce(whole & (size == F.octet_length(payload)), F.lit(False)).alias("header_ok"))
+
+
 def assert_run(events: DataFrame, run: Column) -> DataFrame:
     """Events with run_mismatch; error events take the asked run, others keep theirs."""
     bad = F.col("run_number") != run

@@ -14,20 +14,21 @@ def assign_files(events: DataFrame, max_bytes: Column, order: list[str], size: s
     """events with file_counter: a file is left when the next event would make it larger than max_bytes and it isn't empty.
 
     The roll depends on all that came before in its section, so a section is one fold over its (order, size) pairs; the fold is a native
-    aggregate and rows come back by a join on the order, so event columns are never collected. A section is bounded by its length in time.
+    aggregate that keeps the first event of each file alone, so it takes time in proportion to the section's events. Rows take their file from
+    these firsts by the order; event columns are never collected. A section is bounded by its length in time.
     """
     key = F.struct(*order)
     pairs = events.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(key.alias("o"), F.col(size).cast("long").alias("s")))).alias("p"), F.first(max_bytes).cast("long").alias("m"))
-    start = F.struct(F.lit(header).cast("long").alias("size"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("file"), F.array().cast("array<int>").alias("out"))
+    kind = dict(pairs.select(F.col("p")[0]["o"].alias("o")).dtypes)["o"]
+    start = F.struct(F.lit(header).cast("long").alias("size"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def step(a, x):
         new = (a["size"] + x["s"] > F.col("m")) & (a["n"] > 0)
-        file = a["file"] + new.cast("int")
-        return F.struct(F.when(new, F.lit(header) + x["s"]).otherwise(a["size"] + x["s"]).alias("size"), F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), file.alias("file"), F.concat(a["out"], F.array(file)).alias("out"))
+        return F.struct(F.when(new, F.lit(header) + x["s"]).otherwise(a["size"] + x["s"]).alias("size"), F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(new, F.concat(a["out"], F.array(x["o"]))).otherwise(a["out"]).alias("out"))
 
-    files = pairs.select(*group, "p", F.aggregate("p", start, step)["out"].alias("f"))
-    flat = files.select(*group, F.explode(F.arrays_zip(F.col("p.o").alias("o"), F.col("f").alias("f"))).alias("z")).select(*group, "z.o.*", F.col("z.f").alias("file_counter"))
-    return events.join(flat, [*group, *order])
+    firsts = pairs.select(*group, F.aggregate("p", start, step)["out"].alias("__firsts"))
+    at = F.size(F.filter("__firsts", lambda o: o <= key))
+    return events.join(firsts, group).select(*events.columns, at.alias("file_counter"))
 
 
 def rolled(events: DataFrame, max_bytes: int, order: list[str], size: str = "data_size", header: int = 0, group: list[str] = GROUP) -> DataFrame:

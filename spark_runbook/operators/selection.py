@@ -117,11 +117,18 @@ def fraction_to_disk(fraction: float, key: Column) -> Column:
 
 
 def prescale(events: DataFrame, n: int, by: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
-    """Every n-th row of each group in the given order. Counts are taken in ranges of the order and carried over, so no group meets in one task."""
+    """Every n-th row of each group in the given order. Counts are taken in ranges of the order and carried over, so no group meets in one task.
+
+    Ranges come from a sample, so the rows are dealt once and written: counts and ranks must be those of the same ranges."""
+    from ..streaming.stateful import shared_folder
+
     if n <= 1:
         return events
+    spark = events.sparkSession
     chunks = chunks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = events.repartitionByRange(chunks, *by, *order).withColumn("__part", F.spark_partition_id())
+    made = events.repartitionByRange(chunks, *by, *order).withColumn("__part", F.spark_partition_id())
+    made.write.parquet(path := shared_folder(spark, "dealt"))
+    dealt = spark.read.schema(made.schema).parquet(path)
     sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import status
@@ -173,6 +174,23 @@ def adler(fr):
     return assembly.adler32_of(fr.withColumn("payload", data), ["event_number"], "frame_index", "payload")
 
 
+@query("d5_file_checksums", "SELECT run_number, TRUE AS matches FROM fragments GROUP BY 1 UNION ALL SELECT 0, FALSE", fr="fragments")
+def checksums(fr):
+    """A file a run, written from the fragments, against checksums put together from those of its lines; and one booked file that isn't there."""
+    from ..sources.logs import file_checksums
+    from ..streaming.stateful import shared_folder
+
+    spark = fr.sparkSession
+    line = fr.select("run_number", F.row_number().over(Window.partitionBy("run_number", "event_number").orderBy("frame_index", "data_size")).alias("k"), "event_number", F.concat_ws(",", "event_number", "frame_index", "data_size").alias("value"))
+    line.repartition("run_number").sortWithinPartitions("run_number", "event_number", "k").select("value", "run_number").write.partitionBy("run_number").text(path := shared_folder(spark, "sink"))
+    parts = line.select("run_number", F.struct("event_number", "k").alias("o"), F.encode(F.concat("value", F.lit("\n")), "UTF-8").alias("payload"))
+    want = assembly.adler32_of(parts, ["run_number"], "o", "payload")
+    name = spark.read.text(path).select(F.substring_index(F.input_file_name(), "/", -2).alias("name")).distinct()
+    run = F.regexp_extract("name", r"^run_number=(\d+)", 1).cast("long").alias("run_number")
+    book = name.select("name", run).join(want, "run_number").select("name", "adler32").unionByName(spark.createDataFrame([("run_number=0/lost.dat", 7)], "name string, adler32 long"))
+    return file_checksums(spark, f"{path}/run_number=*", book, 2).select(run, "matches")
+
+
 @query("b14_unwanted_events", f"SELECT event_number FROM daq_events WHERE message_code = 'EVENT' AND len(list_filter([{_TAGGED}], lambda x: x IS NOT NULL)) = 0", ev="daq_events")
 def unwanted(ev):
     return sel.unwanted(sel.stream_tags(ev.where("message_code = 'EVENT'"), STREAMS, NAMES, states(), F.col("output_module_label"), key())).select("event_number")
@@ -220,9 +238,15 @@ def config(ev):
     return ev.join(F.broadcast(rules), (F.col("output_module_label") == F.col("module")) & (F.col("data_size") >= F.col("least_size"))).select("event_number", "stream")
 
 
-@query("d10_parse_event_header", "SELECT event_number, run_number, lumi_section, message_code, output_module_id FROM daq_events", ev="daq_events")
+@query("d10_parse_event_header", "SELECT event_number, run_number, lumi_section, output_module_id, s_a, s_e, s_i, event_number % 50 <> 0 AS header_ok FROM daq_events", ev="daq_events")
 def header(ev):
-    return ev.select("event_number", "run_number", "lumi_section", "message_code", "output_module_id")
+    """Events packed to bytes, a fiftieth of them with a wrong length, and parsed again."""
+    packed = [sum((F.col(f"s_{n}").cast("int") * 4**j for j, n in enumerate(NAMES[k : k + 4])), F.lit(0)) for k in (0, 4, 8)]
+    bits = F.unhex(F.concat(*(F.lpad(F.hex(p.cast("long")), 2, "0") for p in packed)))
+    size = F.lit(assembly.HEADER_BYTES + 3) + F.when(F.col("event_number") % 50 == 0, 1).otherwise(0)
+    fields = {"code": F.lit(2), "version": F.lit(11), "size": size, "n_paths": F.lit(len(NAMES))} | {n: F.col(n) for n in ("run_number", "event_number", "lumi_section", "output_module_id")}
+    h = ev.select(assembly.parse_event_header(assembly.pack_header(fields, bits)).alias("h"))
+    return h.select(*(F.col(f"h.{n}").alias(n) for n in ("event_number", "run_number", "lumi_section")), F.col("h.output_module_id").cast("int").alias("output_module_id"), *(F.col("h.states")[NAMES.index(n)].alias(f"s_{n}") for n in "aei"), "h.header_ok")
 
 
 ROLL_SQL = f"""WITH RECURSIVE {ROUTED_SQL},
