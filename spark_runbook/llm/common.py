@@ -105,7 +105,7 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, heavy: list, sprea
 
 
 class Shared:
-    """A numpy array for all tasks, broadcast compressed (a filter of few bits is small on disk and wire) and opened once a worker."""
+    """A numpy array for all tasks, broadcast compressed (a filter of few bits is small on disk and wire) and opened once a task."""
 
     _open: dict[str, np.ndarray] = {}
 
@@ -124,14 +124,15 @@ class Shared:
 
 
 def give_back(f):
-    """A function over batches whose worker returns freed memory to the system when the task ends: workers live on, and what one stage
-    has freed would otherwise count against the next."""
+    """A function over batches whose worker closes shared arrays and returns freed memory to the system when the task ends: workers live on, and
+    what one stage has held would otherwise count against the next."""
 
     @functools.wraps(f)
     def run(batches, *args):
         try:
             yield from f(batches, *args)
         finally:
+            Shared._open.clear()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
     many = live.where(F.col("rest") > SMALL)
     if not many.isEmpty():
         groups = cut(spread_join(many.select("h", "nid", "root"), hubs.select("h", "hub"), "h", often, F.col("nid")).select("hub", "nid", "root").distinct())
-        more = more.unionByName(_by_differences(groups, _arrays(_sets(plain, nodes, groups.select("nid").distinct(), q)), percent, counts))
+        more = more.unionByName(_by_differences(groups, _arrays(cut(_sets(plain, nodes, groups.select("nid").distinct(), q))), percent, counts))
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
     rooted = cut(nodes.drop("prefix").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
