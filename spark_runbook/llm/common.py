@@ -123,20 +123,35 @@ class Shared:
         return known[self.key]
 
 
-def give_back(f):
+class Kept:
+    """What a worker keeps from task to task: for an operator's name, a dictionary of its compiled models."""
+
+    of: dict[str, dict] = {}
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; nothing depends on it
+
+
+def give_back(f, keeps: str | None = None):
     """A function over batches whose worker closes shared arrays and returns freed memory to the system when the task ends: workers live on, and
-    what one stage has held would otherwise count against the next."""
+    what one stage has held would otherwise count against the next. For the same reason a task first drops what other operators than ``keeps`` have in ``Kept``."""
 
     @functools.wraps(f)
     def run(batches, *args):
+        others = [d for name, d in Kept.of.items() if name != keeps and d]
+        for d in others:
+            d.clear()
+        if others:
+            _trim()
         try:
             yield from f(batches, *args)
         finally:
             Shared._open.clear()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library; nothing depends on it
+            _trim()
 
     return run

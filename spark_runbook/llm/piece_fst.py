@@ -16,6 +16,7 @@ back the same; repeated rows are encoded one by one; an empty table gives an emp
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import struct
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, text_or_empty
+from .common import Kept, give_back, small_batches, text_or_empty
 from .shingles import chunks
 
 MARK = "▁"
@@ -251,20 +252,18 @@ class PieceTransducer:
         return out.decode("utf-8", "replace")
 
 
-_COMPILED: dict[str, PieceTransducer] = {}
-
-
 def transducer(path: str) -> PieceTransducer:
-    """One compiled machine for each Python worker and model."""
-    if path not in _COMPILED:
-        _COMPILED[path] = PieceTransducer(path)
-    return _COMPILED[path]
+    """One compiled machine for each Python worker and model, until the worker gets a task of another operator."""
+    known = Kept.of.setdefault("piece_fst", {})
+    if path not in known:
+        known[path] = PieceTransducer(path)
+    return known[path]
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row a row of docs: its id, ids (if asked for), n_ids, ids_crc32, decoded_crc32 and whether decoding gives the text back."""
 
-    @give_back
+    @functools.partial(give_back, keeps="piece_fst")
     def run(batches):
         t = transducer(model_path)
         for b in batches:
