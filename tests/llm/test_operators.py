@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
-from spark_runbook.llm import bloom, chat_format, components, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, piece_fst, queries, shingles, suffix_dedup, toxicity, warc
+from spark_runbook.llm import bloom, chat_format, common, components, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, piece_fst, queries, shingles, suffix_dedup, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -206,6 +206,37 @@ def test_toxicity_held_out(spark):
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1
 
 
+def test_toxicity_out_of_fold(spark):
+    """The second model's weights are those of a fit on predictions that models of the other folds made, and not on a model's own."""
+    t = [(i, f"plain words {i % 13} {'scum' if i % 4 == 0 else 'fine'} {'junk' if i % 3 == 0 else 'good'} {i % 5}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i % 7 == 0), int(i % 4 == 0 and i % 11 > 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    chain = toxicity.document_chain(docs_of(spark, t), labels)
+    fold = {r.doc_id: r.f for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    fold = np.array([fold[i] for i, _ in t])
+    at = {int(x): k for k, x in enumerate(chain.ids)}
+    f = [[at[int(h)] for h in toxicity.features([x.encode()])[0] if int(h) in at] for _, x in t]
+    x = toxicity.Sparse(np.repeat(np.arange(len(t)), [len(c) for c in f]), np.array([k for c in f for k in c], np.int64), len(t), len(at), np.ones((len(t), 1)))
+    y = labels.orderBy("doc_id").toPandas()
+    low, toxic = 1.0 - y.quality.to_numpy(np.float64), y.toxic.to_numpy(np.float64)
+    held = np.zeros(len(t))
+    for k in range(toxicity.FOLDS):
+        w = toxicity.fit_logistic(x.take(fold != k), low[fold != k])
+        held[fold == k] = x.take(fold == k).dot(w)
+    own = x.dot(toxicity.fit_logistic(x, low))
+    right, leaky = (toxicity.fit_logistic(x.plus(np.clip(h, -8, 8)), toxic) for h in (held, own))
+    assert np.allclose(chain.weights[1], right, atol=1e-4)
+    assert not np.allclose(chain.weights[1], leaky, atol=1e-4)
+
+
+def test_other_operators_drop_models():
+    """A worker's task drops what another operator has compiled, not its own."""
+    common.Kept.of["x"] = {"model": 1}
+    assert list(common.give_back(lambda it: iter(it), keeps="x")([1])) == [1]
+    assert common.Kept.of["x"]
+    list(common.give_back(lambda it: iter(it))([1]))
+    assert not common.Kept.of.pop("x")
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)] + [(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = docs_of(spark, [(i, f"plain words {i} {'scum' if i % 4 == 0 else 'fine'}") for i in range(40)] + [(100, None), (101, ""), (None, "scum"), (102, "scum"), (102, "scum")], True)
@@ -505,6 +536,37 @@ def test_shards_odd(spark):
     assert kd_sharding.kd_shards(docs.limit(0), dims, F.lit(1), F.col("text"), shards=4).count() == 0
 
 
+def test_shards_brute_force(spark, sf):
+    """The same leaves as a plain recursion over sorted rows, in a table with copies and ties."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
+    docs = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    dims = {"n": F.col("n_chars"), "l": F.length("lang")}
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    got = {r.doc_id: r.shard for r in kd_sharding.kd_shards(docs, dims, size, F.col("text"), shards=5).collect()}
+    rows = docs.select("doc_id", size.alias("w"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in dims.items()), F.xxhash64("text").alias("t"), F.xxhash64(F.col("doc_id").cast("string")).alias("i")).collect()
+    low = {d: min(r[d] for r in rows) for d in dims}
+    span = {d: max(r[d] for r in rows) - low[d] or 1.0 for d in dims}
+
+    def key(r, d):
+        return int((r[d] - low[d]) / span[d] * kd_sharding.DIM_MAX), r.t % (1 << 18), r.i % (1 << 18)
+
+    def split(part, first, k):
+        if k == 1 or not part:
+            return {r.doc_id: first for r in part}
+        d = max(dims, key=lambda d: (max(r[d] for r in part) - min(r[d] for r in part)) / span[d])
+        goal, left, before = sum(r.w for r in part) * (k // 2) / k, [], 0
+        for at in sorted({key(r, d) for r in part}):
+            here = [r for r in part if key(r, d) == at]
+            if (after := before + sum(r.w for r in here)) >= goal:
+                left += here if after - goal <= goal - before else []
+                break
+            left, before = left + here, after
+        ids = {r.doc_id for r in left}
+        return split(left, first, k // 2) | split([r for r in part if r.doc_id not in ids], first + k // 2, k - k // 2)
+
+    assert got == split(rows, 0, 5)
+
+
 # 9
 
 
