@@ -154,12 +154,12 @@ def run_ends(fc):
     return b.select("run", "instance", "begun", "ended", secs("start_time").alias("start_s"), secs("end_time").alias("end_s"), "n_lumis", "status")
 
 
-_GAPS = "SELECT DISTINCT runnumber AS run, lumisection AS lumi FROM files_created WHERE (file_key * 7 + instance) % 5 < 2"
+_SECTIONS = "SELECT DISTINCT runnumber AS run, lumisection AS lumi FROM files_created"
 
 
-@query("h12_lumi_consistency", f"WITH l AS ({_GAPS}), t AS (SELECT run, max(lumi) AS m FROM l GROUP BY 1), sp AS (SELECT run, unnest(range(1, m + 1)) AS lumi FROM t), b AS (SELECT * FROM sp ANTI JOIN l USING (run, lumi)), g AS (SELECT run, min(lumi) AS f, count(*) AS n FROM b GROUP BY 1) SELECT t.run, CAST(m AS BIGINT) AS max_lumi, CAST(coalesce(f - 1, m) AS BIGINT) AS last_good, coalesce(n, 0) AS n_bad FROM t LEFT JOIN g USING (run)", fc="files_created")
+@query("h12_lumi_consistency", f"WITH l AS ({_SECTIONS}), t AS (SELECT run, max(lumi) AS m FROM l GROUP BY 1), sp AS (SELECT run, unnest(range(1, m + 1)) AS lumi FROM t), b AS (SELECT * FROM sp ANTI JOIN l USING (run, lumi)), g AS (SELECT run, min(lumi) AS f, count(*) AS n FROM b GROUP BY 1) SELECT t.run, CAST(m AS BIGINT) AS max_lumi, CAST(coalesce(f - 1, m) AS BIGINT) AS last_good, coalesce(n, 0) AS n_bad FROM t LEFT JOIN g USING (run)", fc="files_created")
 def consistency(fc):
-    return books.lumi_consistency(fc.where((F.col("file_key") * 7 + F.col("instance")) % 5 < 2).select(F.col("runnumber").alias("run"), F.col("lumisection").alias("lumi")))
+    return books.lumi_consistency(fc.select(F.col("runnumber").alias("run"), F.col("lumisection").alias("lumi")))
 
 
 @query("h14_destination", "SELECT file_key, CASE WHEN setuplabel LIKE '%TransferTest%' THEN 'TransferTest' WHEN regexp_matches(stream, '^Error$|_NoRepack$') THEN 'GlobalNoRepacking' ELSE 'Global' END AS destination FROM files_created", fc="files_created")
