@@ -135,9 +135,9 @@ def scalars(*t):
     return info_of(*t).where("status > 10").agg(F.sum("filesize").alias("bytes"), (secs(F.max("t_copied")) - secs(F.min("ctime"))).alias("seconds"))
 
 
-@query("h10_rebuild_summary", f"WITH {INFO} SELECT runnumber, stream, count(*) FILTER (producer = 'Logger') AS s_created, count(t_checked) AS s_checked FROM info WHERE runnumber % 3 <> 0 GROUP BY ALL", **ALL)
+@query("h10_rebuild_summary", f"WITH {INFO} SELECT runnumber, stream, count(*) FILTER (producer = 'Logger') AS s_created, count(t_checked) AS s_checked FROM info WHERE runnumber NOT IN (SELECT runnumber FROM files_created WHERE setuplabel = 'TransferTest') GROUP BY ALL", **ALL)
 def rebuild(*t):
-    return books.rebuild_summary(info_of(*t), t[0].where("runnumber % 3 = 0").select("runnumber")).select("runnumber", "stream", "s_created", "s_checked")
+    return books.rebuild_summary(info_of(*t), t[0].where("setuplabel = 'TransferTest'").select("runnumber")).select("runnumber", "stream", "s_created", "s_checked")
 
 
 _LINES = "SELECT runnumber AS run, instance, lumisection AS lumi, CASE WHEN lumisection = 1 THEN 'BoR' WHEN lumisection = 24 THEN 'EoR' ELSE 'EoLS' END AS kind, ctime AS ts FROM files_created"
