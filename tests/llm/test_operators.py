@@ -161,9 +161,67 @@ def test_pieces(texts):
     for t in cases:
         assert own.encode(t).tolist() == lib.encode(t), t
         assert own.decode(own.encode(t)) == lib.decode(lib.encode(t)), t
-    for t in cases[60:260]:
-        s = "▁" + t.replace(" ", "▁")
-        assert own.only_path(s) == own.shortest_path(own.compose(s))
+    assert [x.tolist() for x in own.encode_all(cases)] == lib.encode(cases)
+    for unit in ["▁" + t.replace(" ", "▁") for t in cases[60:260]] + ["▁thequickbrown中😀" * 9000]:
+        assert own.shortest_path(unit) == own.shortest_paths([unit])[0] if len(unit) < piece_fst.LONG else own.shortest_path(unit) == np.array(lib.encode(unit[1:]), "<u4").tobytes()
+
+
+def test_pieces_that_touch():
+    own = piece_fst.PieceTransducer(PIECES)
+    rnd = np.random.default_rng(4)
+    a, b = rnd.integers(0, len(own.ids), (2, 20_000))
+    names = list(own.number)
+    for _ in range(2):  # the second time from the table of pairs
+        got = own.touch(a, b)
+        for x, y, ok in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+            assert ok == (merged(own, names[x] + names[y]) == [names[x], names[y]]), (names[x], names[y])
+
+
+def merged(own, letters):
+    """Plain merging: the best score first, then the leftmost."""
+    part = list(letters)
+    while True:
+        best = min(((-own.score[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if a + b in own.score), default=None)
+        if best is None:
+            return part
+        part[best[1] : best[1] + 2] = [part[best[1]] + part[best[1] + 1]]
+
+
+@pytest.mark.parametrize("rule", ["", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("unigram", [False, True])
+def test_pieces_of_other_models(rule, unigram, texts):
+    """Unigram costs, character maps and shortened spaces against the library."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(PIECES, "rb") as f:
+        m.ParseFromString(f.read())
+    if unigram:
+        m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+        for i, p in enumerate(m.pieces):
+            p.score = 0.0 if p.type != 1 else -8.0 - (i * 7919 % 4096) / 512 - 2.0 / len(p.piece)
+    if rule:
+        n = pb.ModelProto()
+        n.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        m.normalizer_spec.precompiled_charsmap = n.normalizer_spec.precompiled_charsmap
+        m.normalizer_spec.remove_extra_whitespaces = True
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), piece_fst.PieceTransducer(model=m.SerializeToString())
+    rnd = random.Random(3)
+    cases = [t for t in list(texts.values())[:40] if t] + ["".join(rnd.choice("  \n\tabcTHE.,09éÉß中😀ﬁ①Ａｂ½…İǅ\u0301\u00a0\u3000한ᄒ") for _ in range(rnd.randint(0, 40))) for _ in range(600)]
+    for t in cases:
+        assert own.encode(t).tolist() == lib.encode(t), t
+
+
+def test_user_defined_pieces():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.pieces.add(piece="<x>", type=pb.ModelProto.SentencePiece.USER_DEFINED)
+    with pytest.raises(ValueError, match="user-defined"):
+        piece_fst.PieceTransducer(model=m.SerializeToString())
 
 
 def test_pieces_odd(spark):
