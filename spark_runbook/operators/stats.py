@@ -105,6 +105,19 @@ def skipped_discards(discards: DataFrame, brokers: DataFrame, valid: list[int])
     return known.select("kind", why.alias("why")).where("why is not null").groupBy("kind", "why").agg(F.count("*").alias("n"))
 
 
+def sender_alarms(events: DataFrame, discards: DataFrame, brokers: DataFrame, valid: list[int]) -> DataFrame:
+    """Alarms of each broker: raised by any faulty event, and by any discard that is ignored (an unknown broker, or an invalid code), else revoked.
+    events: broker_id, faulty; discards: broker_id, code; brokers: the known ones, shown with or without messages."""
+    known = brokers.select("broker_id", F.lit(True).alias("__k")).distinct()
+    f = events.groupBy("broker_id").agg(F.count_if("faulty").alias("faulty_events"))
+    d = discards.groupBy("broker_id").agg(F.count("*").alias("__n"), F.count_if(~F.coalesce(F.col("code").isin(valid), F.lit(False))).alias("__bad"))
+    every = known.join(f, "broker_id", "full").join(d, "broker_id", "full")
+    ignored = F.coalesce(F.when(F.col("__k"), F.col("__bad")).otherwise(F.col("__n")), F.lit(0))
+    n = every.select("broker_id", F.coalesce("faulty_events", F.lit(0)).alias("faulty_events"), ignored.alias("ignored_discards"))
+    alarm = lambda c: F.when(F.col(c) > 0, "raise").otherwise("revoke")
+    return n.withColumn("faulty_alarm", alarm("faulty_events")).withColumn("ignored_discard_alarm", alarm("ignored_discards"))
+
+
 def sender_id(*parts: Column) -> Column:
     """CRC-32 of the key's text."""
     return F.crc32(F.concat(*(p.cast("string") for p in parts)).cast("binary"))

@@ -69,9 +69,13 @@ def inventory(fc):
     return logs.file_inventory(fc.select("filename"))
 
 
-@query("a12_insert_files", "SELECT file_key, 'Logger' AS producer, runnumber FROM files_created WHERE producer = 'Logger'", fc="files_created")
+@query("a12_insert_files", "WITH r AS (SELECT file_key, filename, CASE WHEN file_key % 11 <> 0 THEN stream END AS stream, runnumber, 1 AS attempt FROM files_created UNION ALL SELECT file_key, filename, stream, runnumber, 2 AS attempt FROM files_created WHERE file_key % 3 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY attempt) AS n FROM r WHERE stream IS NOT NULL) SELECT file_key, filename, stream, runnumber, attempt, 'Logger' AS producer FROM k WHERE n = 1 AND file_key NOT IN (SELECT file_key FROM files_created WHERE runnumber % 7 = 0)", fc="files_created")
 def insert(fc):
-    return fc.where("producer = 'Logger'").select("file_key", F.lit("Logger").alias("producer"), "runnumber")
+    """A log that tells of some files twice and of some without a stream; the book has every seventh run already."""
+    cols = ["file_key", "filename", "stream", "runnumber", "attempt"]
+    once = fc.withColumn("stream", F.when(F.col("file_key") % 11 != 0, F.col("stream"))).withColumn("attempt", F.lit(1))
+    again = fc.where("file_key % 3 = 0").withColumn("attempt", F.lit(2))
+    return logs.insert_files(once.unionByName(again), fc.where("runnumber % 7 = 0"), cols, "file_key", ["attempt"], "Logger")
 
 
 @query("a13_storage_page_status", "SELECT hostname, CAST(count(*) FILTER (file_key % 50 = 0) + 100 * count(*) FILTER (file_key % 50 = 1) + 1000 * count(*) FILTER (file_key % 50 = 2) AS BIGINT) AS score FROM files_created GROUP BY 1", fc="files_created")

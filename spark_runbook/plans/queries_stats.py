@@ -163,6 +163,16 @@ def faulty_alarm(ev):
     return ev.where("message_code = 'ERROR_EVENT'").groupBy("run_number").agg(F.count("*").alias("n")).where("n > 0").select("run_number")
 
 
+_FAULTY = "message_code = 'ERROR_EVENT' AND broker_id % 3 = 0"
+_CODE = "CASE WHEN filter_unit % 9 IN (2, 5) AND event_number % 6 = 5 THEN 9 ELSE event_number % 4 END"
+
+
+@query("g23_sender_alarms", f"WITH f AS (SELECT broker_id, count(*) FILTER ({_FAULTY}) AS n FROM daq_events GROUP BY 1), d AS (SELECT broker_id, count(*) FILTER (broker_id NOT IN (SELECT broker_id FROM senders) OR code NOT IN (0, 1, 2, 3)) AS n FROM (SELECT filter_unit % 9 AS broker_id, {_CODE} AS code FROM daq_events) GROUP BY 1), a AS (SELECT broker_id FROM senders UNION SELECT broker_id FROM f UNION SELECT broker_id FROM d) SELECT broker_id, coalesce(f.n, 0) AS faulty_events, coalesce(d.n, 0) AS ignored_discards, CASE WHEN f.n > 0 THEN 'raise' ELSE 'revoke' END AS faulty_alarm, CASE WHEN d.n > 0 THEN 'raise' ELSE 'revoke' END AS ignored_discard_alarm FROM a LEFT JOIN f USING (broker_id) LEFT JOIN d USING (broker_id)", ev="daq_events", se="senders")
+def sender_alarms(ev, se):
+    discards = ev.select((F.col("filter_unit") % 9).alias("broker_id"), F.expr(_CODE).alias("code"))
+    return stats.sender_alarms(ev.withColumn("faulty", F.expr(_FAULTY)), discards, se, [0, 1, 2, 3])
+
+
 @query("g24_alarm_state", "SELECT broker_id, event_number, level, previous FROM (SELECT *, coalesce(lag(level) OVER (PARTITION BY broker_id ORDER BY creation_time, event_number), 'OKAY') AS previous FROM (SELECT *, CASE WHEN data_size > 60000 THEN 'FATAL' WHEN data_size > 30000 THEN 'WARNING' ELSE 'OKAY' END AS level FROM daq_events)) WHERE level <> previous", ev="daq_events")
 def alarms(ev):
     lv = ev.withColumn("level", F.when(F.col("data_size") > 60000, "FATAL").when(F.col("data_size") > 30000, "WARNING").otherwise("OKAY"))

@@ -50,16 +50,18 @@ def sessions(ev):
     return out.select("user_id", _epoch("session_window.start").alias("start_s"), "n")
 
 
-@stream("l1_assemble_stream", "lineitem", "WITH per AS (SELECT event_number, run_number, frame_index, count(*) AS m, sum(data_size) AS b, max(num_frames) AS nf FROM fragments GROUP BY ALL), a AS (SELECT event_number, CAST(sum(m) AS BIGINT) AS n_fragments, CAST(sum(b) AS BIGINT) AS event_size, max(m) > 1 AS dup, max(nf) AS nf FROM per GROUP BY 1) SELECT event_number, n_fragments, event_size FROM a WHERE n_fragments = nf AND NOT dup")
+@stream("l1_assemble_stream", "lineitem", "WITH per AS (SELECT event_number, run_number, frame_index, count(*) AS m, sum(data_size) AS b, max(num_frames) AS nf, max(arrival) AS last FROM fragments GROUP BY ALL), a AS (SELECT event_number, CAST(sum(m) AS BIGINT) AS n_fragments, CAST(sum(b) AS BIGINT) AS event_size, max(m) > 1 AS dup, max(nf) AS nf, max(epoch(last)) AS last FROM per GROUP BY 1), c AS (SELECT *, n_fragments = nf AND NOT dup AS complete FROM a) SELECT event_number, n_fragments, event_size, complete FROM c WHERE complete OR last + 60 < (SELECT max(last) FROM c)")
 def assemble(li):
+    """Complete events, and those forced out because no fragment came for a minute of event time."""
     fr = _view(li, "fragments", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp"))
-    out = ss.drain(ss.assemble_stream(fr, KEY), "append")
-    return out.where("complete").select("event_number", "n_fragments", "event_size")
+    return ss.drain(ss.assemble_stream(fr, KEY), "append").select("event_number", "n_fragments", "event_size", "complete")
 
 
-@stream("l11_dqm_ready", "lineitem", "SELECT run_number, lumi_section, top_folder, 40 AS n FROM (SELECT run_number, lumi_section, top_folder, count(*) AS c FROM dqm_objects GROUP BY ALL) WHERE c >= 40")
+@stream("l11_dqm_ready", "lineitem", "WITH g AS (SELECT run_number, lumi_section, top_folder, count(*) AS c, max(arrival) AS last FROM dqm_objects GROUP BY ALL) SELECT run_number, lumi_section, top_folder, least(c, 40) AS n, CASE WHEN c >= 40 THEN 'complete' ELSE 'timeout' END AS reason FROM g WHERE c >= 40 OR epoch(last) + 30 * 86400 < (SELECT max(epoch(last)) FROM g)")
 def dqm_ready(li):
-    return ss.drain(ss.dqm_ready_stream(_view(li, "dqm_objects", "lineitem"), 40), "append")
+    """Ready with forty updates, or thirty days of event time after the last one."""
+    up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp"))
+    return ss.drain(ss.dqm_ready_stream(up.select("run_number", "lumi_section", "top_folder", "arrival"), 40, 30 * 86_400_000), "append")
 
 
 @stream("l7_l10_consumer_buffer", "events")

@@ -115,6 +115,21 @@ def reject_incomplete(df: DataFrame, required: list[str]) -> tuple[DataFrame, Da
     return df.where(~missing), df.where(missing)
 
 
+def insert_files(rows: DataFrame, book: DataFrame, columns: list[str], key: str, order: list[str], producer: str) -> DataFrame:
+    """What a batch of parsed lines adds to the book: the chosen columns and the producer's name. Lines without one of the columns add nothing, of
+    lines of one key the first in order counts, and keys that the book has stay as they are."""
+    rest = [c for c in columns if c != key]
+    whole = reject_incomplete(rows, columns)[0]
+    first = whole.groupBy(key).agg(F.min(F.struct(*order, *(c for c in rest if c not in order))).alias("__r"))
+    new = first.select(key, *(F.col(f"__r.{c}").alias(c) for c in rest), F.lit(producer).alias("producer"))
+    return new.join(book.select(key), key, "left_anti")
+
+
+def append_files(new: DataFrame, path: str) -> None:
+    """Appends inserted rows to the book's folder."""
+    new.write.mode("append").parquet(path)
+
+
 def file_list_filter(inv: DataFrame, now: Column, days: int, text: str) -> DataFrame:
     from ..functions.times import secs
 

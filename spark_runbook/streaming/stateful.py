@@ -135,17 +135,33 @@ def consumer_expiry(rows: DataFrame, timeout_s: int) -> DataFrame:
     return rows.withColumn("stale", F.col("t") - contact > timeout_s)
 
 
-def dqm_ready_stream(updates: DataFrame, expected: int) -> DataFrame:
-    """A folder's key as soon as it has the expected number of updates."""
+READY = "run_number long, lumi_section long, top_folder string, n long, reason string"
+
+
+def dqm_ready_stream(updates: DataFrame, expected: int, ready_ms: int = 120_000, watermark: str = "0 seconds") -> DataFrame:
+    """A folder's key as soon as it has the expected number of updates, or with what it has when its last update is older than the ready time of
+    event time. A folder put out early is remembered for the ready time, so that more updates don't put it out again."""
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        n = before + sum(len(p) for p in parts)
-        state.update((int(n),))
+        before, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if before < expected:
+                yield _ready(k, before, "timeout")
+            return
+        n = before
+        for pdf in parts:
+            n, last = n + len(pdf), max(last, int(pdf["arrival"].max().timestamp() * 1000))
+        state.update((int(n), last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ready_ms)
         if before < expected <= n:
-            yield pd.DataFrame({"run_number": [k[0]], "lumi_section": [k[1]], "top_folder": [k[2]], "n": [expected]})
+            yield _ready(k, expected, "complete")
+
+    def _ready(k, n, reason):
+        return pd.DataFrame({"run_number": [k[0]], "lumi_section": [k[1]], "top_folder": [k[2]], "n": [n], "reason": [reason]})
 
-    return updates.groupBy("run_number", "lumi_section", "top_folder").applyInPandasWithState(step, "run_number long, lumi_section long, top_folder string, n long", "n long", "append", GroupStateTimeout.NoTimeout)
+    marked = updates.withWatermark("arrival", watermark)
+    return marked.groupBy("run_number", "lumi_section", "top_folder").applyInPandasWithState(step, READY, "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drop_old_lumis_stream(updates: DataFrame, late: int, schema: str) -> DataFrame:
