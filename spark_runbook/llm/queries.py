@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, kd_sharding, packed_ids, piece_fst, suffix_dedup, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, imatch, jaccard_join, kd_sharding, packed_ids, piece_fst, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sharding": kd_sharding.op8_sharding,
         "op9_packed_ids": packed_ids.op9_packed_ids,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op11_imatch": imatch.op11_imatch,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisits": warc.OP5_SQL,
         "op6_chat_format": chat_format.OP6_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
+        "op11_imatch": imatch.OP11_SQL,
     }
