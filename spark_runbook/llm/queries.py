@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, imatch, jaccard_join, kd_sharding, packed_ids, piece_fst, suffix_dedup, toxicity, warc
+from . import centroids, chat_format, decontaminate, exact_dedup, imatch, jaccard_join, kd_sharding, packed_ids, piece_fst, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_packed_ids": packed_ids.op9_packed_ids,
         "op10_decontamination": decontaminate.op10_decontamination,
         "op11_imatch": imatch.op11_imatch,
+        "op12_centroids": centroids.op12_centroids,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.OP6_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
         "op11_imatch": imatch.OP11_SQL,
+        "op12_centroids": centroids.OP12_SQL,
     }
