@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, decontaminate, exact_dedup, imatch, jaccard_join, kd_sharding, packed_ids, piece_fst, suffix_dedup, toxicity, warc
+from . import centroids, chat_format, decontaminate, exact_dedup, imatch, jaccard_join, kd_sharding, packed_ids, piece_fst, prefix_trie, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_decontamination": decontaminate.op10_decontamination,
         "op11_imatch": imatch.op11_imatch,
         "op12_centroids": centroids.op12_centroids,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_decontamination": decontaminate.OP10_SQL,
         "op11_imatch": imatch.OP11_SQL,
         "op12_centroids": centroids.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
