@@ -34,7 +34,8 @@ from .common import Kept, give_back, small_batches, text_or_empty
 from .shingles import chunks
 
 MARK = "▁"
-FALLBACK_COST = 1e6
+#: Fixed value: a letter that is no piece costs this much more than the piece of the least score.
+UNKNOWN_PENALTY = 10.0
 CACHE = 200_000
 WORD_CHARS = 60
 LONG = 200
@@ -105,8 +106,15 @@ class PieceTransducer:
                 model = f.read()
         m.ParseFromString(model)
         kind = pb.ModelProto.SentencePiece
-        if any(p.type == kind.USER_DEFINED for p in m.pieces):
-            raise ValueError("this model has user-defined pieces")
+        refused = {
+            "user-defined pieces": any(p.type == kind.USER_DEFINED for p in m.pieces),
+            "words or characters as pieces": m.trainer_spec.model_type not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM),
+            "marks behind words": m.trainer_spec.treat_whitespace_as_suffix,
+            "no byte fallback": not m.trainer_spec.byte_fallback or sum(p.type == kind.BYTE for p in m.pieces) < 256,
+            "unused pieces and merges": m.trainer_spec.model_type == pb.TrainerSpec.BPE and any(p.type == kind.UNUSED for p in m.pieces),
+        }
+        if why := [k for k, v in refused.items() if v]:
+            raise ValueError(f"this model isn't handled: it has {', '.join(why)}")
         self.map = character_map(m.normalizer_spec.precompiled_charsmap) if m.normalizer_spec.precompiled_charsmap else {}
         self.longest: dict[str, int] = {}
         for k in self.map:
@@ -117,7 +125,6 @@ class PieceTransducer:
         self.merges = m.trainer_spec.model_type == pb.TrainerSpec.BPE
         usable = {i: p for i, p in enumerate(m.pieces) if p.type == kind.NORMAL}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == kind.BYTE}
-        self.unk = next((i for i, p in enumerate(m.pieces) if p.type == kind.UNKNOWN), 0)
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(MARK, " ").encode() if i in usable else b"" for i, p in enumerate(m.pieces)]
         self.word_level = not any(MARK in p.piece.lstrip(MARK) for p in usable.values())
         self.line_level = not any("\n" in p.piece for p in usable.values())
@@ -128,6 +135,7 @@ class PieceTransducer:
     def _compile(self, pieces: dict[str, tuple[int, float]]) -> None:
         """The tables of the machines. Pieces are numbered anew; letters that only occur in longer pieces get numbers too, and write their bytes."""
         self.score = {p: s for p, (_, s) in pieces.items()}
+        self.fallback = UNKNOWN_PENALTY - min(self.score.values(), default=0.0)
         split = {p: self._last_merge(p) for p in pieces if len(p) > 1} if self.merges else {}
         live = [p for p in pieces if len(p) == 1 or not self.merges or split[p]]  # no path leads through a piece that merging never makes
         live += sorted({c for p in live for c in p} - set(live))
@@ -135,7 +143,7 @@ class PieceTransducer:
         n = len(live)
         self.ids = np.array([pieces[p][0] if p in pieces else -1 for p in live], np.int64)
         self.size = np.array([len(p) for p in live], np.int32)
-        self.cost = np.array([(-self.score[p] if not self.merges else 1.0) if p in pieces else FALLBACK_COST for p in live])
+        self.cost = np.array([(-self.score[p] if not self.merges else 1.0) if p in pieces else self.fallback for p in live])
         nodes, keys, final = {"": 0}, [], {}
         for k, p in enumerate(live):
             for j, c in enumerate(p):
@@ -226,7 +234,7 @@ class PieceTransducer:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, end, piece))
 
     def _costs(self, piece: np.ndarray) -> np.ndarray:
-        return np.where(piece < 0, FALLBACK_COST, self.cost[piece])
+        return np.where(piece < 0, self.fallback, self.cost[piece])
 
     def shortest_paths(self, units: list[str]) -> list[bytes]:
         """Ids (32 bits each) along the cheapest path of every unit: all are relaxed together, place by place."""
@@ -266,7 +274,7 @@ class PieceTransducer:
         ids = np.where(piece < 0, -1, self.ids[piece])
         odd = np.flatnonzero(ids < 0)
         count = np.ones(len(ids), np.int64)
-        texts = {int(c): [self.byte_ids.get(x, self.unk) for x in chr(c).encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk] for c in np.unique(letters[ends[odd] - 1])}
+        texts = {int(c): [self.byte_ids[x] for x in chr(c).encode("utf-8", "surrogatepass")] for c in np.unique(letters[ends[odd] - 1])}
         count[odd] = [len(texts[c]) for c in letters[ends[odd] - 1].tolist()]
         at = np.append(0, np.cumsum(count))
         out = np.repeat(ids, count)

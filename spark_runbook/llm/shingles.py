@@ -86,6 +86,30 @@ def hashed_runs(data: np.ndarray, solid: np.ndarray, values: np.ndarray = _VALUE
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(lengths)
 
 
+def scattered(data: np.ndarray, solid: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of every run, the sum of a nonlinear function of each byte (A-Z as a-z) and its place. A polynomial modulo 2**64 has whole families of words that collide
+    whatever base and values are (those that follow the Thue-Morse sequence); this sum has no such algebra. In windows, as ``hashed_runs``."""
+    out, end = np.zeros(len(start), np.uint64), start + length
+    for a in range(0, len(data) if len(start) else 0, CHUNK_BYTES * 2):
+        d = data[a : a + CHUNK_BYTES * 2]
+        r0, r1 = np.searchsorted(end, a, side="right"), np.searchsorted(start, a + len(d))
+        if r0 == r1:
+            continue
+        count = np.minimum(end[r0:r1], a + len(d)) - np.maximum(start[r0:r1], a)
+        at = np.flatnonzero(solid[d])
+        with np.errstate(over="ignore"):
+            x = (at + a - np.repeat(start[r0:r1], count)).astype(np.uint64)
+            x *= _U(0xD6E8FEB86659FD93)
+            x ^= _VALUE[d[at]]
+            x ^= x >> _U(32)
+            x *= _U(0xBF58476D1CE4E5B9)
+            x ^= x >> _U(29)
+            x *= _U(0x94D049BB133111EB)
+            x ^= x >> _U(31)
+            out[r0:r1] += np.add.reduceat(x, np.cumsum(count) - count)
+    return out
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a line end behind each, and where each starts (len(texts) + 1)."""
     return np.frombuffer(b"\n".join([*texts, b""]), np.uint8), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -97,7 +121,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word, start, n = hashed_runs(data, _SOLID)
     with np.errstate(over="ignore"):
         word += n.astype(np.uint64) * _U(_BASE)
-    return mix(word), np.searchsorted(start, first)
+        return mix(word) + scattered(data, _SOLID, start, n), np.searchsorted(start, first)
 
 
 def shingle_sets(texts: list[bytes], q: int) -> list[np.ndarray]:

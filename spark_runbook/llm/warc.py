@@ -12,7 +12,8 @@ Defined results: URLs that are null or don't parse have no canonical form, and t
 a revisit without an earlier response is "no_response", with other validators "validator_mismatch"; equal times count as not earlier; a response
 without a date is earlier than none, and a revisit without one finds none; of responses with equal URL and time the largest id counts, and of
 several with one id the latest, then that with the largest digest and payload; repeated rows are kept; empty tables give empty results.
-A record whose length is missing, wrong or beyond the end is a row with ``problem`` set, and reading goes on at the next head. Repeated header
+A record whose length is missing, wrong or beyond the end is a row with ``problem`` set, and reading goes on at the next head; so is a gzip member that is
+damaged, cut off or fails its checksum, of which the records before the damage are read, and reading goes on at the next member. Repeated header
 fields are joined by ", ", cookies by a line end. Payloads are bytes. Files are inflated a member's chunk at a time and a record is
 held whole; Spark's reader takes files of up to 2 GB.
 """
@@ -74,8 +75,23 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
+MEMBER = re.compile(rb"\x1f\x8b\x08")
+PROBE = 256
+
+
+def _opens(data) -> bool:
+    """Whether what starts here can be inflated, as far as its first bytes tell."""
+    d = zlib.decompressobj(31)
+    try:
+        d.decompress(data[:PROBE], PROBE)
+    except zlib.error:
+        return False
+    return True
+
+
 def _inflated(data):
-    """The bytes of a file in chunks; gzip members are inflated as they are read, and what follows the last is passed on."""
+    """The bytes of a file in chunks; gzip members are inflated as they are read, and what follows the last is passed on. A damaged member gives None where
+    its bytes end, and reading goes on at the next place where a member opens."""
     data = memoryview(data)
     while bytes(data[:2]) == b"\x1f\x8b":
         d, at = zlib.decompressobj(31), 0
@@ -86,9 +102,12 @@ def _inflated(data):
                 while d.unconsumed_tail:
                     yield d.decompress(d.unconsumed_tail, CHUNK)
             yield d.flush()
+            if not d.eof:
+                yield None
+            data = data[at - len(d.unused_data) :] if d.eof else data[len(data) :]
         except zlib.error:
-            return
-        data = data[at - len(d.unused_data) :] if d.eof else data[len(data) :]
+            yield None
+            data = next((data[m.start() :] for m in MEMBER.finditer(data, 1) if _opens(data[m.start() :])), data[len(data) :])
     for at in range(0, len(data), CHUNK):
         yield bytes(data[at : at + CHUNK])
 
@@ -99,15 +118,16 @@ HEAD = b"WARC/1."
 
 def records_in(data):
     """Records of one WARC file or part of it, as tuples in the order of RECORD and the problem, if any."""
-    chunks, buffer, done = _inflated(data), bytearray(), False
+    chunks, buffer, done, damaged = (c for c in _inflated(data) if c is None or c), bytearray(), False, False
 
     def more() -> bool:
-        nonlocal done
-        if not done and (c := next(chunks, None)) is not None:
-            buffer.extend(c)
-            return True
-        done = True
-        return False
+        nonlocal done, damaged
+        if done or damaged:
+            return False
+        c = next(chunks, b"")
+        done, damaged = c == b"", c is None
+        buffer.extend(c or b"")
+        return bool(c)
 
     def find(what: bytes, start: int) -> int:
         while (at := buffer.find(what, start)) < 0:
@@ -116,7 +136,12 @@ def records_in(data):
                 return -1
         return at
 
-    while (at := find(HEAD, 0)) >= 0:
+    while (at := find(HEAD, 0)) >= 0 or damaged:
+        if at < 0:
+            yield (None, None, None, None, None, [], None, None, "damaged member")
+            buffer.clear()
+            damaged = False
+            continue
         del buffer[:at]
         end = find(b"\r\n\r\n", 0)
         f = _fields(bytes(buffer[: end if end >= 0 else len(buffer)]))

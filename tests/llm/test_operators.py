@@ -147,6 +147,31 @@ def test_shingle_hashes():
     assert len(d) == 1
 
 
+def thue_morse(n: int) -> bytes:
+    return bytes(98 if bin(i).count("1") % 2 else 97 for i in range(n))
+
+
+def test_texts_that_collide_modulo_powers_of_two(spark):
+    """Words that follow the Thue-Morse sequence and their complements have equal polynomials modulo 2**64; these texts share no shingle."""
+    a = thue_morse(1024).decode()
+    b = a.translate(str.maketrans("ab", "ba"))
+    out = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs_of(spark, [(1, f"{a} q r"), (2, f"{b} q r"), (3, f"{a} q r")]), 3, 90).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+    long = thue_morse(1 << 21)  # over several windows
+    x, y = (shingles.word_hashes([t])[0] for t in (long, long.translate(bytes.maketrans(b"ab", b"ba"))))
+    assert len(x) == len(y) == 1 and x[0] != y[0]
+
+
+def test_scattered_windows(monkeypatch):
+    """The hash of a word doesn't depend on where windows cut it."""
+    rnd = np.random.default_rng(1)
+    texts = [bytes(rnd.choice(list(b"ab cd\n"), rnd.integers(0, 3000)).tolist()) for _ in range(30)] + [b"x" * 5000]
+    whole = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 8)
+    for got, want in zip(shingles.word_hashes(texts), whole, strict=True):
+        assert (got == want).all()
+
+
 # 2
 
 
@@ -215,13 +240,57 @@ def test_pieces_of_other_models(rule, unigram, texts):
         assert own.encode(t).tolist() == lib.encode(t), t
 
 
-def test_user_defined_pieces():
+def small_model(pieces, kind="UNIGRAM", **spec):
+    """A model of these (piece, score[, type]) with byte fallback."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
-    m.pieces.add(piece="<x>", type=pb.ModelProto.SentencePiece.USER_DEFINED)
-    with pytest.raises(ValueError, match="user-defined"):
-        piece_fst.PieceTransducer(model=m.SerializeToString())
+    m.trainer_spec.model_type = getattr(pb.TrainerSpec, kind)
+    m.trainer_spec.byte_fallback = True
+    for k, v in spec.items():
+        setattr(m.trainer_spec, k, v)
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.remove_extra_whitespaces = False
+    m.pieces.add(piece="<unk>", type=2)
+    for x in range(256):
+        m.pieces.add(piece=f"<0x{x:02X}>", type=6)
+    for p, score, *kind_of in pieces:
+        m.pieces.add(piece=p, score=score, type=kind_of[0] if kind_of else 1)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("case", [
+    (small_model([("x", -1.0, 4)]), "user-defined"), (small_model([("x", -1.0)], "WORD"), "words or characters"), (small_model([("x", -1.0)], "CHAR"), "words or characters"),
+    (small_model([("x", -1.0)], treat_whitespace_as_suffix=True), "marks behind"), (small_model([("x", -1.0)], byte_fallback=False), "no byte fallback"), (small_model([("x", -1.0), ("xx", -2.0, 5)], "BPE"), "unused pieces"),
+])
+def test_refused_models(case):
+    with pytest.raises(ValueError, match=case[1]):
+        piece_fst.PieceTransducer(model=case[0])
+
+
+def test_fallback_cost():
+    """A letter that is no piece may be cheaper than a piece of a bad score; unused pieces of a unigram model are no arcs."""
+    import random
+
+    import sentencepiece
+
+    rnd = random.Random(8)
+    models = [small_model([("ab", -30.0), ("c", -30.0), ("bc", -1.0)]), small_model([("ab", -3.0), ("abc", -1.0, 5), ("c", -2.5), ("b", -40.0), ("▁", -2.0)])]
+    models += [small_model([(p, -rnd.random() * 40) for p in {"".join(rnd.choice("abcd▁") for _ in range(rnd.randint(1, 4))) for _ in range(12)}]) for _ in range(30)]
+    for m in models:
+        lib, own = sentencepiece.SentencePieceProcessor(model_proto=m), piece_fst.PieceTransducer(model=m)
+
+        def cost(ids, lib=lib, own=own):
+            """Of a path; a letter's bytes cost the fallback once."""
+            at, total = 0, 0.0
+            while at < len(ids):
+                total += own.fallback if ids[at] <= 256 else -lib.get_score(ids[at])
+                at += 1 if ids[at] > 256 or ids[at] <= 1 + 0x7F else 3 if ids[at] == 1 + 0xE2 else 1
+            return total
+
+        for t in ["abc", *("".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, 12))) for _ in range(60))]:
+            got, want = own.encode(t).tolist(), lib.encode(t)
+            assert got == want or abs(cost(got) - cost(want)) < 1e-4, (t, got, want)
+    assert piece_fst.PieceTransducer(model=models[0]).encode("abc").tolist() == [1 + 0x61, 259]
 
 
 def test_pieces_odd(spark):
@@ -382,6 +451,26 @@ def test_warc_records():
     assert list(warc.records_in(b"")) == []
 
 
+def test_damaged_members():
+    """Members behind a damaged one are read, and the damage is a row."""
+    import gzip
+
+    def member(i, size=40):
+        body = bytes(np.random.default_rng(i).integers(97, 123, size, dtype=np.uint8))
+        return gzip.compress(f"WARC/1.1\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n")
+
+    a, b, c = member(1), member(2, 5000), member(3)
+    bad = bytearray(b)
+    bad[len(b) // 2] ^= 0xFF
+    crc = b[:-8] + bytes([b[-8] ^ 1]) + b[-7:]
+    for data, want in [
+        (a + b + c, [("1", None), ("2", None), ("3", None)]), (a + bytes(bad) + c, [("1", None), (None, "damaged member"), ("3", None)]), (a + crc + c, [("1", None), (None, "damaged member"), ("3", None)]),
+        (a + b[:-100], [("1", None), ("2", "cut off"), (None, "damaged member")]), (bytes(bad) + bytes(bad) + a, [(None, "damaged member")] * 2 + [("1", None)]), (a + b"\x1f\x8b\x08", [("1", None), (None, "damaged member")]), (b"", []),
+    ]:
+        got = [(r[0], r[8]) for r in warc.records_in(data)]
+        assert [x for x in got if x[1] != "cut off" or x in want] == want
+
+
 def test_warc_odd(spark):
     import datetime as d
 
