@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .ordered import scan
+
 #: Fault bits.
 FAULTS = {"invalid_reference": 0x1, "corrupt_header": 0x2, "wrong_total": 0x10, "out_of_order": 0x20, "duplicate": 0x40, "incomplete": 0x80, "checksum": 0x100, "forced": 0x10000}
 KEY = ["code", "run_number", "event_number", "originator_pid", "originator_guid", "secondary_id"]
@@ -60,17 +62,21 @@ def adler32(data):
     return pd.Series([zlib.adler32(b or b"") for b in data], dtype="int64")
 
 
-def adler32_of(chunks: DataFrame, key: list[str], order: str, data: str) -> DataFrame:
-    """Checksum of each key's chunks joined in order, from the chunks' own: no bytes are shuffled.
+MOD = 65521
+
+
+def adler32_of(chunks: DataFrame, key: list[str], order: str | list[str], data: str) -> DataFrame:
+    """Checksum of each key's chunks joined in order, from the chunks' own: no bytes are shuffled, and no key's chunks are gathered.
 
-    With chunks (a, b, n): A is 1 plus the sum of a - 1, and B adds to the sum of b each chunk's n times (A before it less 1)."""
-    one = chunks.select(*key, order, adler32(F.col(data)).alias("s"), F.coalesce(F.octet_length(data), F.lit(0)).cast("long").alias("n"))
-    g = one.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, "s", "n"))).alias("c"))
-    mod = 65521
-    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    a, b = lambda s: s.bitwiseAND(F.lit(0xFFFF)), lambda s: F.shiftright(s, 16)
-    folded = F.aggregate("c", start, lambda acc, x: F.struct(F.pmod(acc["a"] + a(x["s"]) - 1, F.lit(mod)).cast("long").alias("a"), F.pmod(acc["b"] + b(x["s"]) + x["n"] * (acc["a"] - 1), F.lit(mod)).cast("long").alias("b")))
-    return g.select(*key, folded.alias("f")).select(*key, (F.col("f.b") * 65536 + F.col("f.a")).alias("adler32"))
+    Chunks (a, b, n) form an ordered monoid: behind one that ends with A, a chunk adds a - 1 to A and b + n (A - 1) to B. So A is 1 plus all a - 1, B needs of each
+    chunk the running sum of a - 1 before it, which is taken over ranges (``ordered``), and both are plain grouped sums."""
+    order = [order] if isinstance(order, str) else order
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFF)) - 1
+    one = chunks.select(*key, *(o for o in order if o not in key), adler32(F.col(data)).alias("__s"), F.coalesce(F.octet_length(data), F.lit(0)).cast("long").alias("__n"))
+    before = scan(one, key, order, __a=("sum", low(F.col("__s")), False))
+    b = F.pmod(F.shiftright("__s", 16) + F.pmod("__n", F.lit(MOD)) * F.pmod(F.coalesce("__a", F.lit(0)), F.lit(MOD)), F.lit(MOD))
+    sums = before.groupBy(*key).agg(F.pmod(1 + F.sum(low(F.col("__s"))), F.lit(MOD)).alias("a"), F.pmod(F.sum(b), F.lit(MOD)).alias("b"))
+    return sums.select(*key, (F.col("b") * 65536 + F.col("a")).alias("adler32"))
 
 
 #: Fields of a packed event header, big-endian: name and bytes. Behind them stand the trigger bits, two a path, and the data.

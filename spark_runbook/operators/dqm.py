@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 TOP = ["run_number", "lumi_section", "top_folder"]
 OBJECT = [*TOP, "folder", "object_name", "kind"]
-ORDER = ["arrival", "update_number", "sender", "bin", "content"]
+UPDATE = ["arrival", "update_number", "sender"]
+ORDER = [*UPDATE, "bin", "content"]
 BINNED = ("TH1", "TProfile")
 
 
@@ -15,13 +16,40 @@ def _first(cols: list[str]) -> Column:
     return F.min(F.struct(*cols))
 
 
-def merge_binned(objects: DataFrame) -> DataFrame:
-    """Histograms and profiles: sums by bin. The first update of an object counts as it is, later ones only with entries."""
-    b = objects.where(F.col("kind").isin(*BINNED))
-    first = b.groupBy(*OBJECT).agg(_first(ORDER).alias("f"))
-    counted = b.join(first, OBJECT).where((F.col("entries") > 0) | (F.struct(*ORDER) == F.col("f")))
-    bins = counted.groupBy(*OBJECT, "bin").agg(F.sum("content").alias("content"), F.sum("entries").alias("entries"))
-    return bins.groupBy(*OBJECT).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "content"))), lambda x: x["content"]).alias("bins"), F.sum("content").alias("total"), F.sum("entries").alias("entries"))
+def merge_by_bin(objects: DataFrame, values: list[str]) -> DataFrame:
+    """Updates of an object added bin by bin: its first update as it is, later ones only with entries. objects: a row an update and bin, with the sums ``values`` and the entries
+    of that bin; an update's entries are those of all its bins. Returns the object, bins (map of bin to a struct of the sums, in order of bins) and entries.
+
+    An update's bins are one row of a histogram's size; sums and first updates are combined before they shuffle, so an object with most updates isn't one task."""
+    bins = F.collect_list(F.struct("bin", *values, "entries"))
+    updates = objects.groupBy(*OBJECT, *UPDATE).agg(bins.alias("bins"), F.sum("entries").alias("n"))
+    first = updates.groupBy(*OBJECT).agg(F.min(F.struct(*UPDATE, "n", "bins")).alias("f"))
+    counted = updates.where("n > 0").select(*OBJECT, "bins").unionByName(first.where("coalesce(f.n, 0) <= 0").select(*OBJECT, F.col("f.bins").alias("bins")))
+    per = counted.select(*OBJECT, F.explode("bins").alias("b")).select(*OBJECT, "b.*")
+    summed = per.groupBy(*OBJECT, "bin").agg(*(F.sum(v).alias(v) for v in values), F.sum("entries").alias("entries"))
+    return summed.groupBy(*OBJECT).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bin", F.struct(*values).alias("v"))))).alias("bins"), F.sum("entries").alias("entries"))
+
+
+def merge_histograms(objects: DataFrame) -> DataFrame:
+    """Histograms: contents added by bin. Returns the object, bins (map of bin to content), total and entries."""
+    m = merge_by_bin(objects.where("kind = 'TH1'"), ["content"])
+    contents = F.transform_values("bins", lambda _, v: v["content"])
+    return m.select(*OBJECT, contents.alias("bins"), F.aggregate(F.map_values(contents), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("total"), "entries")
+
+
+PROFILE = ["w", "wy", "wyy"]
+
+
+def merge_profiles(objects: DataFrame) -> DataFrame:
+    """Profiles: by bin the sums of weights, of weight times y and of weight times y squared (columns w, wy, wyy) are added, and mean and spread follow from them."""
+    m = merge_by_bin(objects.where("kind = 'TProfile'"), PROFILE)
+
+    def shown(_, v):
+        mean = F.coalesce(F.try_divide(v["wy"].cast("double"), v["w"].cast("double")), F.lit(0.0))
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.try_divide(v["wyy"].cast("double"), v["w"].cast("double")), F.lit(0.0)) - mean * mean))
+        return F.struct(v["w"].alias("w"), v["wy"].alias("wy"), v["wyy"].alias("wyy"), mean.alias("mean"), spread.alias("spread"))
+
+    return m.select(*OBJECT, F.transform_values("bins", shown).alias("bins"), "entries")
 
 
 def merge_scalars(objects: DataFrame) -> DataFrame:
@@ -46,8 +74,13 @@ def ready(meta: DataFrame, expected: Column, now: Column, ready_s: int = 120) ->
 
 
 def collate(objects: DataFrame, merge: bool = True) -> DataFrame:
-    """Merged objects of each key, or each update's objects on their own."""
-    return merge_binned(objects) if merge else objects.where(F.col("kind").isin(*BINNED)).groupBy(*OBJECT, "update_number", "sender").agg(F.sum("content").alias("total"))
+    """Merged histograms (total: their contents) and profiles (total: their weights) of each key, or each update's objects on their own."""
+    binned = objects.where(F.col("kind").isin(*BINNED))
+    if not merge:
+        return binned.groupBy(*OBJECT, *UPDATE).agg(F.sum("content").alias("total"))
+    weights = F.transform(F.map_values("bins"), lambda v: v["w"])
+    profiles = merge_profiles(binned).select(*OBJECT, F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.cast("long"), F.lit(0))).alias("total"), "entries")
+    return merge_histograms(binned).select(*OBJECT, "total", "entries").unionByName(profiles)
 
 
 def safe_element_name(xml: Column) -> Column:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import join_keys, scan
+
 PASS = 1
 
 
@@ -117,23 +119,10 @@ def fraction_to_disk(fraction: float, key: Column) -> Column:
 
 
 def prescale(events: DataFrame, n: int, by: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
-    """Every n-th row of each group in the given order. Counts are taken in ranges of the order and carried over, so no group meets in one task.
-
-    Ranges come from a sample, so the rows are dealt once and written: counts and ranks must be those of the same ranges."""
-    from ..streaming.stateful import shared_folder
-
+    """Every n-th row of each group (null is one) in the given order, by a running count over ranges: no group meets in one task."""
     if n <= 1:
         return events
-    spark = events.sparkSession
-    chunks = chunks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = events.repartitionByRange(chunks, *by, *order).withColumn("__part", F.spark_partition_id())
-    made.write.parquet(path := shared_folder(spark, "dealt"))
-    dealt = spark.read.schema(made.schema).parquet(path)
-    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)))
-    return ranked.join(base, [*by, "__part"]).where((F.col("__base") + F.col("__r")) % n == 0).select(*events.columns)
+    return scan(events, by, order, chunks, __r=("count", F.lit(1), True)).where(F.col("__r") % n == 0).select(*events.columns)
 
 
 @dataclass
@@ -205,9 +194,9 @@ def shared_queues(consumers: list[Consumer]) -> dict[str, str]:
 def route_dqm(updates: DataFrame, consumers: DataFrame, now: Column) -> DataFrame:
     """A row for each update and consumer of its folder (``*``: all) that isn't stale. consumers: name, folder, last_contact, timeout_s; a small dimension by nature."""
     live = consumers.where(F.unix_timestamp(now) - F.unix_timestamp("last_contact") <= F.col("timeout_s"))
-    exact = updates.join(live.where("folder <> '*'").select(F.col("name").alias("consumer"), F.col("folder").alias("top_folder")), "top_folder")
-    every = live.where("folder = '*'").agg(F.collect_list("name").alias("names"))
-    return exact.unionByName(updates.crossJoin(every).select(*updates.columns, F.explode("names").alias("consumer")), allowMissingColumns=False)
+    folders = updates.select("top_folder").distinct()
+    wanted = folders.join(F.broadcast(live), (F.col("folder") == "*") | (F.col("folder") == F.col("top_folder"))).select("top_folder", F.col("name").alias("consumer"))
+    return join_keys(updates, wanted, ["top_folder"])
 
 
 def classify_message(code: Column) -> Column:
@@ -228,11 +217,12 @@ def with_init(events: DataFrame, init: DataFrame) -> DataFrame:
 
 
 def drop_old_lumis(updates: DataFrame, late: int, order: list[str], by: str = "run_number") -> DataFrame:
-    """Drops an update whose lumi section lies more than ``late`` behind the largest of its run so far; 0 keeps all."""
+    """Drops an update whose lumi section lies more than ``late`` behind the largest of its run so far; 0 keeps all. A run of any number of updates is
+    scanned in ranges. An update without a section stays."""
     if late == 0:
         return updates
-    so_far = F.max("lumi_section").over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return updates.withColumn("__m", so_far).where(F.col("lumi_section") + late >= F.col("__m")).drop("__m")
+    top = scan(updates, [by], order, __m=("max", F.col("lumi_section"), True))
+    return top.where(F.coalesce(F.col("lumi_section") + late >= F.col("__m"), F.lit(True))).select(*updates.columns)
 
 
 def no_transfer(files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import secs
+from .ordered import deal, join_keys, running, scan
 
 
 def ticks(samples: DataFrame, keys: list[str], ts: str, value: str, tick_s: int = 1) -> DataFrame:
@@ -35,7 +36,7 @@ def quantity_full(samples: DataFrame, keys: list[str], ts: str, value: str, tick
 def dense(partials: DataFrame, keys: list[str]) -> DataFrame:
     """partials with a row for every tick from the key's first to its last."""
     spine = partials.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("z")).select(*keys, F.explode(F.sequence("a", "z")).alias("t"))
-    return spine.join(partials, [*keys, "t"], "left").na.fill(0, ["n", "sum", "sumsq"])
+    return join_keys(spine, partials, [*keys, "t"], "left").na.fill(0, ["n", "sum", "sumsq"])
 
 
 def quantity_recent(samples: DataFrame, keys: list[str], ts: str, value: str, tick_s: int, span_s: int) -> DataFrame:
@@ -63,9 +64,9 @@ def bandwidth(samples: DataFrame, keys: list[str], ts: str, value: str, tick_s:
 
 
 def sample_if_larger(samples: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value is above all before (0 at first)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return samples.withColumn("__m", F.coalesce(F.max(value).over(w), F.lit(0))).where(F.col(value) > F.col("__m")).drop("__m")
+    """Rows whose value is above all before (0 at first), by a running maximum over ranges."""
+    top = scan(samples, keys, order, __m=("max", F.col(value), False))
+    return top.where(F.col(value) > F.coalesce("__m", F.lit(0))).select(*samples.columns)
 
 
 def sender_stats(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,7 +101,7 @@ def outstanding_discards(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def skipped_discards(discards: DataFrame, brokers: DataFrame, valid: list[int]) -> DataFrame:
     """Discards of an unknown broker or with an invalid code, by kind."""
-    known = discards.join(brokers.select("broker_id", F.lit(True).alias("__k")).distinct(), "broker_id", "left")
+    known = join_keys(discards, brokers.select("broker_id", F.lit(True).alias("__k")).distinct(), ["broker_id"], "left")
     why = F.when(F.col("__k").isNull(), "unknown_broker").when(~F.col("code").isin(valid), "invalid_code")
     return known.select("kind", why.alias("why")).where("why is not null").groupBy("kind", "why").agg(F.count("*").alias("n"))
 
@@ -108,12 +109,13 @@ def skipped_discards(discards: DataFrame, brokers: DataFrame, valid: list[int])
 def sender_alarms(events: DataFrame, discards: DataFrame, brokers: DataFrame, valid: list[int]) -> DataFrame:
     """Alarms of each broker: raised by any faulty event, and by any discard that is ignored (an unknown broker, or an invalid code), else revoked.
     events: broker_id, faulty; discards: broker_id, code; brokers: the known ones, shown with or without messages."""
-    known = brokers.select("broker_id", F.lit(True).alias("__k")).distinct()
-    f = events.groupBy("broker_id").agg(F.count_if("faulty").alias("faulty_events"))
-    d = discards.groupBy("broker_id").agg(F.count("*").alias("__n"), F.count_if(~F.coalesce(F.col("code").isin(valid), F.lit(False))).alias("__bad"))
-    every = known.join(f, "broker_id", "full").join(d, "broker_id", "full")
+    none = F.lit(0).cast("long")
+    known = brokers.select("broker_id", F.lit(True).alias("k"), none.alias("f"), none.alias("n"), none.alias("b"))
+    bad = (~F.coalesce(F.col("code").isin(valid), F.lit(False))).cast("long")
+    rows = known.unionByName(events.select("broker_id", F.lit(False).alias("k"), F.coalesce(F.col("faulty").cast("long"), none).alias("f"), none.alias("n"), none.alias("b"))).unionByName(discards.select("broker_id", F.lit(False).alias("k"), none.alias("f"), F.lit(1).cast("long").alias("n"), bad.alias("b")))
+    every = rows.groupBy("broker_id").agg(F.max("k").alias("__k"), F.sum("f").alias("faulty_events"), F.sum("n").alias("__n"), F.sum("b").alias("__bad"))
     ignored = F.coalesce(F.when(F.col("__k"), F.col("__bad")).otherwise(F.col("__n")), F.lit(0))
-    n = every.select("broker_id", F.coalesce("faulty_events", F.lit(0)).alias("faulty_events"), ignored.alias("ignored_discards"))
+    n = every.select("broker_id", "faulty_events", ignored.alias("ignored_discards"))
     alarm = lambda c: F.when(F.col(c) > 0, "raise").otherwise("revoke")
     return n.withColumn("faulty_alarm", alarm("faulty_events")).withColumn("ignored_discard_alarm", alarm("ignored_discards"))
 
@@ -180,7 +182,7 @@ def unwanted_by_module(unwanted: DataFrame, tick_s: int, threshold: int) -> Data
 
 def dense_counts(c: DataFrame, keys: list[str]) -> DataFrame:
     spine = c.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("z")).select(*keys, F.explode(F.sequence("a", "z")).alias("t"))
-    return spine.join(c, [*keys, "t"], "left").na.fill(0, ["n"])
+    return join_keys(spine, c, [*keys, "t"], "left").na.fill(0, ["n"])
 
 
 def threshold_alarm(n: Column, at_least: int) -> Column:
@@ -198,8 +200,8 @@ def disk_usage(samples: DataFrame, high: float = 90.0, fail: float = 95.0) -> Da
     is clearly raised or clearly cleared. samples: path, ts, used, size, important."""
     pct = 100.0 * F.col("used") / F.col("size")
     state = F.when((pct > fail) & F.col("important"), "FATAL").when(pct > high, "WARNING").when(pct < 0.95 * high, "OKAY")
-    w = Window.partitionBy("path").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.select("path", "ts", pct.alias("percent"), F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit("OKAY")).alias("level"))
+    known = scan(samples.select("path", "ts", pct.alias("percent"), state.alias("__s")), ["path"], ["ts"], level=("last", F.col("__s"), True))
+    return known.select("path", "ts", "percent", F.coalesce("level", F.lit("OKAY")).alias("level"))
 
 
 def worker_status(counts: DataFrame, copy: int, inject: int) -> DataFrame:
@@ -209,13 +211,11 @@ def worker_status(counts: DataFrame, copy: int, inject: int) -> DataFrame:
 
 
 def discard_totals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Served rows with the number dropped since the one served before. rows: outcome of served or dropped."""
-    served = (F.col("outcome") == "served").cast("long")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    after = F.sum(served).over(w.rowsBetween(Window.unboundedPreceding, 0)) - served
-    g = rows.withColumn("__g", after)
-    drops = F.count_if(F.col("outcome") == "dropped").over(Window.partitionBy(*keys, "__g"))
-    return g.withColumn("dropped_before", drops).where("outcome = 'served'").drop("__g")
+    """Served rows with the number dropped since the one served before, by running counts over ranges. rows: outcome of served or dropped."""
+    dealt = deal(rows, keys, order)
+    drops = running(dealt, keys, __d=("count", F.when(F.col("outcome") == "dropped", 1), True))
+    last = running(drops, keys, __b=("max", F.when(F.col("outcome") == "served", F.col("__d")), False))  # drops up to the row served before
+    return last.where("outcome = 'served'").select(*rows.columns, (F.col("__d") - F.coalesce("__b", F.lit(0))).alias("dropped_before"))
 
 
 def output_module_summary(events: DataFrame, to_disk: DataFrame, served: DataFrame, seconds: int) -> DataFrame:

@@ -167,28 +167,36 @@ def faulty_branch(fr):
     return assembly.assemble(fr).select("event_number", F.when(F.col("faulty") | ~F.col("complete"), "faulty").otherwise("data").alias("branch"))
 
 
-@query("d4_adler32", None, docs="fragments")
+def _adler_sql(texts: str, keys: str) -> str:
+    """Adler-32 of the texts s by keys: sums of bytes, and of bytes by how many are left."""
+    return f"""t AS ({texts}), c AS (SELECT {keys}, len(s) AS n, unnest(range(1, len(s) + 1)) AS i, ascii(unnest(string_split(s, ''))) AS b FROM t),
+ ad AS (SELECT {keys}, CAST((sum((n - i + 1) * b) + any_value(n)) % 65521 * 65536 + (1 + sum(b)) % 65521 AS BIGINT) AS adler32 FROM c GROUP BY ALL)"""
+
+
+@query("d4_adler32", f"WITH {_adler_sql("SELECT event_number, string_agg(data_size || ':' || frame_index, '' ORDER BY frame_index, data_size) AS s FROM fragments GROUP BY 1", 'event_number')} SELECT event_number, adler32 FROM ad", fr="fragments")
 def adler(fr):
     """Checksums of the events' payloads, put together from those of their fragments."""
     data = F.encode(F.concat(F.col("data_size").cast("string"), F.lit(":"), F.col("frame_index").cast("string")), "UTF-8")
-    return assembly.adler32_of(fr.withColumn("payload", data), ["event_number"], "frame_index", "payload")
+    return assembly.adler32_of(fr.withColumn("payload", data), ["event_number"], ["frame_index", "data_size"], "payload")
+
 
+_LINES = "SELECT run_number, event_number // 1000 AS block, string_agg(event_number || ',' || frame_index || ',' || data_size || chr(10), '' ORDER BY event_number, frame_index, data_size) AS s FROM fragments GROUP BY ALL"
 
-@query("d5_file_checksums", "SELECT run_number, TRUE AS matches FROM fragments GROUP BY 1 UNION ALL SELECT 0, FALSE", fr="fragments")
+
+@query("d5_file_checksums", f"WITH {_adler_sql(_LINES, 'run_number, block')} SELECT run_number, block, adler32, TRUE AS matches FROM ad UNION ALL SELECT 0, 0, NULL, FALSE", fr="fragments")
 def checksums(fr):
-    """A file a run, written from the fragments, against checksums put together from those of its lines; and one booked file that isn't there."""
+    """Files of a run's events, a thousand each, written from the fragments, against checksums put together from those of their lines; and one booked file that isn't there."""
     from ..sources.logs import file_checksums
     from ..streaming.stateful import shared_folder
 
-    spark = fr.sparkSession
-    line = fr.select("run_number", F.row_number().over(Window.partitionBy("run_number", "event_number").orderBy("frame_index", "data_size")).alias("k"), "event_number", F.concat_ws(",", "event_number", "frame_index", "data_size").alias("value"))
-    line.repartition("run_number").sortWithinPartitions("run_number", "event_number", "k").select("value", "run_number").write.partitionBy("run_number").text(path := shared_folder(spark, "sink"))
-    parts = line.select("run_number", F.struct("event_number", "k").alias("o"), F.encode(F.concat("value", F.lit("\n")), "UTF-8").alias("payload"))
-    want = assembly.adler32_of(parts, ["run_number"], "o", "payload")
-    name = spark.read.text(path).select(F.substring_index(F.input_file_name(), "/", -2).alias("name")).distinct()
-    run = F.regexp_extract("name", r"^run_number=(\d+)", 1).cast("long").alias("run_number")
-    book = name.select("name", run).join(want, "run_number").select("name", "adler32").unionByName(spark.createDataFrame([("run_number=0/lost.dat", 7)], "name string, adler32 long"))
-    return file_checksums(spark, f"{path}/run_number=*", book, 2).select(run, "matches")
+    spark, order = fr.sparkSession, ["event_number", "frame_index", "data_size"]
+    line = fr.select("run_number", F.expr("event_number div 1000").alias("block"), *order, F.concat_ws(",", *order).alias("value"))
+    line.repartition("run_number", "block").sortWithinPartitions("run_number", "block", *order).select("value", "run_number", "block").write.partitionBy("run_number", "block").text(path := shared_folder(spark, "sink"))
+    want = assembly.adler32_of(line.withColumn("payload", F.encode(F.concat("value", F.lit("\n")), "UTF-8")), ["run_number", "block"], order, "payload")
+    name = spark.read.text(path).select(F.substring_index(F.input_file_name(), "/", -3).alias("name")).distinct()
+    part = lambda k: F.regexp_extract("name", rf"(?:^|/){k}=(\d+)", 1).cast("long").alias(k)
+    book = name.select("name", part("run_number"), part("block")).join(want, ["run_number", "block"]).select("name", "adler32").unionByName(spark.createDataFrame([("run_number=0/block=0/lost.dat", 7)], "name string, adler32 long"))
+    return file_checksums(spark, f"{path}/run_number=*/block=*", book, 3).select(part("run_number"), part("block"), "adler32", "matches")
 
 
 @query("b14_unwanted_events", f"SELECT event_number FROM daq_events WHERE message_code = 'EVENT' AND len(list_filter([{_TAGGED}], lambda x: x IS NOT NULL)) = 0", ev="daq_events")
@@ -338,25 +346,29 @@ def unreported(fc):
     return files.unreported_lumis(fc, fc.where("lumisection % 5 <> 0").select("runnumber", "lumisection").distinct())
 
 
-MERGED = """o AS (SELECT *, row_number() OVER (PARTITION BY run_number, lumi_section, top_folder, folder, object_name, kind ORDER BY arrival, update_number, sender, bin, content) AS r FROM dqm_objects),
- fi AS (SELECT * FROM o WHERE r = 1),
- cnt AS (SELECT o.* FROM o JOIN fi USING (run_number, lumi_section, top_folder, folder, object_name, kind) WHERE o.entries > 0 OR (o.arrival = fi.arrival AND o.update_number = fi.update_number AND o.sender = fi.sender AND o.bin = fi.bin AND o.content = fi.content)),
- b AS (SELECT run_number, lumi_section, top_folder, folder, object_name, kind, bin, sum(content) AS content, sum(entries) AS entries FROM cnt WHERE kind IN ('TH1', 'TProfile') GROUP BY ALL)"""
+_OBJ = "run_number, lumi_section, top_folder, folder, object_name, kind"
+MERGED = f"""u AS (SELECT {_OBJ}, arrival, update_number, sender, sum(entries) AS n, row_number() OVER (PARTITION BY {_OBJ} ORDER BY arrival, update_number, sender) AS r FROM dqm_bins GROUP BY {_OBJ}, arrival, update_number, sender),
+ b AS (SELECT {_OBJ}, bin, CAST(sum(content) AS BIGINT) AS content, CAST(sum(w) AS BIGINT) AS w, CAST(sum(wy) AS BIGINT) AS wy, CAST(sum(wyy) AS BIGINT) AS wyy, CAST(sum(entries) AS BIGINT) AS entries
+       FROM dqm_bins JOIN u USING ({_OBJ}, arrival, update_number, sender) WHERE n > 0 OR r = 1 GROUP BY {_OBJ}, bin)"""
+
 
+def _shown(bins, value):
+    return F.array_join(F.transform(F.map_entries(bins), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), value(e["value"]))), ",")
 
-def _merged(kind):
-    def f(ob):
-        m = dqm.merge_binned(ob.where(F.col("kind") == kind))
-        return m.select(*dqm.TOP, "folder", "object_name", F.array_join(F.transform("bins", lambda x: x.cast("string")), ",").alias("bins"), "total", "entries")
 
-    return f
+@query("f2_merge_histograms", f"WITH {MERGED} SELECT run_number, lumi_section, top_folder, folder, object_name, string_agg(bin || ':' || content, ',' ORDER BY bin) AS bins, CAST(sum(content) AS BIGINT) AS total, CAST(sum(entries) AS BIGINT) AS entries FROM b WHERE kind = 'TH1' GROUP BY ALL", ob="dqm_bins")
+def merged_histograms(ob):
+    return dqm.merge_histograms(ob).select(*dqm.TOP, "folder", "object_name", _shown("bins", lambda v: v.cast("string")).alias("bins"), "total", "entries")
 
 
-for _n, _k in (("f2_merge_histograms", "TH1"), ("f3_merge_profiles", "TProfile")):
-    query(_n, f"WITH {MERGED} SELECT run_number, lumi_section, top_folder, folder, object_name, string_agg(CAST(CAST(content AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS bins, CAST(sum(content) AS BIGINT) AS total, CAST(sum(entries) AS BIGINT) AS entries FROM b WHERE kind = '{_k}' GROUP BY ALL", ob="dqm_objects")(_merged(_k))
+@query("f3_merge_profiles", f"""WITH {MERGED} SELECT run_number, lumi_section, top_folder, folder, object_name, bin, w, wy, wyy, coalesce(wy / nullif(w, 0), 0) AS mean, sqrt(greatest(0, coalesce(wyy / nullif(w, 0), 0) - coalesce(wy / nullif(w, 0), 0) ** 2)) AS spread
+ FROM b WHERE kind = 'TProfile'""", ob="dqm_bins")
+def merged_profiles(ob):
+    m = dqm.merge_profiles(ob)
+    return m.select(*dqm.TOP, "folder", "object_name", F.explode("bins").alias("bin", "v")).select(*dqm.TOP, "folder", "object_name", "bin", "v.*")
 
 
-@query("f1_collate_dqm", f"WITH {MERGED} SELECT run_number, lumi_section, top_folder, CAST(sum(content) AS BIGINT) AS total, count(DISTINCT folder || object_name) AS n_objects FROM b GROUP BY ALL", ob="dqm_objects")
+@query("f1_collate_dqm", f"WITH {MERGED} SELECT run_number, lumi_section, top_folder, CAST(sum(CASE kind WHEN 'TH1' THEN content ELSE w END) AS BIGINT) AS total, count(DISTINCT folder || object_name) AS n_objects FROM b GROUP BY ALL", ob="dqm_bins")
 def collated(ob):
     return dqm.collate(ob).groupBy(*dqm.TOP).agg(F.sum("total").alias("total"), F.countDistinct(F.concat("folder", "object_name")).alias("n_objects"))
 

@@ -39,6 +39,10 @@ VIEWS = {
     "dqm_objects": """SELECT 100000 + l_suppkey % 5 AS run_number, 1 + l_partkey % 10 AS lumi_section, l_returnflag AS top_folder, l_linestatus AS folder, concat('me', CAST(l_linenumber AS STRING)) AS object_name,
         CASE WHEN l_linenumber <= 3 THEN 'TH1' WHEN l_linenumber <= 5 THEN 'TProfile' WHEN l_linenumber = 6 THEN 'int' ELSE 'string' END AS kind, l_suppkey AS sender, l_orderkey AS update_number, l_partkey % 8 AS bin,
         CAST(l_quantity AS BIGINT) AS content, CASE WHEN l_quantity > 2 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS entries, l_shipdate AS arrival FROM lineitem""",
+    "dqm_bins": """SELECT 100000 + l_suppkey % 5 AS run_number, 1 + l_partkey % 10 AS lumi_section, l_returnflag AS top_folder, l_linestatus AS folder, concat('me', CAST(l_linenumber AS STRING)) AS object_name,
+        CASE WHEN l_linenumber <= 3 THEN 'TH1' ELSE 'TProfile' END AS kind, l_suppkey AS sender, l_orderkey AS update_number, l_partkey % 8 + 3 * k AS bin, CAST(l_quantity AS BIGINT) + k AS content,
+        CASE WHEN l_quantity > 20 AND k < 2 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS entries, CAST(l_quantity AS BIGINT) % 5 + k AS w, (CAST(l_quantity AS BIGINT) % 5 + k) * (l_partkey % 11) AS wy,
+        (CAST(l_quantity AS BIGINT) % 5 + k) * (l_partkey % 11) * (l_partkey % 11) AS wyy, l_shipdate AS arrival FROM lineitem CROSS JOIN (VALUES (0), (1), (2)) AS b(k) WHERE l_linenumber <= 5""",
     "init_messages": """SELECT * FROM (VALUES (1, 'hltOutputA'), (2, 'hltOutputB'), (3, 'PhysicsOModule'), (4, 'hltOutputDQM')) AS t(output_module_id, label)""",
     "senders": """SELECT DISTINCT user_id % 8 AS broker_id, 2 AS expected FROM events""",
 }

@@ -126,13 +126,12 @@ def consumer_buffer(rows: DataFrame, size: int, policy: str = "old") -> DataFram
 
 
 def consumer_expiry(rows: DataFrame, timeout_s: int) -> DataFrame:
-    """Batch form of staleness: events that came later than the timeout after the consumer's last poll (or its first row) are refused."""
-    from pyspark.sql import Window
+    """Batch form of staleness: events that came later than the timeout after the consumer's last poll (or its earliest row) are refused. Polls are carried over ranges of a consumer's rows."""
+    from ..operators.ordered import join_keys, scan
 
-    w = Window.partitionBy("consumer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min("t").over(Window.partitionBy("consumer"))
-    contact = F.coalesce(F.max(F.when(F.col("kind") == "poll", F.col("t"))).over(w), first)
-    return rows.withColumn("stale", F.col("t") - contact > timeout_s)
+    out = scan(rows, ["consumer"], ["seq"], __p=("max", F.when(F.col("kind") == "poll", F.col("t")), True))
+    first = rows.groupBy("consumer").agg(F.min("t").alias("__f"))
+    return join_keys(out, first, ["consumer"]).withColumn("stale", F.col("t") - F.coalesce("__p", "__f") > timeout_s).drop("__p", "__f")
 
 
 READY = "run_number long, lumi_section long, top_folder string, n long, reason string"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 import zlib
 
 import pytest
@@ -16,34 +18,64 @@ from spark_runbook.plans import registry
 from spark_runbook.sources import logs
 from spark_runbook.streaming import stateful
 
-MENU = ["PairMu", "Laser", "PairEl", "FastJet"]
-
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(
-    ("expr", "want"),
-    [("(Fast* || Pair?l) || (* && !Laser)", False), ("(* && Laser) || nothing*", True), ("!missing", True), ("missing", False), ("PairMu && FastJet", False), ("PairMu && !FastJet", True), ("Pair*", True), ("FastJet || PairEl", False), ("PairMu .AND. Laser", True), ("", True), ("!(PairMu && Laser)", False), ("FastJet || PairMu && Laser", True)],
-)
-def test_expression(spark, expr, want):
-    states = F.array(*(F.lit(s) for s in (1, 1, 2, 2)))
-    assert one(spark, selection.trigger_expr(expr, MENU, states)) is want
+PATHS = ["jet40", "jet80", "muonTight", "muonLoose", "photon", "minBias", "zeroBias"]
+
+
+def random_rule(rnd, depth: int) -> tuple[str, str]:
+    """An expression, and the same for Python over ``on``, the set of paths that passed."""
+    kind = rnd.choice(["name", "name", "not", "and", "or", "brackets"]) if depth else "name"
+    if kind == "name":
+        name = rnd.choice([*PATHS, "jet*", "muon?????", "*Bias", "nosuch", "jet?", "*"])
+        rule = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name)
+        return name, f"any(re.fullmatch({rule!r}, p) for p in on)"
+    a, pa = random_rule(rnd, depth - 1)
+    if kind == "not":
+        return f"!({a})", f"(not ({pa}))"
+    if kind == "brackets":
+        return f"( {a} )", f"({pa})"
+    b, pb = random_rule(rnd, depth - 1)
+    word, own = rnd.choice([("&&", "and"), (".AND.", "and")] if kind == "and" else [("||", "or"), (".OR.", "or")])
+    return f"({a}) {word} ({b})", f"(({pa}) {own} ({pb}))"
+
 
+def test_expressions(spark):
+    """Random expressions over random states (only 1 has passed), against Python."""
+    rnd = random.Random(11)
+    columns, want = [], []
+    for i in range(60):
+        expr, own = random_rule(rnd, 3)
+        state = [rnd.randrange(4) for _ in PATHS]
+        on = {p for p, x in zip(PATHS, state, strict=True) if x == 1}
+        columns.append(selection.trigger_expr(expr, PATHS, F.array(*map(F.lit, state))).alias(f"x{i}"))
+        want.append(eval(own, {"re": re, "on": on, "any": any}) or expr.strip() == "*")
+    assert list(spark.range(1).select(*columns).first()) == want
 
-@pytest.mark.parametrize("expr", ["missing@", "(PairMu", "PairMu)", "PairMu ||", "&& PairMu", "PairMu FastJet", "()", "!"])
+
+@pytest.mark.parametrize(("expr", "want"), [("jet40 || photon && minBias", True), ("!photon && jet40", True), ("(jet40 || photon) && minBias", False), ("", True), ("  ", True), ("jet80", False), ("nosuch", False), ("!nosuch", True), ("jet*@ && !jet80", True)])
+def test_binding(spark, expr, want):
+    """Not binds most, then and, then or; blank is all."""
+    states = F.array(*(F.lit(s) for s in (1, 3, 0, 2, 0, 3, 1)))
+    assert one(spark, selection.trigger_expr(expr, PATHS, states)) is want
+
+
+@pytest.mark.parametrize("expr", ["nosuch@", "(jet40", "jet40)", "jet40 ||", "&& jet40", "jet40 photon", "()", "!"])
 def test_expression_errors(spark, expr):
     with pytest.raises(selection.SelectionError):
-        selection.trigger_expr(expr, MENU, F.array(F.lit(1)))
+        selection.trigger_expr(expr, PATHS, F.array(F.lit(1)))
 
 
 def test_bits(spark):
-    states = [0, 0, 0, 2, 0, 1, 0, 0, 3]
-    data = selection.encode_trigger_bits(states)
-    assert data.hex() == "800403"
-    assert one(spark, selection.decode_trigger_bits(F.lit(data), 9)) == states
-    assert one(spark, selection.decode_trigger_bits(F.lit(b""), 0)) == []
+    """Two bits a path, low bits first, against plain arithmetic; and back."""
+    rnd = random.Random(5)
+    for n in (0, 1, 4, 7, 23):
+        states = [rnd.randrange(4) for _ in range(n)]
+        data = selection.encode_trigger_bits(states)
+        assert int.from_bytes(data, "little") == sum(x << (2 * i) for i, x in enumerate(states)) and len(data) == -(-n // 4)
+        assert one(spark, selection.decode_trigger_bits(F.lit(data), n)) == states
 
 
 def test_shared_queues():
@@ -150,25 +182,67 @@ def test_idle_times_query(spark, sf):
     assert got == pytest.approx(want)
 
 
-def test_file_roll(spark):
-    sizes = [50, 60, 200, 10, 20, 80, 5, 100]
-    df = spark.createDataFrame([("s", 1, 1, i, v) for i, v in enumerate(sizes)], "stream string, run_number long, lumi_section long, o int, data_size long")
-    want, size, n, f = [], 0, 0, 0
+def roll(sizes, most, header):
+    out, size, n, f = [], header, 0, 0
     for v in sizes:
-        if size + v > 100 and n:
-            f, size, n = f + 1, 0, 0
+        if size + v > most and n:
+            f, size, n = f + 1, header, 0
         size, n = size + v, n + 1
-        want.append(f)
-    for out in (files.assign_files(df, F.lit(100), ["o"]), files.rolled(df, 100, ["o"])):
-        assert [r.file_counter for r in out.orderBy("o").collect()] == want
+        out.append(f)
+    return out
+
+
+@pytest.mark.parametrize("chunks", [1, 6, 37])
+def test_file_roll(spark, chunks):
+    """Sections of any length over one or many ranges, with sizes of 0, null and beyond the limit, and a null section, against a loop."""
+    rnd = random.Random(chunks)
+    for most, header in ((100, 0), (7, 3), (10**6, 5), (40, 0)):
+        rows, want = [], {}
+        for section, n in ((1, 1), (2, 40), (None, 700), (3, 300), (4, 9)):
+            sizes = [rnd.choice([0, None, 1, 12, most + 9, rnd.randrange(60)]) for _ in range(n)]
+            rows += [("s", 1, section, i, v) for i, v in enumerate(sizes)]
+            want |= {(section, i): f for i, f in enumerate(roll([v or 0 for v in sizes], most, header))}
+        df = spark.createDataFrame(rows, "stream string, run_number long, lumi_section long, o int, data_size long").repartition(3)
+        out = files.assign_files(df, F.lit(most), ["o"], header=header, chunks=chunks)
+        assert out.columns == [*df.columns, "file_counter"]
+        assert {(r.lumi_section, r.o): r.file_counter for r in out.collect()} == want
+
+
+def test_file_roll_in_proportion(spark):
+    """A million events of one section in many ranges; the counts are those of the plain sum."""
+    df = spark.range(1_000_000).selectExpr("'s' AS stream", "1 AS run_number", "1 AS lumi_section", "id AS o", "10 AS data_size")
+    out = files.assign_files(df, F.lit(95), ["o"], chunks=16)
+    assert tuple(out.agg(F.max("file_counter"), F.sum((F.col("file_counter") != F.expr("o div 9")).cast("int"))).first()) == (111_111, 0)
+
+
+def test_checksums_of_many_chunks(spark):
+    """A key whose chunks lie in many ranges, and a null one."""
+    rows = [(k, i, bytes([i % 251]) * (i % 7)) for k in (1, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, i int, c binary").repartition(5)
+    want = zlib.adler32(b"".join(c for k, _, c in rows if k == 1))
+    assert [r.adler32 for r in assembly.adler32_of(df, ["k"], "i", "c").collect()] == [want, want]
+
+
+DQM = "run_number int, lumi_section int, top_folder string, folder string, object_name string, kind string, sender int, update_number int, bin int, content long, entries long, arrival int, w long, wy long, wyy long"
 
 
 def test_merge_order(spark):
-    rows = [(1, 1, "t", "f", "h", "TH1", 1, u, b, u * 10 + b, u % 2, u) for u in range(6) for b in range(3)]
-    schema = "run_number int, lumi_section int, top_folder string, folder string, object_name string, kind string, sender int, update_number int, bin int, content long, entries long, arrival int"
-    a, b = (dqm.merge_binned(spark.createDataFrame(r, schema)).first() for r in (rows, rows[::-1]))
+    """The first update counts whole though it has no entries, later ones only with entries; bins keep their numbers."""
+    row = lambda kind, u, b: (1, 1, "t", "f", "h", kind, 1, u, b, u * 10 + b, u % 2, u, 1, u, u * u)
+    rows = [row("TH1", u, b) for u in range(6) for b in (0, 2, 7)]
+    a, b = (dqm.merge_histograms(spark.createDataFrame(r, DQM)).first() for r in (rows, rows[::-1]))
     assert a == b
-    assert dqm.merge_scalars(spark.createDataFrame([(*r[:5], "int", *r[6:]) for r in rows], schema)).first().content == 0
+    assert a.bins == {k: sum(u * 10 + k for u in (0, 1, 3, 5)) for k in (0, 2, 7)} and (a.total, a.entries) == (sum(a.bins.values()), 9)
+    p = dqm.merge_profiles(spark.createDataFrame([row("TProfile", u, b) for u in range(6) for b in (0, 2)], DQM)).first()
+    assert {k: (v.w, v.wy, v.wyy, v.mean) for k, v in p.bins.items()} == {k: (4, 9, 35, 2.25) for k in (0, 2)}
+    assert p.bins[0].spread == pytest.approx(math.sqrt(35 / 4 - 2.25**2))
+    assert dqm.merge_scalars(spark.createDataFrame([row("int", u, 0) for u in range(6)], DQM)).first().content == 0
+
+
+def test_merge_null_keys(spark):
+    rows = [(1, None, None, "f", None, "TH1", 1, u, None, 5, 1, u, 1, 1, 1) for u in range(3)]
+    m = dqm.merge_histograms(spark.createDataFrame(rows, DQM).na.fill({"bin": 0})).first()
+    assert (m.top_folder, m.object_name, m.bins, m.entries) == (None, None, {0: 15}, 3)
 
 
 def test_statuses(spark):
@@ -197,8 +271,6 @@ def test_texts(spark):
 
 @pytest.mark.parametrize("policy", ["old", "new"])
 def test_buffer(spark, tmp_path, policy):
-    import random
-
     rnd = random.Random(3)
     rows = [("c", "poll" if rnd.random() < 0.2 else "event", i, i) for i in range(200)]
     spark.createDataFrame(rows, "consumer string, kind string, seq long, event_number long").coalesce(1).write.parquet(str(tmp_path / "rows.parquet"))
