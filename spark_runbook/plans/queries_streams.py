@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.assembly import KEY
-from ..streaming import stateful as ss
+from ..streaming import event_time as et, stateful as ss
 from .base import QUERIES, SQL
 from .views import VIEWS, view, with_views
 
@@ -50,18 +50,32 @@ def sessions(ev):
     return out.select("user_id", _epoch("session_window.start").alias("start_s"), "n")
 
 
-@stream("l1_assemble_stream", "lineitem", "WITH per AS (SELECT event_number, run_number, frame_index, count(*) AS m, sum(data_size) AS b, max(num_frames) AS nf, max(arrival) AS last FROM fragments GROUP BY ALL), a AS (SELECT event_number, CAST(sum(m) AS BIGINT) AS n_fragments, CAST(sum(b) AS BIGINT) AS event_size, max(m) > 1 AS dup, max(nf) AS nf, max(epoch(last)) AS last FROM per GROUP BY 1), c AS (SELECT *, n_fragments = nf AND NOT dup AS complete FROM a) SELECT event_number, n_fragments, event_size, complete FROM c WHERE complete OR last + 60 < (SELECT max(last) FROM c)")
+#: Files of a table may hold any of its times: rows wait for the end of the table.
+ANY_ORDER = "20000 days"
+
+_CHAINS = """o AS (SELECT event_number AS k, row_number() OVER (PARTITION BY code, run_number, event_number, originator_pid, originator_guid, secondary_id ORDER BY arrival, frame_index, num_frames, data_size) AS r, frame_index AS i, num_frames AS nf, data_size AS s, epoch(arrival) AS t FROM fragments),
+ f AS (SELECT k, r, t, 0 AS chain, [i] AS seen, s AS size, nf AS total, 0 AS bits, nf = 1 AS done FROM o WHERE r = 1 UNION ALL
+       SELECT k, r, t, CASE WHEN new THEN chain + 1 ELSE chain END, CASE WHEN new THEN [i] ELSE list_append(seen, i) END, CASE WHEN new THEN s ELSE size + s END, CASE WHEN new THEN nf ELSE total END, nb,
+              CASE WHEN new THEN nf = 1 ELSE len(seen) + 1 = total AND nb = 0 END
+       FROM (SELECT o.k, o.r, o.t, o.i, o.s, o.nf, f.chain, f.seen, f.size, f.total, f.done OR o.t - f.t >= 20 * 86400 AS new,
+                    CASE WHEN f.done OR o.t - f.t >= 20 * 86400 THEN 0 ELSE f.bits | CASE WHEN o.nf <> f.total THEN 16 ELSE 0 END | CASE WHEN list_contains(f.seen, o.i) THEN 64 ELSE 0 END END AS nb FROM f JOIN o ON o.k = f.k AND o.r = f.r + 1))"""
+
+
+@stream("l1_assemble_stream", "lineitem", f"WITH RECURSIVE {_CHAINS} SELECT k AS event_number, CAST(len(seen) AS BIGINT) AS n_fragments, CAST(size AS BIGINT) AS event_size, done AS complete, CASE WHEN done THEN 0 ELSE bits | 65664 END AS fault_bits FROM (SELECT *, row_number() OVER (PARTITION BY k, chain ORDER BY r DESC) AS back FROM f) WHERE back = 1")
 def assemble(li):
-    """Complete events, and those forced out because no fragment came for a minute of event time."""
+    """Complete events, and those forced out because no fragment came for twenty days of event time or before the run's end."""
     fr = _view(li, "fragments", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp"))
-    return ss.drain(ss.assemble_stream(fr, KEY), "append").select("event_number", "n_fragments", "event_size", "complete")
+    out = et.ended(fr, "arrival", ANY_ORDER, lambda m: et.ordered_fold(m, KEY, "arrival", et.Assembly(20 * 86_400_000)))
+    return out.select("event_number", "n_fragments", "event_size", "complete", "fault_bits")
 
 
-@stream("l11_dqm_ready", "lineitem", "WITH g AS (SELECT run_number, lumi_section, top_folder, count(*) AS c, max(arrival) AS last FROM dqm_objects GROUP BY ALL) SELECT run_number, lumi_section, top_folder, least(c, 40) AS n, CASE WHEN c >= 40 THEN 'complete' ELSE 'timeout' END AS reason FROM g WHERE c >= 40 OR epoch(last) + 30 * 86400 < (SELECT max(epoch(last)) FROM g)")
+@stream("l11_dqm_ready", "lineitem", """WITH g AS (SELECT run_number, lumi_section, top_folder, epoch(arrival) AS t, CASE WHEN epoch(arrival) - lag(epoch(arrival)) OVER w >= 30 * 86400 THEN 1 ELSE 0 END AS new FROM dqm_objects WINDOW w AS (PARTITION BY run_number, lumi_section, top_folder ORDER BY arrival)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY run_number, lumi_section, top_folder ORDER BY t) AS k FROM g)
+ SELECT run_number, lumi_section, top_folder, least(count(*), 40) AS n, CASE WHEN count(*) >= 40 THEN 'complete' ELSE 'timeout' END AS reason FROM s GROUP BY run_number, lumi_section, top_folder, k""")
 def dqm_ready(li):
     """Ready with forty updates, or thirty days of event time after the last one."""
-    up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp"))
-    return ss.drain(ss.dqm_ready_stream(up.select("run_number", "lumi_section", "top_folder", "arrival"), 40, 30 * 86_400_000), "append")
+    up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).select("run_number", "lumi_section", "top_folder", "arrival")
+    return et.ended(up, "arrival", ANY_ORDER, lambda m: et.ordered_fold(m, ["run_number", "lumi_section", "top_folder"], "arrival", et.Ready(40, 30 * 86_400_000)))
 
 
 @stream("l7_l10_consumer_buffer", "events")
@@ -82,19 +96,22 @@ QUERIES["l8_consumer_expiry"] = expiry
 SQL["l8_consumer_expiry"] = with_views("WITH r AS (SELECT filter_unit % 16 AS consumer, event_number, CASE WHEN s_a = 1 THEN 'poll' ELSE 'event' END AS kind, CAST(floor(epoch(creation_time)) AS BIGINT) AS t FROM daq_events), c AS (SELECT *, coalesce(max(CASE WHEN kind = 'poll' THEN t END) OVER (PARTITION BY consumer ORDER BY event_number ROWS UNBOUNDED PRECEDING), min(t) OVER (PARTITION BY consumer)) AS contact FROM r) SELECT consumer, event_number FROM c WHERE t - contact > 3600 AND kind = 'event'")
 
 
-_LATE = "run_number long, lumi_section long, arrival timestamp, update_number long, sender long, bin long, content long"
-
-
 @stream("l5_drop_old_lumis", "lineitem", "SELECT run_number, count(*) AS n FROM (SELECT *, max(lumi_section) OVER (PARTITION BY run_number ORDER BY arrival, update_number, sender, lumi_section, bin, content ROWS UNBOUNDED PRECEDING) AS m FROM dqm_objects) WHERE lumi_section + 4 >= m GROUP BY 1")
 def late(li):
-    up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).select("run_number", "lumi_section", "arrival", "update_number", "sender", "bin", "content")
-    return ss.drain(ss.drop_old_lumis_stream(up, 4, _LATE), "append").groupBy("run_number").agg(F.count("*").alias("n"))
+    order = ["arrival", "update_number", "sender", "lumi_section", "bin", "content"]
+    up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).select("run_number", *order)
+    return et.drop_old_lumis(up, 4, "arrival", ANY_ORDER, order).groupBy("run_number").agg(F.count("*").alias("n"))
 
 
 @stream("l6_close_on_lumi_end", "events", "SELECT run_number, lumi_section, output_module_label AS stream, count(*) AS n_events, CAST(sum(data_size) AS BIGINT) AS bytes, 'LS ended' AS reason FROM daq_events WHERE lumi_section % 3 = 0 AND output_module_label <> 'none' GROUP BY ALL")
 def punctuated(ev):
-    """Every event of a third section also tells its end, as one of the rows of the same batch."""
-    e = _view(ev, "daq_events", "events").where("output_module_label <> 'none'")
-    kinds = F.when(F.col("lumi_section") % 3 == 0, F.array(F.lit("event"), F.lit("eols"))).otherwise(F.array(F.lit("event")))
-    rows = e.select("run_number", "lumi_section", F.col("output_module_label").alias("stream"), F.explode(kinds).alias("kind"), "data_size")
-    return ss.drain(ss.close_on_lumi_end(rows), "append")
+    """End rows of every third section, an input of their own, close all streams of their run and section."""
+    kind = lambda k: F.lit(k).alias("kind")
+    at = F.col("creation_time").cast("timestamp")
+    e = _view(ev, "daq_events", "events")
+    rows = e.where("output_module_label <> 'none'").select("run_number", "lumi_section", F.col("output_module_label").alias("stream"), kind("event"), "data_size", at.alias("at"))
+    end = F.date_trunc("hour", at) + F.expr("INTERVAL 1 HOUR")
+    ends = e.where("lumi_section % 3 = 0").select("run_number", "lumi_section", F.lit(None).cast("string").alias("stream"), kind("eols"), F.lit(None).cast("long").alias("data_size"), end.alias("at"))
+    streams = ["hltOutputA", "hltOutputB", "PhysicsOModule", "hltOutputDQM"]
+    closed = et.ended(rows.unionByName(ends), "at", ANY_ORDER, lambda m: et.close_on_lumi_end(m, streams, "at", 2))
+    return closed.groupBy("run_number", "lumi_section", "stream", "reason").agg(F.sum("n_events").alias("n_events"), F.sum("bytes").alias("bytes"))

@@ -57,45 +57,6 @@ def idle_sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return events.groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"))
 
 
-ASSEMBLED = "event_number long, n_fragments long, event_size long, complete boolean, fault_bits int"
-
-
-def assemble_stream(fragments: DataFrame, key: list[str], timeout_ms: int = 60_000, watermark: str = "0 seconds") -> DataFrame:
-    """Events from a stream of fragments: put out when complete, or with the forced bit when no fragment came for the timeout of event time.
-
-    State is one small row an open event (indexes seen, bytes, total). A fragment behind a complete event opens a new one."""
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seen, size, total, bits = state.get
-            state.remove()
-            yield _event(k, seen, size, bits | 0x80 | 0x10000, False)
-            return
-        seen, size, total, bits = state.get if state.exists else ("", 0, -1, 0)
-        got = [int(x) for x in seen.split(",") if x]
-        last = 0
-        for pdf in parts:
-            for r in pdf.sort_values(["arrival", "frame_index"]).itertuples():
-                total = r.num_frames if total < 0 else total
-                bits |= (0x10 if r.num_frames != total else 0) | (0x40 if r.frame_index in got else 0)
-                got.append(int(r.frame_index))
-                size += int(r.data_size)
-                last = max(last, int(r.arrival.timestamp() * 1000))
-        if len(got) == total and not bits:
-            if state.exists:
-                state.remove()
-            yield _event(k, ",".join(map(str, got)), size, 0, True)
-            return
-        state.update((",".join(map(str, got)), size, int(total), int(bits)))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
-
-    def _event(k, seen, size, bits, complete):
-        return pd.DataFrame({"event_number": [k[key.index("event_number")]], "n_fragments": [len([x for x in seen.split(",") if x])], "event_size": [size], "complete": [complete], "fault_bits": [bits]})
-
-    marked = fragments.withWatermark("arrival", watermark)
-    return marked.groupBy(*key).applyInPandasWithState(step, ASSEMBLED, "seen string, size long, total int, bits int", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 SERVED = "consumer string, poll_id long, event_number long, dropped_before long"
 
 
@@ -132,69 +93,3 @@ def consumer_expiry(rows: DataFrame, timeout_s: int) -> DataFrame:
     out = scan(rows, ["consumer"], ["seq"], __p=("max", F.when(F.col("kind") == "poll", F.col("t")), True))
     first = rows.groupBy("consumer").agg(F.min("t").alias("__f"))
     return join_keys(out, first, ["consumer"]).withColumn("stale", F.col("t") - F.coalesce("__p", "__f") > timeout_s).drop("__p", "__f")
-
-
-READY = "run_number long, lumi_section long, top_folder string, n long, reason string"
-
-
-def dqm_ready_stream(updates: DataFrame, expected: int, ready_ms: int = 120_000, watermark: str = "0 seconds") -> DataFrame:
-    """A folder's key as soon as it has the expected number of updates, or with what it has when its last update is older than the ready time of
-    event time. A folder put out early is remembered for the ready time, so that more updates don't put it out again."""
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, last = state.get if state.exists else (0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            if before < expected:
-                yield _ready(k, before, "timeout")
-            return
-        n = before
-        for pdf in parts:
-            n, last = n + len(pdf), max(last, int(pdf["arrival"].max().timestamp() * 1000))
-        state.update((int(n), last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ready_ms)
-        if before < expected <= n:
-            yield _ready(k, expected, "complete")
-
-    def _ready(k, n, reason):
-        return pd.DataFrame({"run_number": [k[0]], "lumi_section": [k[1]], "top_folder": [k[2]], "n": [n], "reason": [reason]})
-
-    marked = updates.withWatermark("arrival", watermark)
-    return marked.groupBy("run_number", "lumi_section", "top_folder").applyInPandasWithState(step, READY, "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def drop_old_lumis_stream(updates: DataFrame, late: int, schema: str) -> DataFrame:
-    """Late updates dropped as they come: those more than ``late`` sections behind their run's largest so far. State is one number a run."""
-    order = ["arrival", "update_number", "sender", "lumi_section", "bin", "content"]
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order)
-        so_far = rows["lumi_section"].cummax().clip(lower=state.get[0] if state.exists else 0)
-        state.update((int(so_far.iloc[-1]),))
-        yield rows[rows["lumi_section"] + late >= so_far]
-
-    return updates.groupBy("run_number").applyInPandasWithState(step, schema, "top long", "append", GroupStateTimeout.NoTimeout)
-
-
-CLOSED = "run_number long, lumi_section long, stream string, n_events long, bytes long, reason string"
-
-
-def close_on_lumi_end(rows: DataFrame) -> DataFrame:
-    """Open sections of streams, closed by the end-of-section row of their run and section. rows: run_number, lumi_section, stream, kind of event or eols, data_size;
-    an end row is given for every stream. A row behind the end opens the section again."""
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, size = state.get if state.exists else (0, 0)
-        ended = False
-        for pdf in parts:
-            ev = pdf["kind"] == "event"
-            n, size, ended = n + int(ev.sum()), size + int(pdf.loc[ev, "data_size"].sum()), ended or bool((~ev).any())
-        if ended:
-            if state.exists:
-                state.remove()
-            if n:
-                yield pd.DataFrame({"run_number": [k[0]], "lumi_section": [k[1]], "stream": [k[2]], "n_events": [n], "bytes": [size], "reason": ["LS ended"]})
-        else:
-            state.update((n, size))
-
-    return rows.groupBy("run_number", "lumi_section", "stream").applyInPandasWithState(step, CLOSED, "n long, bytes long", "append", GroupStateTimeout.NoTimeout)
