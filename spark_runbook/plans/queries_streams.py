@@ -115,3 +115,26 @@ def punctuated(ev):
     streams = ["hltOutputA", "hltOutputB", "PhysicsOModule", "hltOutputDQM"]
     closed = et.ended(rows.unionByName(ends), "at", ANY_ORDER, lambda m: et.close_on_lumi_end(m, streams, "at", 2))
     return closed.groupBy("run_number", "lumi_section", "stream", "reason").agg(F.sum("n_events").alias("n_events"), F.sum("bytes").alias("bytes"))
+
+
+def log_tail(spark, sf_dir):
+    """The file log, tailed: some of its files at first, the others and a second run of the same query from its saved offsets afterwards; parsed as it comes."""
+    from ..sources import logs
+    from ..sources.tail import LogTail
+    from .queries_logs import _file_lines
+
+    spark.dataSource.register(LogTail)
+    folder, state, out = (ss.shared_folder(spark, n) for n in ("logs", "state", "stream"))
+    lines = _file_lines(view(spark, sf_dir, "files_created"), view(spark, sf_dir, "files_injected"))
+    for part in (0, 1):
+        lines.where(F.col("file_key") % 3 == 0 if part == 0 else F.col("file_key") % 3 != 0).select("value").write.mode("append").text(folder)
+        stream = spark.readStream.format("log_tail").option("rangeBytes", 1 << 20).load(folder)
+        parsed = logs.parse_file_log(stream.where("warning IS NULL"), "line")
+        parsed.select("action", "args", "rejected").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    a = lambda k: F.element_at("args", k)
+    p = spark.read.parquet(out).where("NOT rejected")
+    return p.select(a("FILENAME").alias("filename"), a("FILECOUNTER").cast("long").alias("filecounter"), a("NEVENTS").cast("long").alias("nevents"), a("FILESIZE").cast("long").alias("filesize"), a("SETUPLABEL").alias("setuplabel"))
+
+
+QUERIES["l12_log_tail"] = log_tail
+SQL["l12_log_tail"] = with_views("SELECT filename, CAST(file_key % 10 AS BIGINT) AS filecounter, nevents, filesize, setuplabel FROM files_created JOIN files_injected USING (file_key) WHERE file_key % 17 <> 0")
