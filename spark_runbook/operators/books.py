@@ -88,19 +88,28 @@ def rank_instances(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.dense_rank().over(Window.partitionBy("runnumber").orderBy("instance")))
 
 
-def summary(info: DataFrame, keys: list[str], compat: bool = False) -> DataFrame:
-    """All roll-ups of a key in one aggregate over files_info. compat: not-repacked streams by literal name, repacked times from the copies."""
+def measures(compat: bool = False) -> dict[str, tuple[str, Column]]:
+    """What a row of files_info adds to a roll-up: name to (sum, min or max, value). compat: not-repacked streams by literal name, repacked times from the copies."""
     has = lambda n: F.col(f"t_{n}").isNotNull()
+    one = lambda c: F.when(c, F.lit(1)).otherwise(0).cast("long")
     norepack = (F.col("stream") == "Error") | (F.col("stream") == F.lit("%_NoRepack") if compat else F.col("stream").endswith("_NoRepack"))
     own = F.col("producer") == "Logger"
-    z = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return info.groupBy(*keys).agg(
-        F.count_if(own).alias("s_created"), z(F.when(own, F.col("lumisection"))).alias("s_lumisection"), F.max(F.when(own, F.col("instance"))).alias("m_instance"), F.min(F.when(own, F.col("ctime"))).alias("start_write_time"),
-        F.count_if(has("injected")).alias("s_injected"), z("nevents").alias("s_nevents"), z("filesize").alias("s_filesize"), F.countDistinct(F.when(has("injected"), F.col("instance"))).alias("n_instance"), F.max("t_injected").alias("stop_write_time"),
-        F.min("comment_str").alias("hltkey"), F.count_if(has("new")).alias("s_new"), F.min("t_new").alias("start_trans_time"), F.count_if(has("copied")).alias("s_copied"), F.max("t_copied").alias("stop_trans_time"),
-        z(F.when(has("copied"), F.col("filesize"))).alias("s_filesize2t0"), F.count_if(has("checked")).alias("s_checked"), F.count_if(has("checked") & norepack).alias("s_notrepacked"), F.min("t_checked").alias("start_repack_time"),
-        F.count_if(has("repacked")).alias("s_repacked"), F.max("t_copied" if compat else "t_repacked").alias("stop_repack_time"), F.count_if(has("deleted")).alias("s_deleted"), F.min("hostname").alias("hostname"), F.min("setuplabel").alias("setuplabel"),
-    )
+    return {
+        "s_created": ("sum", one(own)), "s_lumisection": ("sum", F.when(own, F.col("lumisection"))), "m_instance": ("max", F.when(own, F.col("instance"))), "start_write_time": ("min", F.when(own, F.col("ctime"))),
+        "s_injected": ("sum", one(has("injected"))), "s_nevents": ("sum", F.col("nevents")), "s_filesize": ("sum", F.col("filesize")), "stop_write_time": ("max", F.col("t_injected")),
+        "hltkey": ("min", F.col("comment_str")), "s_new": ("sum", one(has("new"))), "start_trans_time": ("min", F.col("t_new")), "s_copied": ("sum", one(has("copied"))), "stop_trans_time": ("max", F.col("t_copied")),
+        "s_filesize2t0": ("sum", F.when(has("copied"), F.col("filesize"))), "s_checked": ("sum", one(has("checked"))), "s_notrepacked": ("sum", one(has("checked") & norepack)), "start_repack_time": ("min", F.col("t_checked")),
+        "s_repacked": ("sum", one(has("repacked"))), "stop_repack_time": ("max", F.col("t_copied" if compat else "t_repacked")), "s_deleted": ("sum", one(has("deleted"))), "hostname": ("min", F.col("hostname")), "setuplabel": ("min", F.col("setuplabel")),
+    }
+
+
+AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max}
+
+
+def summary(info: DataFrame, keys: list[str], compat: bool = False) -> DataFrame:
+    """All roll-ups of a key in one aggregate over files_info."""
+    sums = [AGGREGATES[kind](c).alias(n) for n, (kind, c) in measures(compat).items()]
+    return info.groupBy(*keys).agg(*sums, F.countDistinct(F.when(F.col("t_injected").isNotNull(), F.col("instance"))).alias("n_instance"))
 
 
 def rebuild_summary(info: DataFrame, existing: DataFrame) -> DataFrame:

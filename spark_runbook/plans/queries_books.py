@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import status as st
 from ..functions.times import at, date_texts, duration_seconds, duration_text, secs, time_diff
 from ..operators import books
-from .base import query
+from .base import QUERIES, SQL, query
+from .views import view, with_views
 
 ALL = {"fc": "files_created", "fi": "files_injected", "tn": "files_trans_new", "tc": "files_trans_copied", "tk": "files_trans_checked", "tr": "files_trans_repacked", "ti": "files_trans_inserted", "td": "files_deleted"}
 T = "TIMESTAMP '2001-08-05 00:00:00'"
@@ -63,6 +64,39 @@ for _n, _k, _c in (
     _pick(_n, _k, _c)
 
 
+def _booked(spark, sf_dir, files: int = 6):
+    """The books as a stream of events in several files, in which the stages of a file are spread at random; a fifth of the events is sent twice."""
+    from ..streaming import books_stream as bs, stateful as ss
+
+    names = {"created": "files_created", "injected": "files_injected", **{s: f"files_trans_{s}" for s in books.STAGES[1:]}, "deleted": "files_deleted"}
+    events = bs.events_of({stage: view(spark, sf_dir, v) for stage, v in names.items()})
+    again = events.where(F.pmod(F.xxhash64("file_key", "stage"), F.lit(5)) == 0)
+    events.withColumn("__n", F.pmod(F.xxhash64("stage", "file_key"), F.lit(files))).unionByName(again.withColumn("__n", F.pmod(F.xxhash64("file_key"), F.lit(files)))).repartition(files, "__n").drop("__n").write.parquet(f"{(folder := ss.shared_folder(spark, 'books'))}/in.parquet")
+    store = bs.Books(spark, f"{folder}/books")
+    return store, bs.run(ss.read_table(spark, folder, "in"), store, ss.shared_folder(spark, "state"))
+
+
+def _streamed(spark, sf_dir, keys):
+    store, last = _booked(spark, sf_dir)
+    out = store.summary(keys, last)
+    return out.select(*(c for c in out.columns if not c.endswith("_time")), *(secs(f"{t}_time").alias(f"{t}_s") for t in _TIMES))
+
+
+for _n, _k, _c in (("h1_h8_stream_summary", RS, ["s_created", "s_lumisection", "m_instance", "start_write_s", "s_injected", "s_nevents", "s_filesize", "n_instance", "stop_write_s", "hltkey", "s_new", "start_trans_s", "s_copied", "stop_trans_s", "s_filesize2t0", "s_checked", "s_notrepacked", "start_repack_s", "s_repacked", "stop_repack_s"]), ("h2_h9_stream_instances", RI, ["s_created", "start_write_s", "hostname", "setuplabel", "s_injected", "stop_write_s", "s_deleted"])):
+    QUERIES[_n] = lambda spark, sf_dir, k=_k, c=_c: _streamed(spark, sf_dir, k).select(*k, *c)
+    SQL[_n] = with_views(f"WITH {INFO}, {_sum_sql(', '.join(_k))} SELECT {', '.join([*_k, *_c])} FROM sm")
+
+
+def _entered(spark, sf_dir):
+    """Created and injected files entered by a stream in which a fifth is sent twice: each once."""
+    store, last = _booked(spark, sf_dir)
+    return store.files(last).where("stage IN ('created', 'injected')").select("file_key", "stage", "filename", "nevents", "filesize")
+
+
+QUERIES["c11_a12_stream_entries"] = _entered
+SQL["c11_a12_stream_entries"] = with_views("SELECT file_key, 'created' AS stage, filename, NULL::BIGINT AS nevents, NULL::BIGINT AS filesize FROM files_created UNION ALL SELECT file_key, 'injected', NULL, nevents, filesize FROM files_injected")
+
+
 @query("c4_files_info", f"WITH {INFO} SELECT file_key, filename, stream, status, nevents FROM info", **ALL)
 def info(*t):
     return info_of(*t).select("file_key", "filename", "stream", "status", "nevents")
