@@ -117,6 +117,29 @@ def punctuated(ev):
     return closed.groupBy("run_number", "lumi_section", "stream", "reason").agg(F.sum("n_events").alias("n_events"), F.sum("bytes").alias("bytes"))
 
 
+_BINS = """g AS (SELECT run_number, lumi_section, top_folder, folder, object_name, kind, arrival, update_number, sender, sum(entries) AS n FROM dqm_bins GROUP BY ALL),
+ u AS (SELECT *, row_number() OVER (PARTITION BY run_number, lumi_section, top_folder, folder, object_name, kind ORDER BY arrival, update_number, sender) AS r, dense_rank() OVER (PARTITION BY run_number, lumi_section, top_folder ORDER BY arrival, update_number, sender) AS k FROM g)"""
+
+
+def _folders(li, expected, purge):
+    up = _view(li, "dqm_bins", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).withColumn("bin", F.col("bin").cast("long"))
+    cols = ["run_number", "lumi_section", "top_folder", "arrival", *et.Collate.columns]
+    return et.ended(up.select(*(F.col(c).cast("long").alias(c) if c in ("w", "wy", "wyy", "content", "entries") else c for c in cols)), "arrival", ANY_ORDER, lambda m: et.ordered_fold(m, cols[:3], "arrival", et.Collate(expected, 36_500 * 86_400_000, purge)))
+
+
+@stream("f1_stream_collate", "lineitem", f"WITH {_BINS} SELECT run_number, lumi_section, top_folder, folder, object_name, bin, CAST(sum(content) AS BIGINT) AS content, CAST(sum(w) AS BIGINT) AS w, CAST(sum(wy) AS BIGINT) AS wy, CAST(sum(wyy) AS BIGINT) AS wyy FROM dqm_bins JOIN u USING (run_number, lumi_section, top_folder, folder, object_name, kind, arrival, update_number, sender) WHERE n > 0 OR r = 1 GROUP BY ALL")
+def collated(li):
+    """All updates of each folder, merged as they come and put out at the run's end."""
+    return _folders(li, 1 << 40, False).select("run_number", "lumi_section", "top_folder", "folder", "object_name", "bin", "content", "w", "wy", "wyy")
+
+
+@stream("f9_stream_purge", "lineitem", f"""WITH {_BINS}, f AS (SELECT run_number, lumi_section, top_folder, max(k) AS k FROM u GROUP BY ALL), b AS (SELECT run_number, lumi_section, top_folder, sum(content) AS total FROM dqm_bins JOIN u USING (run_number, lumi_section, top_folder, folder, object_name, kind, arrival, update_number, sender)
+ WHERE u.k <= 12 AND (n > 0 OR r = 1) GROUP BY ALL) SELECT run_number, lumi_section, top_folder, CASE WHEN k >= 12 THEN 'complete' ELSE 'discarded' END AS reason, least(k, 12) AS n, CAST(CASE WHEN k >= 12 THEN total END AS BIGINT) AS total FROM f JOIN b USING (run_number, lumi_section, top_folder)""")
+def purged(li):
+    """Folders put out with twelve updates; the others are discarded when the run ends."""
+    return _folders(li, 12, True).groupBy("run_number", "lumi_section", "top_folder", "reason").agg(F.max(F.least("n", F.lit(12))).alias("n"), F.sum("content").alias("total"))
+
+
 def log_tail(spark, sf_dir):
     """The file log, tailed: some of its files at first, the others and a second run of the same query from its saved offsets afterwards; parsed as it comes."""
     from ..sources import logs

@@ -19,6 +19,8 @@ from .stateful import shared_folder
 
 CLOCK = "__clock"
 END = "2262-01-01 00:00:00"
+#: A watermark beyond this comes from an end marker (with a delay of up to 200 years).
+RUN_ENDED_MS = 2_871_763_200_000
 
 
 @contextmanager
@@ -67,6 +69,14 @@ class Fold:
     def idle(self, state) -> list[tuple]:
         raise NotImplementedError
 
+    def settled(self, state) -> tuple[object, list[tuple]]:
+        """Called when all rows up to the watermark are in."""
+        return state, []
+
+    def ended(self, state) -> list[tuple]:
+        """Instead of ``idle`` where the run has ended before the timeout."""
+        return self.idle(state)
+
 
 class _Ordered(StatefulProcessor):
     """Rows of a key wait in a list; a timer at the first one's time takes those that the watermark has passed, in order, through the fold."""
@@ -100,8 +110,11 @@ class _Ordered(StatefulProcessor):
             state, made = self.fold.step(state, at, tuple(row))
             out += made
             last = at
+        if state is not None and due:
+            state, made = self.fold.settled(state)
+            out += made
         if state is not None and last + self.fold.timeout_ms <= now:
-            out += self.fold.idle(state)
+            out += self.fold.ended(state) if now >= RUN_ENDED_MS else self.fold.idle(state)
             state = None
         if due:
             (self.waiting.put(later) if later else self.waiting.clear())
@@ -177,6 +190,60 @@ class Ready(Fold):
         return [(state, "timeout")] if state < self.expected else []
 
 
+class Collate(Fold):
+    """Histograms and profiles of a folder, merged update by update: the first update of an object as it is, later ones only with entries, added by bin (profiles: w, wy and wyy). A folder is
+    put out with the expected number of updates, or with what it has when none came for the ready time; what comes behind the expected number is dropped with the folder. With ``purge``, folders that
+    aren't ready when the run ends are discarded. The state is the folder's merged objects, whatever the number of updates.
+
+    An update is the rows of one time, update_number and sender. Puts out a row an object and bin, with reason and n, the number of updates (a discarded folder: one row without an object)."""
+
+    columns = ["update_number", "sender", "folder", "object_name", "kind", "bin", "content", "entries", "w", "wy", "wyy"]
+    output = "n long, reason string, folder string, object_name string, kind string, bin long, content long, entries long, w long, wy long, wyy long"
+
+    def __init__(self, expected: int, ready_ms: int = 120_000, purge: bool = False):
+        self.expected, self.timeout_ms, self.purge = expected, ready_ms, purge
+
+    def output_names(self) -> list[str]:
+        return [x.split()[0] for x in self.output.split(", ")]
+
+    def step(self, state, at, row):
+        update, (folder, name, kind, bin_, *sums) = [at, *row[:2]], row[2:]
+        state = state or {"n": 0, "update": None, "current": {}, "objects": {}, "out": False}
+        made: list[tuple] = []
+        if state["update"] != update:
+            state, made = self.settled(state)
+            state |= {"update": update, "n": state["n"] + 1, "current": {}}
+        if not state["out"] and kind in ("TH1", "TProfile"):
+            bins = state["current"].setdefault(json.dumps([folder, name, kind]), {})
+            bins[str(bin_)] = [(a or 0) + (b or 0) for a, b in zip(bins.get(str(bin_), [0] * 5), sums, strict=True)]
+        return state, made
+
+    def settled(self, state):
+        for key, bins in state["current"].items():
+            whole = state["objects"].get(key)
+            if whole is None:
+                state["objects"][key] = bins
+            elif sum(x[1] for x in bins.values()) > 0:
+                for b, x in bins.items():
+                    whole[b] = [p + q for p, q in zip(whole.get(b, [0] * 5), x, strict=True)]
+        state["current"] = {}
+        if state["n"] == self.expected and not state["out"]:
+            made = self._rows(state, "complete")
+            return state | {"out": True, "objects": {}}, made
+        return state, []
+
+    def _rows(self, state, reason: str) -> list[tuple]:
+        return [(state["n"], reason, *json.loads(key), int(b), *x) for key, bins in state["objects"].items() for b, x in bins.items()]
+
+    def idle(self, state):
+        return [] if state["out"] else self._rows(state, "timeout")
+
+    def ended(self, state):
+        if state["out"]:
+            return []
+        return [(state["n"], "discarded", *[None] * 9)] if self.purge else self._rows(state, "run ended")
+
+
 class _Closer(StatefulProcessor):
     """Counts of a section's stream, put out when the watermark has passed the section's end row; an end that comes before other files waits for them."""
 

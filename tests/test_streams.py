@@ -80,7 +80,7 @@ def spread(src: Path, dst: Path, files: int, rows: int) -> None:
 
 
 @pytest.mark.parametrize("files", [1, 3, 50])
-@pytest.mark.parametrize("name", ["l1_assemble_stream", "l5_drop_old_lumis", "l6_close_on_lumi_end", "l11_dqm_ready"])
+@pytest.mark.parametrize("name", ["l1_assemble_stream", "l5_drop_old_lumis", "l6_close_on_lumi_end", "l11_dqm_ready", "f1_stream_collate", "f9_stream_purge"])
 def test_any_layout(spark, sf, tmp_path, monkeypatch, name, files):
     """The same rows whatever files the table is cut into, and in which order they come."""
     table = "events" if name.startswith("l6") else "lineitem"
