@@ -4,7 +4,11 @@ A node that holds more than one shard's share of the bytes is split at a weighte
 range in the node is the largest part of its range in the table), so that both sides get bytes in proportion to their shards.
 The medians of all nodes of a level are found together: a radix descent over 60-bit order keys, 12 bits a pass. A pass is one
 grouped sum whose result has at most 4,096 rows a node, so the driver sees a bounded histogram and never a row. The order key is 24
-bits of the dimension, 18 of the text's hash and 18 of the id's hash: equal texts stand side by side, and ties are split.
+bits of the dimension, 18 of the text's hash and 18 of the id's hash.
+
+Equal texts form groups. All rows of a group take the least metadata that one of them has, so they stand side by side along every dimension, and a cut that falls
+into a group moves to the group's nearer edge where that is at most ``SLACK`` of a shard's bytes away. So a group lies in one shard, unless it is larger than about
+twice that; then it is split, as sizes come first.
 
 Defined results: null text weighs one byte; null metadata counts as 0; repeated rows are placed one by one; an empty table gives
 an empty result; columns that the result adds replace columns of those names.
@@ -18,10 +22,12 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty, utf8_bytes
+from .common import cut, heavy_keys, spread_join, text_or_empty, utf8_bytes
 
 BITS, DIGIT = 60, 12
 DIM_MAX = (1 << 24) - 1
+GROUP_BITS = 18
+SLACK = 0.02
 
 
 def _by_node(node: Column, values: dict[int, Column]) -> Column:
@@ -36,8 +42,8 @@ def _tree(splits: dict[int, tuple[str, int]], leaf: dict[int, int] | None = None
     return F.when(F.col(f"__k_{dim}") <= at, _tree(splits, leaf, 2 * n)).otherwise(_tree(splits, leaf, 2 * n + 1))
 
 
-def _medians(rows: DataFrame, node: Column, goals: dict[int, float], dims: dict[int, str]) -> dict[int, int]:
-    """For each node, the order key up to which its rows go left. goals: bytes to the left."""
+def _medians(rows: DataFrame, node: Column, goals: dict[int, float], dims: dict[int, str], slack: float) -> dict[int, int]:
+    """For each node, the order key up to which its rows go left. goals: bytes to the left; slack: how far from them the edge of a group may lie."""
     prefix, below = dict.fromkeys(goals, 0), dict.fromkeys(goals, 0)
     cuts = {}
     for p in range(BITS // DIGIT):
@@ -58,20 +64,42 @@ def _medians(rows: DataFrame, node: Column, goals: dict[int, float], dims: dict[
             else:
                 acc -= w
             below[n], prefix[n] = acc, (prefix[n] << DIGIT) | last
-            over = dict(hist)[last]
-    for n in goals:  # the nearer side of the last key; its own weight is that of one row, or of rows that tie in all 60 bits
+    for n in goals:
         cuts[n] = prefix[n]
     final = rows.withColumn("__node", node).where(F.col("__node").isin(list(goals)))
-    key = _by_node(F.col("__node"), {n: F.col(f"__k_{dims[n]}") for n in goals})
-    here = {r["__node"]: r["w"] for r in final.where(key == _by_node(F.col("__node"), {n: F.lit(v) for n, v in cuts.items()})).groupBy("__node").agg(F.sum("__w").alias("w")).collect()}
-    return {n: c if below[n] + here[n] - goals[n] <= goals[n] - below[n] else c - 1 for n, c in cuts.items()}
+    key, at = _by_node(F.col("__node"), {n: F.col(f"__k_{dims[n]}") for n in goals}), _by_node(F.col("__node"), {n: F.lit(v) for n, v in cuts.items()})
+    edge = final.where(F.shiftright(key, GROUP_BITS) == F.shiftright(at, GROUP_BITS)).groupBy("__node")
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("__w"))), F.lit(0))
+    around = {r["__node"]: r for r in edge.agg(side(key < at).alias("less"), side(key == at).alias("here"), F.sum("__w").alias("group")).collect()}
+    return {n: _cut_at(c, below[n], around[n], goals[n], slack) for n, c in cuts.items()}
+
+
+def _cut_at(key: int, below: int, around, goal: float, slack: float) -> int:
+    """The nearer edge of the key's group, if that is near enough, else the nearer side of the key. below: the weight of smaller keys; around: the weight of the
+    group's smaller keys, of the key (that of one row, or of rows that tie in all 60 bits), and of the whole group."""
+    first = key >> GROUP_BITS << GROUP_BITS
+    before = below - around["less"]
+    edges = [(abs(before - goal), first - 1), (abs(before + around["group"] - goal), first + (1 << GROUP_BITS) - 1)]
+    off, at = min(edges)
+    if off <= slack:
+        return at
+    return key if below + around["here"] - goal <= goal - below else key - 1
+
+
+def _of_groups(base: DataFrame, dims: list[str]) -> DataFrame:
+    """base with the least metadata of each group of equal texts for all its rows. Only groups whose rows differ are joined, large ones dealt over tasks."""
+    ends = [f(f"__d_{n}").alias(f"{g}_{n}") for n in dims for g, f in (("lo", F.min), ("hi", F.max))]
+    mixed = base.groupBy("__t").agg(F.count("*").alias("n"), *ends).where(" OR ".join(f"lo_{n} < hi_{n}" for n in dims))
+    mixed = cut(mixed.select("__t", "n", *(F.col(f"lo_{n}").alias(f"__m_{n}") for n in dims)))
+    joined = spread_join(base, mixed.drop("n"), "__t", heavy_keys(mixed, "__t", "n"), F.col("__i"), "left")
+    return cut(joined.select(*(c for c in base.columns if not c.startswith("__d_")), *(F.coalesce(f"__m_{n}", f"__d_{n}").alias(f"__d_{n}") for n in dims)))
 
 
 def kd_shards(docs: DataFrame, dims: dict[str, Column], weight: Column, tie: Column, id_col: str = "doc_id", target_bytes: int | None = None, shards: int | None = None) -> DataFrame:
     """docs with shard and slot. dims: name to a non-negative number. Leaves stop at target_bytes, or there are ``shards`` leaves."""
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     base = docs.select(*keep, weight.cast("long").alias("__w"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__d_{n}") for n, c in dims.items()), F.xxhash64(tie).alias("__t"), F.xxhash64(F.col(id_col).cast("string")).alias("__i"))
-    base = cut(base)
+    base = _of_groups(cut(base), list(dims))
     ends = base.agg(F.sum("__w").alias("w"), *(f(f"__d_{n}").alias(f"{g}_{n}") for n in dims for g, f in (("lo", F.min), ("hi", F.max)))).first()
     if ends["w"] is None:
         return base.select(*keep, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -93,7 +121,7 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], weight: Column, tie: Col
         if not level:
             break
         widest = {n: max(dims, key=lambda d, n=n: (seen[n][f"hi_{d}"] - seen[n][f"lo_{d}"]) / span[d]) for n in level}
-        cuts = _medians(rows, node, {n: seen[n]["w"] * (k // 2) / k for n, (_, k) in level.items()}, widest)
+        cuts = _medians(rows, node, {n: seen[n]["w"] * (k // 2) / k for n, (_, k) in level.items()}, widest, SLACK * ends["w"] / leaves)
         splits |= {n: (widest[n], cuts[n]) for n in level}
         level = {m: v for n, (a, k) in level.items() for m, v in ((2 * n, (a, k // 2)), (2 * n + 1, (a + k // 2, k - k // 2)))}
     placed = cut(rows.select(*keep, _tree(splits, done).cast("int").alias("shard"), "__i"))

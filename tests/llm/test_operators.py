@@ -683,14 +683,39 @@ def test_shards_odd(spark):
     assert kd_sharding.kd_shards(docs.limit(0), dims, F.lit(1), F.col("text"), shards=4).count() == 0
 
 
+def by_text(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.t].append(r)
+    return out
+
+
+def test_equal_texts_stay_together(spark):
+    """Groups of equal texts with any metadata lie in one shard; one that is larger than a shard is split, and sizes stay near equal."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rnd.choice(words, rnd.integers(5, 60))) for _ in range(300)]
+    rows = [(i, texts[g], ["en", "de", None][i % 3], f"s{i % 7}", 1) for i, g in enumerate([*rnd.integers(0, 300, 2000).tolist(), *[7] * 900])]
+    docs = spark.createDataFrame(rows, DOCS)
+    dims = {"n": F.length("text"), "lang": F.length("lang"), "source": F.substring("source", 2, 1).cast("int")}
+    out = kd_sharding.kd_shards(docs, dims, F.octet_length("text"), F.col("text"), shards=8).toPandas()
+    per = out.assign(b=out.text.str.len()).groupby("shard").b.sum()
+    assert len(per) == 8 and per.max() - per.min() < 0.15 * per.mean()
+    spread = out.groupby("text").shard.nunique()
+    assert set(spread[spread > 1].index) == {texts[7]}
+
+
 def test_shards_brute_force(spark, sf):
-    """The same leaves as a plain recursion over sorted rows, in a table with copies and ties."""
+    """The same leaves as a plain recursion over sorted rows, in a table with copies (some of other metadata) and ties."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
-    docs = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    docs = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("lang", F.lit("a longer one")))
     dims = {"n": F.col("n_chars"), "l": F.length("lang")}
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
     got = {r.doc_id: r.shard for r in kd_sharding.kd_shards(docs, dims, size, F.col("text"), shards=5).collect()}
     rows = docs.select("doc_id", size.alias("w"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in dims.items()), F.xxhash64("text").alias("t"), F.xxhash64(F.col("doc_id").cast("string")).alias("i")).collect()
+    least = {(t, d): min(r[d] for r in g) for t, g in by_text(rows).items() for d in dims}
+    rows = [type(r)(**{**r.asDict(), **{d: least[r.t, d] for d in dims}}) for r in rows]
+    slack = kd_sharding.SLACK * sum(r.w for r in rows) / 5
     low = {d: min(r[d] for r in rows) for d in dims}
     span = {d: max(r[d] for r in rows) - low[d] or 1.0 for d in dims}
 
@@ -702,10 +727,14 @@ def test_shards_brute_force(spark, sf):
             return {r.doc_id: first for r in part}
         d = max(dims, key=lambda d: (max(r[d] for r in part) - min(r[d] for r in part)) / span[d])
         goal, left, before = sum(r.w for r in part) * (k // 2) / k, [], 0
+        size = lambda rs: sum(r.w for r in rs)
         for at in sorted({key(r, d) for r in part}):
             here = [r for r in part if key(r, d) == at]
             if (after := before + sum(r.w for r in here)) >= goal:
-                left += here if after - goal <= goal - before else []
+                group = [r for r in part if key(r, d)[:2] == at[:2]]
+                outer = [r for r in part if key(r, d)[:2] < at[:2]]
+                off, edge = min((abs(size(outer) - goal), 0), (abs(size(outer) + size(group) - goal), 1))
+                left = (outer + group * edge) if off <= slack else left + (here if after - goal <= goal - before else [])
                 break
             left, before = left + here, after
         ids = {r.doc_id for r in left}
