@@ -191,6 +191,22 @@ def shared_queues(consumers: list[Consumer]) -> dict[str, str]:
     return out
 
 
+SELECTION = ["module", "expression", "paths", "prescale", "queue"]
+
+
+def with_queue(consumers: DataFrame, order: str) -> DataFrame:
+    """Registered consumers with queue_name: those that ask to be unique and select alike (null is a value like others) read the queue of the first of them in order, others have one of their
+    own. consumers: name, is_unique, order, and the columns of SELECTION."""
+    shared = consumers.where("is_unique").groupBy(*SELECTION).agg(F.min_by("name", order).alias("__first"))
+    named = join_keys(consumers, shared, SELECTION, "left")
+    return named.withColumn("queue_name", F.when(F.col("is_unique"), F.col("__first")).otherwise(F.col("name"))).drop("__first")
+
+
+def queue_readers(consumers: DataFrame, order: str) -> DataFrame:
+    """A row a queue: its selection, how many consumers read it, and the first and last to register."""
+    return with_queue(consumers, order).groupBy("queue_name", *SELECTION).agg(F.count("*").alias("n_readers"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
 def route_dqm(updates: DataFrame, consumers: DataFrame, now: Column) -> DataFrame:
     """A row for each update and consumer of its folder (``*``: all) that isn't stale. consumers: name, folder, last_contact, timeout_s; a small dimension by nature."""
     live = consumers.where(F.unix_timestamp(now) - F.unix_timestamp("last_contact") <= F.col("timeout_s"))

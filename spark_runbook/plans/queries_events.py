@@ -122,6 +122,13 @@ def dqm_route(ob):
     return sel.route_dqm(ob.groupBy("top_folder").agg(F.count("*").alias("n")), _dqm_consumers(ob.sparkSession), F.lit("1998-12-01 12:00:00").cast("timestamp")).select("top_folder", "consumer", "n")
 
 
+@query("j5_shared_queues", """WITH s AS (SELECT module, expression, paths, prescale, queue, min(seq) AS f FROM registrations WHERE is_unique GROUP BY ALL),
+ q AS (SELECT CASE WHEN r.is_unique THEN 'c' || s.f ELSE r.name END AS queue_name, r.* FROM registrations r LEFT JOIN s ON r.module IS NOT DISTINCT FROM s.module AND r.expression = s.expression AND r.paths = s.paths AND r.prescale = s.prescale AND r.queue = s.queue)
+ SELECT queue_name, module, expression, paths, prescale, queue, count(*) AS n_readers, min(seq) AS first, max(seq) AS last FROM q GROUP BY queue_name, module, expression, paths, prescale, queue""", re="registrations")
+def queues(re):
+    return sel.queue_readers(re, "seq")
+
+
 ASSEMBLED = """per AS (SELECT code, run_number, event_number, originator_pid, originator_guid, secondary_id, frame_index, count(*) AS m, sum(data_size) AS b, min(arrival) AS f, max(arrival) AS l, max(num_frames) AS nf FROM fragments GROUP BY ALL),
  asm AS (SELECT run_number, event_number, CAST(sum(m) AS BIGINT) AS n_fragments, CAST(sum(b) AS BIGINT) AS event_size, min(f) AS creation_time, max(l) AS last_fragment_time, max(nf) AS expected, max(m) > 1 AS dup FROM per GROUP BY code, run_number, event_number, originator_pid, originator_guid, secondary_id),
  ev AS (SELECT *, n_fragments = expected AND NOT dup AS complete, CASE WHEN dup THEN 64 ELSE 0 END + CASE WHEN n_fragments = expected AND NOT dup THEN 0 ELSE 128 END AS fault_bits FROM asm)"""
@@ -439,6 +446,25 @@ def _written(df, write, *args):
     return df.sparkSession.read.parquet(path)
 
 
+@query("a1_read_fragments", """SELECT 'EVENT' AS kind, run_number, event_number, frame_index, num_frames, data_size, NULL AS problem, count(*) AS n FROM fragments WHERE event_number % 50 <> 0 GROUP BY ALL
+ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'checksum', count(*) FILTER (event_number % 50 = 0) FROM fragments""", fr="fragments")
+def read_fragments(fr):
+    """Fragments packed to frames in files, one event in fifty with a damaged payload, and read back in small ranges."""
+    from ..sources import frames
+    from ..streaming.stateful import shared_folder
+
+    spark = fr.sparkSession
+    spark.dataSource.register(frames.Frames)
+    text = F.concat(F.encode(F.col("data_size").cast("string"), "UTF-8"), F.lit(frames.SYNC), F.lit(bytes(3)))
+    good = frames.frame({"code": F.lit(2)} | {n: F.col(n) for n in ("run_number", "event_number", "originator_pid", "originator_guid", "secondary_id", "frame_index", "num_frames")}, text)
+    damaged = F.concat(F.substring(good, 1, 40), F.lit(b"!"), F.substring(good, 42, 1 << 20))
+    path = shared_folder(spark, "frames")
+    fr.select(F.when(F.col("event_number") % 50 == 0, damaged).otherwise(good).alias("frame")).write.format("frames").mode("append").save(path)
+    back = spark.read.format("frames").option("rangeBytes", 1 << 16).load(path)
+    size = F.decode(F.expr("substring(payload, 1, octet_length(payload) - 7)"), "UTF-8").cast("long").alias("data_size")
+    return back.select("kind", "run_number", "event_number", F.col("frame_index").cast("int").alias("frame_index"), F.col("num_frames").cast("int").alias("num_frames"), size, "problem").groupBy("kind", "run_number", "event_number", "frame_index", "num_frames", "data_size", "problem").agg(F.count("*").alias("n"))
+
+
 @query("a3_write_streams", f"WITH {ROUTED_SQL} SELECT stream, CAST(run_number AS BIGINT) AS run_number, CAST(lumi_section AS BIGINT) AS lumi_section, count(*) AS n_events, CAST(sum(data_size) AS BIGINT) AS bytes FROM routed GROUP BY ALL", ev="daq_events")
 def write_streams(ev):
     from ..sources.logs import write_streams as write

@@ -43,6 +43,8 @@ VIEWS = {
         CASE WHEN l_linenumber <= 3 THEN 'TH1' ELSE 'TProfile' END AS kind, l_suppkey AS sender, l_orderkey AS update_number, l_partkey % 8 + 3 * k AS bin, CAST(l_quantity AS BIGINT) + k AS content,
         CASE WHEN l_quantity > 20 AND k < 2 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS entries, CAST(l_quantity AS BIGINT) % 5 + k AS w, (CAST(l_quantity AS BIGINT) % 5 + k) * (l_partkey % 11) AS wy,
         (CAST(l_quantity AS BIGINT) % 5 + k) * (l_partkey % 11) * (l_partkey % 11) AS wyy, l_shipdate AS arrival FROM lineitem CROSS JOIN (VALUES (0), (1), (2)) AS b(k) WHERE l_linenumber <= 5""",
+    "registrations": """SELECT concat('c', CAST(c_custkey AS STRING)) AS name, c_custkey AS seq, c_custkey % 3 <> 0 AS is_unique, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE concat('hltOutput', CAST(c_nationkey % 4 AS STRING)) END AS module,
+        CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE '' END AS expression, c_mktsegment AS paths, 1 + c_custkey % 4 AS prescale, 10 AS queue FROM customer""",
     "init_messages": """SELECT * FROM (VALUES (1, 'hltOutputA'), (2, 'hltOutputB'), (3, 'PhysicsOModule'), (4, 'hltOutputDQM')) AS t(output_module_id, label)""",
     "senders": """SELECT DISTINCT user_id % 8 AS broker_id, 2 AS expected FROM events""",
 }
