@@ -29,6 +29,8 @@ SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
 #: Features that chance alone may explain aren't used: half of the likelihood ratio statistic.
 LEAST_GAIN = 8.0
 PREFIX = 5
+#: A threshold that no score reaches.
+NEVER = 2.0
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -138,14 +140,17 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1; ties go to the middle of the gap."""
+    """The cut with the best F1; ties go to the middle of the gap. Where no cut does better than calling everything positive, the scores tell nothing, and nothing is called so."""
     if not len(y) or y.max() == 0:
-        return 1.0
+        return NEVER
     o = np.argsort(-p)
     tp = np.cumsum(y[o])
     f1 = 2 * tp / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][p[o][:-1] == p[o][1:]] = -1  # equal scores fall on one side
     i = int(np.argmax(f1))
-    return float((p[o][i] + (p[o][i + 1] if i + 1 < len(p) else 0)) / 2)
+    if f1[i] <= f1[-1]:
+        return NEVER
+    return float((p[o][i] + p[o][i + 1]) / 2)
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, width: int = FEATURES, folds: int = FOLDS) -> Chain:

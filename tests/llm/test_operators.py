@@ -378,6 +378,21 @@ def test_toxicity_odd(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_threshold():
+    """The best realisable cut; scores that tell nothing reject nothing."""
+    f = toxicity.best_threshold
+    p = np.array([0.9, 0.8, 0.2, 0.1])
+    assert f(p, np.array([1.0, 1, 0, 0])) == 0.5
+    assert f(p, np.array([0.0, 0, 0, 0])) == f(p, np.array([1.0, 1, 1, 1])) == f(np.full(4, 0.3), np.array([1.0, 0, 0, 0])) == f(p[:0], p[:0]) == toxicity.NEVER
+    assert f(np.array([0.9, 0.4, 0.4, 0.4, 0.4]), np.array([1.0, 1, 0, 0, 0])) == pytest.approx(0.65)
+
+
+def test_few_labels_reject_nothing(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.orderBy("toxic", "doc_id").limit(5).unionByName(labels.where("toxic = 1").orderBy("doc_id").limit(1))
+    assert toxicity.drop_toxic(docs, few).count() == docs.count()
+
+
 def test_logistic():
     rows = np.repeat(np.arange(200), 1)
     y = (np.arange(200) % 2).astype(float)
