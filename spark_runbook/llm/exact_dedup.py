@@ -33,7 +33,7 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = [c for c in (keep or docs.columns) if c not in ADDED]
     probed = docs.select(*keep, F.col(id_col).alias("__id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"), repeated(F.xxhash64(text_or_empty(text_col))).alias("__again"))
     alone = probed.where(~F.col("__again")).select(*keep, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = cut(probed.where("__again").withColumn("__row", F.monotonically_increasing_id()))
+    again = cut(probed.where("__again").drop("__again").withColumn("__row", F.monotonically_increasing_id()))
     best = cut(again.groupBy("text_sha256").agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count("*").alias("group_size")))
     marked = spread_join(again, best, "text_sha256", heavy_keys(best, "text_sha256", "group_size"), F.col("__row")).select(*keep, F.col("__best.__id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.__row")).alias("kept"), "text_sha256")
     return alone.unionByName(marked)
