@@ -96,7 +96,12 @@ def skipped(ev, se):
     return stats.skipped_discards(d, se, [0, 1, 2, 3])
 
 
-@query("g13_sender_id", None, ev="daq_events")
+_CRC = """WITH t AS (SELECT DISTINCT broker_id, filter_unit, 'broker' || broker_id || filter_unit AS s FROM daq_events),
+ st AS (SELECT *, flatten(list_transform(range(1, length(s) + 1), lambda j: [CAST(ascii(substr(s, j, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS ops FROM t)
+ SELECT broker_id, filter_unit, CAST(xor(list_reduce(list_concat([4294967295], ops), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) AS BIGINT) AS sender_id FROM st"""
+
+
+@query("g13_sender_id", _CRC, ev="daq_events")
 def sender_ids(ev):
     return ev.select("broker_id", "filter_unit").distinct().withColumn("sender_id", stats.sender_id(F.lit("broker"), F.col("broker_id"), F.col("filter_unit")))
 
@@ -140,11 +145,18 @@ def busy(ev):
     return ev.select("event_number", F.round(stats.busy_percent(F.col("s_a"), F.col("data_size"), F.lit(50000)), 6).alias("busy"))
 
 
-@query("g20_smooth_idle_times", None, ev="daq_events")
+_SMOOTH = """WITH RECURSIVE t AS (SELECT broker_id, run_number * 100 + lumi_section AS tick, sum(data_size) / 1000.0 AS idle FROM daq_events GROUP BY ALL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY broker_id ORDER BY tick DESC) AS r FROM t),
+ f AS (SELECT broker_id, tick, idle, r, idle AS i, 400.0::DOUBLE AS d, 0 AS g FROM o WHERE r = 1 UNION ALL
+       SELECT o.broker_id, o.tick, o.idle, o.r, CASE WHEN f.i <= f.d THEN o.idle ELSE f.i + o.idle END, CASE WHEN f.i <= f.d THEN 400.0 ELSE f.d + 400.0 END, CASE WHEN f.i <= f.d THEN f.g + 1 ELSE f.g END FROM f JOIN o ON o.broker_id = f.broker_id AND o.r = f.r + 1)
+ SELECT broker_id, tick, 400.0::DOUBLE AS duration, round(avg(idle) OVER (PARTITION BY broker_id, g), 4) AS idle FROM f"""
+
+
+@query("g20_smooth_idle_times", _SMOOTH, ev="daq_events")
 def smooth(ev):
-    """Idle times of all ticks (sections of runs) of each broker; a fold, tested against a loop."""
+    """Idle times of all ticks (sections of runs) of each broker; a fold."""
     t = ev.groupBy("broker_id", (F.col("run_number") * 100 + F.col("lumi_section")).alias("tick")).agg((F.sum("data_size") / 1000.0).alias("idle"))
-    return stats.smooth_idle_times(t.withColumn("duration", F.lit(400.0)), ["broker_id"], "tick")
+    return stats.smooth_idle_times(t.withColumn("duration", F.lit(400.0)), ["broker_id"], "tick").withColumn("idle", F.round("idle", 4))
 
 
 @query("g21_unwanted_by_module", f"WITH c AS (SELECT output_module_label, {_S} // 86400 AS t, count(*) AS n FROM daq_events WHERE s_a <> 1 GROUP BY ALL), sp AS (SELECT output_module_label, unnest(range(min(t), max(t) + 1)) AS t FROM c GROUP BY 1), d AS (SELECT output_module_label, t, coalesce(n, 0) AS n FROM sp LEFT JOIN c USING (output_module_label, t)) SELECT output_module_label, t, n, CASE WHEN n > 6 THEN 'raise' WHEN n = 0 THEN 'clear' ELSE 'keep' END AS alarm FROM d", ev="daq_events")
