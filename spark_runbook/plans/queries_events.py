@@ -368,7 +368,7 @@ def merged_histograms(ob):
     return dqm.merge_histograms(ob).select(*dqm.TOP, "folder", "object_name", _shown("bins", lambda v: v.cast("string")).alias("bins"), "total", "entries")
 
 
-@query("f3_merge_profiles", f"""WITH {MERGED} SELECT run_number, lumi_section, top_folder, folder, object_name, bin, w, wy, wyy, coalesce(wy / nullif(w, 0), 0) AS mean, sqrt(greatest(0, coalesce(wyy / nullif(w, 0), 0) - coalesce(wy / nullif(w, 0), 0) ** 2)) AS spread
+@query("f3_merge_profiles", f"""WITH {MERGED} SELECT run_number, lumi_section, top_folder, folder, object_name, bin, w, wy, wyy, coalesce(wy / nullif(w, 0), 0) AS mean, sqrt(greatest(0, coalesce(wyy / nullif(w, 0), 0) - coalesce(wy / nullif(w, 0), 0) * coalesce(wy / nullif(w, 0), 0))) AS spread
  FROM b WHERE kind = 'TProfile'""", ob="dqm_bins")
 def merged_profiles(ob):
     m = dqm.merge_profiles(ob)
