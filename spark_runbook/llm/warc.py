@@ -221,7 +221,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     stored = stored.select("found", F.col("found").alias("response_id"), F.col("c.headers").alias("stored"), F.col("c.digest").alias("sd"), F.col("c.payload").alias("payload"))
     revisit = cut(revisit)
     often = heavy_keys(revisit.where("found is not null").groupBy("found").count(), "found", "count")
-    both = spread_join(revisit, stored, "found", often, F.col("record_id"), "left")
+    both = spread_join(revisit.where("found IS NOT NULL"), stored, "found", often, F.col("record_id"), "left")
+    both = both.unionByName(revisit.where("found IS NULL"), allowMissingColumns=True)  # what found nothing isn't joined: nulls would meet in one task
     tag = lambda m: F.regexp_replace(F.element_at(m, "etag"), "^W/", "")
     since = lambda m: F.element_at(m, "last-modified")
     agrees = F.when(tag("headers").isNotNull() & tag("stored").isNotNull(), tag("headers") == tag("stored")).when(since("headers").isNotNull() & since("stored").isNotNull(), since("headers") == since("stored")).otherwise(F.coalesce(F.col("digest") == F.col("sd"), F.lit(False)))
