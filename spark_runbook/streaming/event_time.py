@@ -63,6 +63,9 @@ class Fold:
     output = ""
     timeout_ms = 0
 
+    def output_names(self) -> list[str]:
+        return [field.split()[0] for field in self.output.split(", ")]
+
     def step(self, state, at: int, row: tuple) -> tuple[object, list[tuple]]:
         raise NotImplementedError
 
@@ -81,8 +84,8 @@ class Fold:
 class _Ordered(StatefulProcessor):
     """Rows of a key wait in a list; a timer at the first one's time takes those that the watermark has passed, in order, through the fold."""
 
-    def __init__(self, fold: Fold, row_schema: str):
-        self.fold, self.row_schema = fold, row_schema
+    def __init__(self, fold: Fold, row_schema: str, key_names: list[str]):
+        self.fold, self.row_schema, self.key_names = fold, row_schema, key_names
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -136,8 +139,7 @@ class _Ordered(StatefulProcessor):
 def ordered_fold(marked: DataFrame, key: list[str], time: str, fold: Fold) -> DataFrame:
     """The fold over each key's rows in order of time (ties: by the fold's columns), with its key in front of what it puts out. marked: a stream with a watermark on ``time``."""
     kinds = dict(marked.dtypes)
-    p = _Ordered(fold, ", ".join(["__at long", *(f"`{c}` {kinds[c]}" for c in fold.columns)]))
-    p.key_names = key
+    p = _Ordered(fold, ", ".join(["__at long", *(f"`{c}` {kinds[c]}" for c in fold.columns)]), key)
     rows = marked.select(*key, *(c for c in fold.columns if c not in key), time, F.unix_millis(F.col(time)).alias("__at"), CLOCK)
     return rows.groupBy(*key).transformWithState(p, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), fold.output]), "append", "eventTime")
 
@@ -152,9 +154,6 @@ class Assembly(Fold):
     def __init__(self, timeout_ms: int = 60_000):
         self.timeout_ms = timeout_ms
 
-    def output_names(self) -> list[str]:
-        return ["n_fragments", "event_size", "complete", "fault_bits"]
-
     def step(self, state, at, row):
         index, frames, size = row
         seen, total, bytes_, bits = state or [[], frames, 0, 0]
@@ -179,9 +178,6 @@ class Ready(Fold):
     def __init__(self, expected: int, ready_ms: int = 120_000):
         self.expected, self.timeout_ms = expected, ready_ms
 
-    def output_names(self) -> list[str]:
-        return ["n", "reason"]
-
     def step(self, state, at, row):
         n = (state or 0) + 1
         return n, [(n, "complete")] if n == self.expected else []
@@ -203,9 +199,6 @@ class Collate(Fold):
     def __init__(self, expected: int, ready_ms: int = 120_000, purge: bool = False):
         self.expected, self.timeout_ms, self.purge = expected, ready_ms, purge
 
-    def output_names(self) -> list[str]:
-        return [x.split()[0] for x in self.output.split(", ")]
-
     def step(self, state, at, row):
         update, (folder, name, kind, bin_, *sums) = [at, *row[:2]], row[2:]
         state = state or {"n": 0, "update": None, "current": {}, "objects": {}, "out": False}
