@@ -10,10 +10,14 @@ from .base import QUERIES, SQL
 from .views import VIEWS, view, with_views
 
 
+#: Files of so many bytes are one micro-batch: the number of files doesn't count.
+BATCH_BYTES = 256 << 20
+
+
 def stream(name: str, table: str, sql: str | None = None):
     def wrap(f):
         def run(spark, sf_dir):
-            return f(ss.read_table(spark, sf_dir, table))
+            return f(ss.read_table(spark, sf_dir, table, bytes_a_batch=BATCH_BYTES))
 
         run.__doc__, run.__name__ = f.__doc__, name
         QUERIES[name] = run
@@ -100,7 +104,7 @@ SQL["l8_consumer_expiry"] = with_views("WITH r AS (SELECT filter_unit % 16 AS co
 def late(li):
     order = ["arrival", "update_number", "sender", "lumi_section", "bin", "content"]
     up = _view(li, "dqm_objects", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).select("run_number", *order)
-    return et.drop_old_lumis(up, 4, "arrival", ANY_ORDER, order).groupBy("run_number").agg(F.count("*").alias("n"))
+    return et.ended(up, "arrival", ANY_ORDER, lambda m: et.DropOldLumis(m, 4, "arrival", order)).groupBy("run_number").agg(F.count("*").alias("n"))
 
 
 @stream("l6_close_on_lumi_end", "events", "SELECT run_number, lumi_section, output_module_label AS stream, count(*) AS n_events, CAST(sum(data_size) AS BIGINT) AS bytes, 'LS ended' AS reason FROM daq_events WHERE lumi_section % 3 = 0 AND output_module_label <> 'none' GROUP BY ALL")
@@ -113,8 +117,7 @@ def punctuated(ev):
     end = F.date_trunc("hour", at) + F.expr("INTERVAL 1 HOUR")
     ends = e.where("lumi_section % 3 = 0").select("run_number", "lumi_section", F.lit(None).cast("string").alias("stream"), kind("eols"), F.lit(None).cast("long").alias("data_size"), end.alias("at"))
     streams = ["hltOutputA", "hltOutputB", "PhysicsOModule", "hltOutputDQM"]
-    closed = et.ended(rows.unionByName(ends), "at", ANY_ORDER, lambda m: et.close_on_lumi_end(m, streams, "at", 2))
-    return closed.groupBy("run_number", "lumi_section", "stream", "reason").agg(F.sum("n_events").alias("n_events"), F.sum("bytes").alias("bytes"))
+    return et.ended(rows.unionByName(ends), "at", ANY_ORDER, lambda m: et.CloseOnLumiEnd(m, streams, "at"))
 
 
 _BINS = """g AS (SELECT run_number, lumi_section, top_folder, folder, object_name, kind, arrival, update_number, sender, sum(entries) AS n FROM dqm_bins GROUP BY ALL),
@@ -124,7 +127,7 @@ _BINS = """g AS (SELECT run_number, lumi_section, top_folder, folder, object_nam
 def _folders(li, expected, purge):
     up = _view(li, "dqm_bins", "lineitem").withColumn("arrival", F.col("arrival").cast("timestamp")).withColumn("bin", F.col("bin").cast("long"))
     cols = ["run_number", "lumi_section", "top_folder", "arrival", *et.Collate.columns]
-    return et.ended(up.select(*(F.col(c).cast("long").alias(c) if c in ("w", "wy", "wyy", "content", "entries") else c for c in cols)), "arrival", ANY_ORDER, lambda m: et.ordered_fold(m, cols[:3], "arrival", et.Collate(expected, 36_500 * 86_400_000, purge)))
+    return et.ended(up.select(*(F.col(c).cast("long").alias(c) if c in ("w", "wy", "wyy", "content", "entries") else c for c in cols)), "arrival", ANY_ORDER, lambda m: et.Collate(m, cols[:3], "arrival", expected, 36_500 * 86_400_000, purge))
 
 
 @stream("f1_stream_collate", "lineitem", f"WITH {_BINS} SELECT run_number, lumi_section, top_folder, folder, object_name, bin, CAST(sum(content) AS BIGINT) AS content, CAST(sum(w) AS BIGINT) AS w, CAST(sum(wy) AS BIGINT) AS wy, CAST(sum(wyy) AS BIGINT) AS wyy FROM dqm_bins JOIN u USING (run_number, lumi_section, top_folder, folder, object_name, kind, arrival, update_number, sender) WHERE n > 0 OR r = 1 GROUP BY ALL")

@@ -23,10 +23,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 1) -> DataFrame:
-    """A table's Parquet, a file or a folder of part files, as a stream."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int | None = None, bytes_a_batch: int | None = None) -> DataFrame:
+    """A table's Parquet, a file or a folder of part files, as a stream: so many files a micro-batch, or files of so many bytes (one at least), or else one file."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
+    by_bytes = bytes_a_batch and not files_a_batch
+    src = spark.readStream.schema(schema).option("maxBytesPerTrigger" if by_bytes else "maxFilesPerTrigger", bytes_a_batch if by_bytes else files_a_batch or 1)
     return src.parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may match a file or a folder; a plain path must be a folder
 
 
