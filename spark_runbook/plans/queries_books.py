@@ -65,15 +65,18 @@ for _n, _k, _c in (
 
 
 def _booked(spark, sf_dir, files: int = 6):
-    """The books as a stream of events in several files, in which the stages of a file are spread at random; a fifth of the events is sent twice."""
+    """The books as a stream of events in ``files`` micro-batches, over which the stages of a file are spread at random; a fifth of the events is sent twice."""
     from ..streaming import books_stream as bs, stateful as ss
 
     names = {"created": "files_created", "injected": "files_injected", **{s: f"files_trans_{s}" for s in books.STAGES[1:]}, "deleted": "files_deleted"}
     events = bs.events_of({stage: view(spark, sf_dir, v) for stage, v in names.items()})
-    again = events.where(F.pmod(F.xxhash64("file_key", "stage"), F.lit(5)) == 0)
-    events.withColumn("__n", F.pmod(F.xxhash64("stage", "file_key"), F.lit(files))).unionByName(again.withColumn("__n", F.pmod(F.xxhash64("file_key"), F.lit(files)))).repartition(files, "__n").drop("__n").write.parquet(f"{(folder := ss.shared_folder(spark, 'books'))}/in.parquet")
+    n = F.pmod(F.xxhash64("stage", "file_key"), F.lit(files))
+    again = F.when(F.pmod(F.xxhash64("file_key", "stage"), F.lit(5)) == 0, F.pmod(F.xxhash64("file_key"), F.lit(files)))
+    sent = events.withColumn("__n", F.explode(F.array_compact(F.array(n, again))))
+    parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))  # as many tasks, whatever the number of micro-batches
+    sent.repartition(parts, "__n", F.xxhash64("stage", "file_key")).drop("__n").write.parquet(f"{(folder := ss.shared_folder(spark, 'books'))}/in.parquet")
     store = bs.Books(spark, f"{folder}/books")
-    return store, bs.run(ss.read_table(spark, folder, "in"), store, ss.shared_folder(spark, "state"))
+    return store, bs.run(ss.read_table(spark, folder, "in", -(-parts // files)), store, ss.shared_folder(spark, "state"))
 
 
 def _streamed(spark, sf_dir, keys):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,20 +45,40 @@ def first_entries(events: DataFrame) -> DataFrame:
     return events.where("file_key IS NOT NULL AND stage IS NOT NULL").groupBy("file_key", "stage").agg(best.alias("e")).select("file_key", "stage", "e.*")
 
 
-def info_of(entries: DataFrame) -> DataFrame:
-    """files_info of the files whose created row is known, from one grouped aggregate over their entries."""
+def _info() -> list[Column]:
+    """Aggregates of a file's entries: the columns of files_info, and whether its created row is known."""
     is_ = lambda s: F.col("stage") == s
     picked = [F.max(F.when(is_("created"), F.col(c))).alias(c) for c in CREATED] + [F.max(F.when(is_("injected"), F.col(c))).alias(c) for c in INJECTED]
     times = [F.max(F.when(is_("created"), F.col("at"))).alias("ctime"), *(F.max(F.when(is_(s), F.col("at"))).alias(f"t_{s}") for s in STAGES[1:])]
-    g = entries.groupBy("file_key").agg(F.max(is_("created").cast("int")).alias("__known"), *picked, *times)
-    return g.where("__known = 1").drop("__known")
+    return [F.max(is_("created").cast("int")).alias("__known"), *picked, *times]
+
+
+def info_of(entries: DataFrame) -> DataFrame:
+    """files_info of the files whose created row is known, from one grouped aggregate over their entries."""
+    return entries.groupBy("file_key").agg(*_info()).where("__known = 1").drop("__known")
+
+
+def _columns_of(stage: str) -> list[str]:
+    return [*CREATED, "ctime"] if stage == "created" else [*INJECTED, "t_injected"] if stage == "injected" else [f"t_{stage}"]
+
+
+def changes_of(entries: DataFrame, batch: int) -> DataFrame:
+    """Of the files with an entry in the batch, files_info with it (``__sign`` 1) and as it was before (-1), from one aggregate: an entry is a file's only one of
+    its stage, so what was before lacks the columns of the stages that are new."""
+    bits = {s: 1 << i for i, s in enumerate(STAGES)}
+    fresh = F.when(F.col("__batch") == batch, F.coalesce(*(F.when(F.col("stage") == s, b) for s, b in bits.items()), F.lit(0)))
+    g = entries.groupBy("file_key").agg(*_info(), F.bit_or(fresh).alias("__fresh")).where("__fresh IS NOT NULL")
+    g = g.withColumn("__sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    there = lambda s: (F.col("__sign") > 0) | (F.col("__fresh").bitwiseAND(F.lit(bits[s])) == 0)
+    known = g.where((F.col("__known") == 1) & there("created"))
+    return known.select("file_key", "__sign", *(F.when(there(s), F.col(c)).alias(c) for s in STAGES for c in _columns_of(s)))
 
 
-def _added(info: DataFrame, sign: int) -> DataFrame:
+def _added(info: DataFrame, sign: Column) -> DataFrame:
     """What files add at the grain of the deltas; what is taken away has sums only."""
     cols = {n: (kind, c) for n, (kind, c) in books.measures().items()} | {"injected": ("sum", F.when(F.col("t_injected").isNotNull(), 1).otherwise(0).cast("long")), "files": ("sum", F.lit(1).cast("long"))}
     kinds = dict(info.select(*(c.alias(n) for n, (_, c) in cols.items())).dtypes)
-    values = [(c * sign if kind == "sum" else c if sign > 0 else F.lit(None)).cast(kinds[n]).alias(n) for n, (kind, c) in cols.items()]
+    values = [(c * sign if kind == "sum" else F.when(sign > 0, c)).cast(kinds[n]).alias(n) for n, (kind, c) in cols.items()]
     return info.select(*GRAIN, *values)
 
 
@@ -74,7 +94,7 @@ class Books:
         self.spark, self.folder = spark, folder
         empty = spark.createDataFrame([], EVENT).withColumn("__batch", F.lit(0).cast("long"))
         self.event_schema: StructType = empty.schema
-        self.delta_schema: StructType = _merged(_added(info_of(empty), 1), GRAIN).schema
+        self.delta_schema: StructType = _merged(_added(info_of(empty), F.lit(1)), GRAIN).schema
 
     def _read(self, kind: str, schema: StructType, batches: range) -> DataFrame:
         if not len(batches):
@@ -83,14 +103,12 @@ class Books:
 
     def add(self, events: DataFrame, batch: int) -> None:
         """Enters a micro-batch: for ``foreachBatch``. Batches are numbered from 0 without gaps."""
-        new = events.select(*(c for c in self.event_schema.names if c != "__batch")).withColumn("__batch", F.lit(batch).cast("long"))
-        touched = new.select("file_key").distinct()
-        prior = self._read("events", self.event_schema, range(batch)).join(touched, "file_key", "left_semi")
-        entries = first_entries(prior.unionByName(new))
-        entries.where(F.col("__batch") == batch).select(*self.event_schema.names).write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
-        fresh = self._read("events", self.event_schema, range(batch, batch + 1))
-        after, before = info_of(prior.unionByName(fresh)), info_of(prior)
-        _merged(_added(after, 1).unionByName(_added(before, -1)), GRAIN).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
+        new = first_entries(events.select(*(c for c in self.event_schema.names if c != "__batch")).withColumn("__batch", F.lit(batch).cast("long")))
+        prior = self._read("events", self.event_schema, range(batch))
+        fresh = new.join(prior.select("file_key", "stage"), ["file_key", "stage"], "left_anti").select(*self.event_schema.names)
+        fresh.write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
+        entries = self._read("events", self.event_schema, range(batch + 1))
+        _merged(_added(changes_of(entries, batch), F.col("__sign")), GRAIN).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
         if (batch + 1) % EVERY == 0:
             self._deltas(batch).write.mode("overwrite").parquet(f"{self.folder}/snapshots/{batch}")
 
