@@ -64,12 +64,23 @@ def parsed(body: bytes) -> tuple[dict, str | None]:
 
 
 @dataclass
-class Bytes(InputPartition):
+class Bytes:
     file: str
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Bytes]
+
+
+#: A task reads ranges of so many bytes in all (one at least), so small ranges don't make as many tasks.
+TASK_BYTES = 8 << 20
+
+
 def frames_in(part: Bytes, chunk: int = CHUNK) -> Iterator[tuple[int, dict, str | None]]:
     """(offset, fields, problem) of the frames that begin in a range."""
     fs, _ = opened(part.file)
@@ -103,17 +114,27 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
 
-    def partitions(self) -> list[Bytes]:
-        return [Bytes(file, a, min(a + self.range_bytes, size)) for file, size in sorted(listed(self.path).items()) for a in range(0, size, self.range_bytes)]
-
-    def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Ranges]:
+        out, size = [], TASK_BYTES
+        for file, length in sorted(listed(self.path).items()):
+            for a in range(0, length, self.range_bytes):
+                part = Bytes(file, a, min(a + self.range_bytes, length))
+                if size + part.end - part.start > TASK_BYTES:
+                    out.append(Ranges([]))
+                    size = 0
+                out[-1].ranges.append(part)
+                size += part.end - part.start
+        return out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for offset, fields, problem in frames_in(partition):
-            rows.append({"file": partition.file, "offset": offset, "problem": problem, **fields})
-            size += len(fields.get("payload", b"")) + 200
-            if size > BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-                rows, size = [], 0
+        for part in partition.ranges:
+            for offset, fields, problem in frames_in(part, min(CHUNK, max(1 << 16, self.range_bytes))):
+                rows.append({"file": part.file, "offset": offset, "problem": problem, **fields})
+                size += len(fields.get("payload", b"")) + 200
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
@@ -157,7 +178,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class Frames(DataSource):
-    """Columns: file, offset, kind, the header's fields, payload, problem; written from one column of frames. Option ``rangeBytes``: most bytes that one task reads."""
+    """Columns: file, offset, kind, the header's fields, payload, problem; written from one column of frames. Option ``rangeBytes``: bytes of a range; a task reads ranges of TASK_BYTES in all, or one that is larger."""
 
     @classmethod
     def name(cls) -> str:
