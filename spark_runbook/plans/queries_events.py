@@ -194,16 +194,19 @@ _LINES = "SELECT run_number, event_number // 1000 AS block, string_agg(event_num
 def checksums(fr):
     """Files of a run's events, a thousand each, written from the fragments, against checksums put together from those of their lines; and one booked file that isn't there."""
     from ..sources.logs import file_checksums
+    from ..sources.named_files import NamedFiles
     from ..streaming.stateful import shared_folder
 
-    spark, order = fr.sparkSession, ["event_number", "frame_index", "data_size"]
-    line = fr.select("run_number", F.expr("event_number div 1000").alias("block"), *order, F.concat_ws(",", *order).alias("value"))
-    line.repartition("run_number", "block").sortWithinPartitions("run_number", "block", *order).select("value", "run_number", "block").write.partitionBy("run_number", "block").text(path := shared_folder(spark, "sink"))
-    want = assembly.adler32_of(line.withColumn("payload", F.encode(F.concat("value", F.lit("\n")), "UTF-8")), ["run_number", "block"], order, "payload")
-    name = spark.read.text(path).select(F.substring_index(F.input_file_name(), "/", -3).alias("name")).distinct()
-    part = lambda k: F.regexp_extract("name", rf"(?:^|/){k}=(\d+)", 1).cast("long").alias(k)
-    book = name.select("name", part("run_number"), part("block")).join(want, ["run_number", "block"]).select("name", "adler32").unionByName(spark.createDataFrame([("run_number=0/block=0/lost.dat", 7)], "name string, adler32 long"))
-    return file_checksums(spark, f"{path}/run_number=*/block=*", book, 3).select(part("run_number"), part("block"), "adler32", "matches")
+    spark, key, order = fr.sparkSession, ["run_number", "block"], ["event_number", "frame_index", "data_size"]
+    name = F.concat_ws(".", *key, F.lit("dat")).alias("name")
+    value = F.concat("event_number", F.lit(","), "frame_index", F.lit(","), "data_size", F.lit("\n"))
+    line = fr.select("run_number", F.expr("event_number div 1000").alias("block"), *order, value.alias("value")).where("value IS NOT NULL")
+    spark.dataSource.register(NamedFiles)
+    line.select(name, *order, "value").repartition("name").sortWithinPartitions("name", *order).select("name", "value").write.format("named_files").mode("append").save(path := shared_folder(spark, "sink"))
+    want = assembly.adler32_of(line.withColumn("payload", F.encode("value", "UTF-8")), key, order, "payload")
+    book = want.select(name, "adler32").unionByName(spark.createDataFrame([("0.0.dat", 7)], "name string, adler32 long"))
+    part = lambda k: F.split_part("name", F.lit("."), F.lit(key.index(k) + 1)).cast("long").alias(k)
+    return file_checksums(spark, f"{path}/*", book).select(part("run_number"), part("block"), "adler32", "matches")
 
 
 @query("b14_unwanted_events", f"SELECT event_number FROM daq_events WHERE message_code = 'EVENT' AND len(list_filter([{_TAGGED}], lambda x: x IS NOT NULL)) = 0", ev="daq_events")

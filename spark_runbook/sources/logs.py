@@ -32,14 +32,11 @@ def write_errors(df: DataFrame, path: str) -> None:
 def file_checksums(spark: SparkSession, path: str, book: DataFrame, depth: int = 1) -> DataFrame:
     """Files of a folder against the book: name, adler32, matches, present. book: name (the last ``depth`` parts of the path), adler32 (0: not checked).
 
-    Files that aren't booked match; booked files that aren't there don't. An empty file, which Spark's readers pass over, has the checksum
-    of nothing, 1: the names of empty files come from the folder's listing, as Spark's own list of files does."""
-    from ..operators.assembly import adler32
-
-    f = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -depth).alias("name"), adler32(F.col("content")).alias("adler32"))
-    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*")
-    empty = [("/".join(x.getPath().toString().split("/")[-depth:]), 1) for x in files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files) or [] if x.isFile() and x.getLen() == 0 and x.getPath().getName()[0] not in "._"]
-    f = f.unionByName(spark.createDataFrame(empty, "name string, adler32 long")).withColumn("present", F.lit(True))
+    Files that aren't booked match; booked files that aren't there don't. An empty file has the checksum of nothing, 1. Tasks list and read the
+    files (``named_files``)."""
+    from .named_files import checksums
+
+    f = checksums(spark, path).select(F.substring_index("file", "/", -depth).alias("name"), "adler32").withColumn("present", F.lit(True))
     b = book.select("name", F.col("adler32").alias("__b"))
     matches = F.coalesce(F.col("present"), F.lit(False)) & (F.coalesce(F.col("__b"), F.lit(0)).isin(0) | (F.col("__b") == F.col("adler32")))
     return f.join(b, "name", "full").select("name", "adler32", matches.alias("matches"), F.coalesce("present", F.lit(False)).alias("present"))
