@@ -28,13 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the session's checkpoint folder and reads it again: its lineage is cut, a lost executor costs nothing but reruns, and
-    plans see its true size (a checkpoint keeps the estimates of the plan before it, which multiply from join to join)."""
+    plans see its true size (a checkpoint keeps the estimates of the plan before it, which multiply from join to join). The shuffle files of the step
+    go as soon as it is written; else all steps' files would stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     shared_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,13 +5,16 @@ of a set of n shingles has n - ceil(t n) + l of them, and two sets that link sha
 document picks l by the candidates that its shortest prefix is estimated to raise, so that documents of frequent shingles get longer
 prefixes and must share more of them before a pair is verified.
 
-Documents of the same set are one node. Prefix shingles that no other node has are dropped by a two-bit Bloom filter before they shuffle. Then:
+Documents of the same set are one node. Prefix shingles that no other node has are dropped first (``_repeated``): they are dealt by shingle once, packed,
+over a number of parts that follows the input, so what a shingle costs doesn't grow with the corpus. Then:
 
 1. In every list of nodes with a shingle, the others are compared with one node, the one with the most company: a number of pairs
    linear in the prefixes. Linked nodes are joined to components.
 2. Lists that still mix components: where up to ``SMALL`` nodes are outside the list's main component, these are verified against the nodes of other
    components, under the positional bound (what is left behind the shared shingle must reach the overlap that the threshold asks for).
-3. Others go by differences (``_by_differences``): what two sets have in common is known from their differences to the list's hub, which are
+3. Of longer lists only nodes stay that are in as many of them as a link must share (``_enough``): whoever shares that many prefix shingles and isn't found in a
+   shorter list has all of them there. Most nodes of such lists have one frequent shingle, are far from each other, and go.
+4. What stays goes by differences (``_by_differences``): what two sets have in common is known from their differences to the list's hub, which are
    short, so these are joined by prefixes again, in lists that get shorter in each round. Texts of one template that lie just under the
    threshold are thus told apart without comparing each with each.
 
@@ -25,6 +28,8 @@ empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +43,8 @@ from .shingles import chunks, frequency_levels, in_order, mix, shingle_sets
 BROADCAST_KEYS = 500_000
 SHINGLES_A_MATCH = 50
 SMALL = 32
+#: Prefix shingles in a part of those dealt by ``_repeated``, and rows that a task gives back at a time.
+PART, ROWS = 250_000, 50_000
 
 
 def prefix_size(n: int, percent: int, l: int) -> int:  # noqa: E741
@@ -72,15 +79,89 @@ def _prefixes(batches, q: int, percent: int, levels):
             )
 
 
+@give_back
+def _dealt(batches, parts: int):
+    """The prefix shingles of each batch of nodes (nid, n, l, prefix) by part: h as it is, and packed how often the batch has it (2: more than once), nid (as differences), n, l and the place k.
+    A batch deals a shingle by its hash once; its other nodes with that shingle are known to have company and are dealt evenly, so a frequent one doesn't fill a part."""
+    for b in batches:
+        lists = b.column(3)
+        size = np.diff(lists.offsets.to_numpy())
+        h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        if not len(h):
+            continue
+        at = np.repeat(np.arange(b.num_rows), size)
+        k = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        nid, n, l = (b.column(i).to_numpy(zero_copy_only=False)[at] for i in range(3))  # noqa: E741
+        _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        part = np.arange(len(h)) % parts
+        part[first] = (mix(h[first], 21) % np.uint64(parts)).astype(np.int64)
+        often = np.minimum(count, 2)[inverse].astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+        runs = [order[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+        packed = [zlib.compress(b"".join(x.tobytes() for x in (often[o], np.diff(nid[o], prepend=0), n[o].astype(np.int32), l[o].astype(np.int32), k[o].astype(np.int32))), 1) for o in runs]
+        yield pa.RecordBatch.from_arrays([pa.array([part[o[0]] for o in runs], pa.int32()), pa.array([h[o].tobytes() for o in runs], pa.binary()), pa.array(packed, pa.binary())], names=["part", "h", "rest"])
+
+
+@give_back
+def _company(batches):
+    """Of the parts of ``_dealt`` that a task reads: the entries (nid, n, l, k, h) whose shingle several nodes have."""
+    hs, rest = [], [[] for _ in range(5)]
+    for b in batches:
+        for x, y in zip(b.column(1), b.column(2), strict=True):
+            hs.append(np.frombuffer(x.as_buffer(), np.uint64))
+            data, m, start = zlib.decompress(y.as_buffer()), len(hs[-1]), 0
+            for i, kind in enumerate((np.uint8, np.int64, np.int32, np.int32, np.int32)):
+                rest[i].append(np.frombuffer(data, kind, m, start))
+                start += m * np.dtype(kind).itemsize
+            rest[1][-1] = np.cumsum(rest[1][-1])
+    if not hs:
+        return
+    h = np.concatenate(hs)
+    often, nid, n, l, k = (np.concatenate(x) for x in rest)  # noqa: E741
+    del hs, rest
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+    total = np.add.reduceat(often[order].astype(np.int64), starts)
+    stay = order[np.repeat(total > 1, np.diff(starts, append=len(h)))]
+    for i in range(0, len(stay), ROWS):
+        o = stay[i : i + ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(nid[o]), pa.array(n[o]), pa.array(l[o]), pa.array(k[o]), pa.array(h[o].view(np.int64))], names=["nid", "n", "l", "k", "h"])
+
+
+def _repeated(nodes: DataFrame, total: int) -> DataFrame:
+    """nodes: nid, n, l, prefix (``total`` shingles in all). Returns the entries nid, n, l, k, h of the shingles that several nodes have, k being the place in the prefix."""
+    parts = 1 + total // PART
+    dealt = nodes.select("nid", "n", "l", "prefix").mapInArrow(lambda it: _dealt(it, parts), "part int, h binary, rest binary")
+    return cut(dealt.repartition(parts, "part").mapInArrow(_company, "nid long, n int, l int, k int, h long"))
+
+
 def need(nx: Column, ny: Column, percent: int) -> Column:
     """Shared shingles that sets of these sizes must have."""
     return F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9)
 
 
+def _maybe_in(keys: DataFrame):
+    """A filter on hashes that lets those of keys (th) pass, and few others: a key list too long to broadcast is joined to these rows only, so that no other text shuffles."""
+    th = keys.select("th")
+    bits = repeated_filter(th.unionByName(th))  # each twice, so all are in it
+
+    @F.pandas_udf("boolean")
+    def known(h):
+        import pandas as pd
+
+        return pd.Series(maybe_repeated(h.to_numpy(np.int64).view(np.uint64), bits.value, LOG2_BITS))
+
+    return known
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
     """nid and all its shingles (binary), of the wanted nodes, from their texts."""
     keys = cut(nodes.join(wanted, "nid").select("nid", "doc_id", "th"))
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    else:
+        docs = docs.where(_maybe_in(keys)("th"))
     k = keys.select("nid", F.col("doc_id").alias("kd"), F.col("th").alias("kt"))
 
     @give_back
@@ -106,9 +187,9 @@ def _arrays(sets: DataFrame) -> DataFrame:
     return cut(sets.mapInArrow(run, "nid long, d array<long>"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, q: int, percent: int) -> DataFrame:
-    """The pairs (a, b, la, lb) that link: those that share enough prefix shingles, then those that share enough of all."""
-    pa_, pb = (nodes.select(F.col("nid").alias(c), F.col("prefix").alias(f"p{c}")) for c in "ab")
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common: DataFrame, q: int, percent: int) -> DataFrame:
+    """The pairs (a, b, la, lb) that link: those that share enough prefix shingles, then those that share enough of all. common: nid and hs, the prefix shingles that other nodes have as well."""
+    pa_, pb = (common.select(F.col("nid").alias(c), F.col("hs").alias(f"p{c}")) for c in "ab")
     pairs = cut(pairs.join(pb, "b").join(pa_, "a").where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b", "la", "lb"))
     s = cut(_sets(docs, nodes, pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), q))
 
@@ -151,6 +232,15 @@ def _across(entries: DataFrame, key: str, heavy: list, cols: list[str]) -> DataF
     return spread_join(few, other, key, heavy, F.col("nid")).where((F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("nid") < F.col("nid2"))))
 
 
+def _enough(entries: DataFrame, percent: int) -> DataFrame:
+    """Of entries in lists too long for pairs, those of nodes that are in as many of these lists as a link must share: min(l, l'), and a linked set has percent of the node's shingles at least.
+    A node in fewer of them shares a shorter list with each set it links with."""
+    other = F.floor(F.col("n") * percent / 100)
+    asked = F.least(F.col("l").cast("long"), F.floor(other * percent / 100), 1 + F.floor(other / SHINGLES_A_MATCH))
+    stay = entries.groupBy("nid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l")).where(F.col("c") >= asked).select("nid")
+    return cut(entries.join(stay, "nid"))
+
+
 def _rebased(members: DataFrame, known: DataFrame) -> DataFrame:
     """members (g, nid, base, hub) with the differences to their group's hub, from those to an older base that known has (base, nid, n, root, d)."""
     of = lambda who, to: known.select("base", F.col("nid").alias(who), F.col("n").alias(to[0]), F.col("root").alias(to[1]), F.col("d").alias(to[2]))
@@ -220,20 +310,16 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     levels = frequency_levels(plain.select("text"), q)
-    every = cut(plain.mapInArrow(lambda it: _prefixes(it, q, percent, levels), "doc_id long, th long, s1 long, s2 long, n int, l int, prefix array<long>"))
-    classes = every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th", "l", "prefix")).alias("r"))
-    nodes = cut(classes.select("s1", "s2", "n", "r.*", F.monotonically_increasing_id().alias("nid")))
-    entries = nodes.select("nid", "n", "l", F.posexplode("prefix").alias("k", "h"))
-    bits = repeated_filter(nodes.select(F.explode("prefix").alias("h")))
-
-    @F.pandas_udf("boolean")
-    def shared(h):
-        import pandas as pd
-
-        return pd.Series(maybe_repeated(h.to_numpy(np.int64).view(np.uint64), bits.value, LOG2_BITS))
-
-    entries = cut(entries.where(shared("h")))
-    sizes = cut(entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    every = plain.mapInArrow(lambda it: _prefixes(it, q, percent, levels), "doc_id long, th long, s1 long, s2 long, n int, l int, prefix array<long>")
+    every = cut(every.withColumn("nid", F.monotonically_increasing_id()))
+    classes = every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th", "l", "nid")).alias("r"))
+    nodes = cut(classes.select("s1", "s2", "n", "r.*"))
+    copies = cut(every.where("n > 0").select("nid").join(nodes, "nid", "left_anti"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
+    total = nodes.agg(F.sum(F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * (percent / 100)) + F.col("l")))).first()[0]
+    entries = _repeated(every.where("n > 0").join(copies, "nid", "left_anti"), total or 0)
+    common = cut(entries.groupBy("nid").agg(F.collect_list("h").alias("hs")))
+    sizes = cut(entries.groupBy("h").agg(F.count("*").alias("m")))
     often = heavy_keys(sizes, "h", "m")
     entries = cut(spread_join(entries, sizes, "h", often, F.col("nid")))
     score = entries.groupBy("nid").agg(F.sum("m").alias("score"))
@@ -241,27 +327,36 @@ def jaccard_components(docs: DataFrame, q: int, percent: int, id_col: str = "doc
     fits = lambda na, ka, nb, kb: F.least(F.col(na) - F.col(ka), F.col(nb) - F.col(kb)) >= need(F.col(na), F.col(nb), percent)
     star = spread_join(entries, hubs, "h", often, F.col("nid")).where((F.col("nid") != F.col("hub")) & fits("n", "k", "hn", "hk"))
     star = cut(star.select(F.col("hub").alias("a"), F.col("nid").alias("b"), F.col("hl").alias("la"), F.col("l").alias("lb")).distinct())
-    links = _verified(star, plain, nodes, q, percent)
+    links = _verified(star, plain, nodes, common, q, percent)
     comp = components(links)
     if counts is not None:
         counts.append(("hubs", star.count()))
 
     rooted = cut(entries.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
     live = cut(spread_join(rooted.drop("m"), _mixed(rooted, "h"), "h", often, F.col("nid")))
-    pairs = _across(live, "h", often, ["nid", "n", "k", "l", "root"]).where(fits("n", "k", "n2", "k2"))
+    # what is shared in front of the places counts as well, so that a pair is found in any of its lists
+    reach = F.least("k", "k2") + F.least(F.col("n") - F.col("k"), F.col("n2") - F.col("k2")) >= need(F.col("n"), F.col("n2"), percent)
     first = F.col("nid") < F.col("nid2")
-    pairs = pairs.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"), F.when(first, F.col("l")).otherwise(F.col("l2")).alias("la"), F.when(first, F.col("l2")).otherwise(F.col("l")).alias("lb"))
-    pairs = cut(pairs.distinct())
+
+    def short(lists: DataFrame) -> DataFrame:
+        two = _across(lists, "h", often, ["nid", "n", "k", "l", "root"]).where(reach)
+        return two.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"), F.when(first, F.col("l")).otherwise(F.col("l2")).alias("la"), F.when(first, F.col("l2")).otherwise(F.col("l")).alias("lb"))
+
+    many = _enough(live.where(F.col("rest") > SMALL).drop("main", "rest"), percent)
+    again = cut(spread_join(many, _mixed(many, "h").drop("m"), "h", often, F.col("nid")))  # lists are shorter now
+    many = _enough(again.where(F.col("rest") > SMALL), percent)
+    pairs = cut(short(live).unionByName(short(again)).distinct())
     if counts is not None:
         counts.append(("pairs", pairs.count()))
-    more = _verified(pairs, plain, nodes, q, percent)
-    many = live.where(F.col("rest") > SMALL)
+    more = _verified(pairs, plain, nodes, common, q, percent)
     if not many.isEmpty():
-        groups = cut(spread_join(many.select("h", "nid", "root"), hubs.select("h", "hub"), "h", often, F.col("nid")).select("hub", "nid", "root").distinct())
+        score = many.groupBy("nid").agg(F.count("*").alias("score"))
+        best = cut(many.join(score, "nid").groupBy("h").agg(F.max(F.struct("score", F.negative("nid").alias("less"))).alias("b")).select("h", F.negative("b.less").alias("hub")))
+        groups = cut(spread_join(many.select("h", "nid", "root"), best, "h", often, F.col("nid")).select("hub", "nid", "root").distinct())
         more = more.unionByName(_by_differences(groups, _arrays(cut(_sets(plain, nodes, groups.select("nid").distinct(), q))), percent, counts))
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
-    rooted = cut(nodes.drop("prefix").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    rooted = cut(nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
     smallest = cut(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"), F.count("*").alias("m")))
     named = cut(spread_join(rooted.select("root", "s1", "s2", "n"), smallest, "root", heavy_keys(smallest, "root", "m"), F.col("s1")).select("s1", "s2", "n", F.col("r.doc_id").alias("component_id"), F.col("r.th").alias("rt")))
     linked = every.where("n > 0").select("doc_id", "th", "s1", "s2", "n").join(named, ["s1", "s2", "n"])
@@ -273,8 +368,11 @@ def drop_near(docs: DataFrame, q: int = 5, percent: int = 80, id_col: str = "doc
     """docs with one document of each component; same columns, whatever their names. Rows of equal id and text stay or go together."""
     plain, (i, t), restore = renamed(docs, id_col, text_col)
     gone = cut(jaccard_components(plain, q, percent, i, t).where(~F.col("keep")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return restore(plain.join(gone, F.col(i).eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty(t)) == F.col("__t")), "left_anti"))
+    same = F.col(i).eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty(t)) == F.col("__t"))
+    if gone.count() <= BROADCAST_KEYS:
+        return restore(plain.join(F.broadcast(gone), same, "left_anti"))
+    maybe = _maybe_in(gone.select(F.col("__t").alias("th")))(F.xxhash64(text_or_empty(t)))
+    return restore(plain.where(~maybe).unionByName(plain.where(maybe).join(gone, same, "left_anti")))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
